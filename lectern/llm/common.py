@@ -42,6 +42,11 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def times(factor: np.uint64, n: int) -> np.uint64:
+    """factor * n modulo 2**64."""
+    return np.uint64(int(factor) * n & 0xFFFFFFFFFFFFFFFF)
+
+
 BYTE_HASH = mix(np.arange(1, 257, dtype=np.uint64) * _MULT)
 _powers: dict[str, np.ndarray] = {}
 

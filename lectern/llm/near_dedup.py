@@ -75,7 +75,7 @@ def bag_minhash(row: np.ndarray, value: np.ndarray, count: np.ndarray, n: int, s
         time, j = np.zeros(len(live)), 0
         while len(live):
             j += 1
-            draw = C.mix(seed[live] + np.uint64(j) * _ODD)
+            draw = C.mix(seed[live] + C.times(_ODD, j))
             time = time - np.log(((draw >> np.uint64(11)).astype(float) + 0.5) * 2.0**-53) / width[live]
             on = time < limit[owner[live]]
             live, time, draw = live[on], time[on], draw[on]
