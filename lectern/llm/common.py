@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 """Text that a task looks at in one go; a longer single text is a slice of its own."""
 
 NULL_KEY = (1 << 63) - 1
@@ -213,23 +213,58 @@ def runs(*columns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return cuts, np.append(cuts, len(new))[1:]
 
 
+MARKS = "g int, ks binary, fs binary, counts binary, places binary, tags binary"
 PLACES = "k long, f int, marks binary"
-
-
-def by_document(k: np.ndarray, f: np.ndarray, place: np.ndarray):
-    """A row for each document with the sorted places as one blob (schema PLACES)."""
-    import pandas as pd
-
-    order = np.lexsort((place, f, k))
-    k, f, place = k[order], f[order], place[order]
-    cuts, ends = runs(k, f)
-    return pd.DataFrame({"k": k[cuts], "f": f[cuts], "marks": [planes(np.diff(place[a:b], prepend=place.dtype.type(0))) for a, b in zip(cuts, ends, strict=True)]})
+TAGGED_PLACES = "k long, f int, marks binary, tags binary"
+
+
+def pack_marks(groups: int, k: np.ndarray, f: np.ndarray, place: np.ndarray, tags: np.ndarray | None = None) -> list[tuple]:
+    """Marked places (unsigned) as a row for each group of documents, so that what a reducer makes does not
+    grow with the documents it has seen; schema MARKS."""
+    g = (mix(k.astype(np.uint64)) % np.uint64(groups)).astype(np.int64)
+    order = np.lexsort((place, f, k, g))
+    g, k, f, place = g[order], k[order], f[order], place[order]
+    tags = None if tags is None else tags[order]
+    rows = []
+    for a, b in zip(*runs(g), strict=True):
+        firsts, ends = runs(k[a:b], f[a:b])
+        counts = ends - firsts
+        rows.append((int(g[a]), planes(np.diff(k[a:b][firsts], prepend=0)), planes(f[a:b][firsts].astype(np.int32)), planes(counts.astype(np.uint32)), planes(steps(place[a:b], counts)), None if tags is None else planes(tags[a:b])))
+    return rows
+
+
+def merge_marks(packed: DataFrame, dtype: type) -> DataFrame:
+    """One row for each document that has marks: its sorted places, and their tags if there are any."""
+    tagged = "tags" in packed.columns
+
+    def run(frame):
+        import pandas as pd
+
+        got: list[list[np.ndarray]] = [[], [], [], []]
+        for row in frame.itertuples(index=False):
+            counts = unplanes(row.counts, np.uint32).astype(np.int64)
+            got[0].append(np.repeat(np.cumsum(unplanes(row.ks, np.int64)), counts))
+            got[1].append(np.repeat(unplanes(row.fs, np.int32), counts))
+            got[2].append(unsteps(unplanes(row.places, dtype), counts))
+            if tagged:
+                got[3].append(unplanes(row.tags, np.uint64))
+        k, f, place, *tags = (np.concatenate(x) for x in got if x)
+        order = np.lexsort((place, f, k))
+        k, f, place = k[order], f[order], place[order]
+        cuts, ends = runs(k, f)
+        out = {"k": k[cuts], "f": f[cuts], "marks": [planes(np.diff(place[a:b], prepend=dtype(0))) for a, b in zip(cuts, ends, strict=True)]}
+        if tagged:
+            out["tags"] = [planes(tags[0][order][a:b]) for a, b in zip(cuts, ends, strict=True)]
+        return pd.DataFrame(out)
+
+    return packed.groupBy("g").applyInPandas(run, TAGGED_PLACES if tagged else PLACES)
 
 
 def keyed(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """k, f and text: the id (null: NULL_KEY) and a fingerprint of the text, which together name a row and its
     exact repetitions."""
-    return docs.select(F.coalesce(docs[id_col].cast("long"), F.lit(NULL_KEY)).alias("k"), F.xxhash64(docs[text_col]).bitwiseAND(0x7FFFFFFF).cast("int").alias("f"), docs[text_col].cast("string").alias("text"))
+    k, f, text = _key_columns(docs, id_col, text_col)
+    return docs.select(k.alias("k"), f.alias("f"), text.alias("text"))
 
 
 def text_bytes(docs: DataFrame, text_col: str = "text") -> int:
@@ -264,15 +299,15 @@ def _key_columns(docs: DataFrame, id_col: str, text_col: str):
 
 
 def rewrite(docs: DataFrame, marks: DataFrame, change, extra: str, *, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None, as_bytes: bool = False, how: str = "left") -> DataFrame:
-    """Joins marked places back to the documents by (k, f) and rewrites the texts.
+    """Joins marks, one row for each (k, f), back to the documents and rewrites the texts.
 
-    change(texts: list[bytes | None], marks: list[list[bytes] | None]) gives the new texts and a list for
+    change(texts: list[bytes | None], marks: list[bytes | None]) gives the new texts and a list for
     each column of `extra`. Column order is that of docs (or `keep`), then the extra columns.
     as_bytes: the new text is a binary column. how="inner" keeps marked rows alone.
     """
     keep = docs.columns if keep is None else keep
     left = zipped(docs, id_col=id_col, text_col=text_col, keep=keep)
-    right = marks.groupBy("k", "f").agg(F.collect_list("marks").alias("_marks"))
+    right = marks.select("k", "f", F.col("marks").alias("_marks"))
     both = left.join(right, (left["_k"] == right["k"]) & (left["_f"] == right["f"]), how).drop("k", "f", "_k", "_f")
     rest = [c for c in keep if c != text_col]
     added = T._parse_datatype_string(extra) if extra else T.StructType([])
@@ -302,11 +337,11 @@ def rewrite(docs: DataFrame, marks: DataFrame, change, extra: str, *, id_col: st
 _ARROW = {"bigint": pa.int64(), "int": pa.int32(), "boolean": pa.bool_(), "string": pa.string(), "double": pa.float64(), "binary": pa.binary()}
 
 
-def places(marks: list[bytes] | None) -> np.ndarray:
-    """The places of one document from the blobs that by_document() made, sorted, each once."""
+def places(marks: bytes | None, dtype: type) -> np.ndarray:
+    """The places of one document from the blob that merge_marks() made, sorted, each once."""
     if not marks:
         return np.zeros(0, np.int64)
-    return np.unique(np.concatenate([np.cumsum(unplanes(b, np.uint32), dtype=np.uint32) for b in marks])).astype(np.int64)
+    return np.unique(np.cumsum(unplanes(marks, dtype), dtype=dtype)).astype(np.int64)
 
 
 def covered(starts: np.ndarray, width: int, n: int) -> np.ndarray:

@@ -241,7 +241,7 @@ def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     placed = signed.select("k", "f", "set").join(roots, "set", "left").withColumn("root", F.coalesce("root", "set"))
     kept = placed.where("root IS NOT NULL").groupBy("root").agg(F.min(F.struct("k", "f")).alias("at")).select("at.k", "at.f")
     alone = placed.where("root IS NULL").select("k", "f").distinct()
-    marks = kept.unionByName(alone).withColumn("marks", F.lit(b""))
+    marks = kept.unionByName(alone).withColumn("marks", F.lit(None).cast("binary"))
     done = C.rewrite(docs, marks, lambda texts, _: (texts,), "", how="inner", **columns)
     repeated = not signed.where("set IS NOT NULL").groupBy("k", "f").count().where("count > 1").isEmpty()
     return done.dropDuplicates([id_col, text_col]) if repeated else done

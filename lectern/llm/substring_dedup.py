@@ -3,8 +3,8 @@ maximal removal intervals.
 
 Each map task hashes every window of its texts with one rolling pass and packs the hashes into buckets of
 the hash space. A reducer sorts a bucket, takes the smallest document of each hash, and names the windows
-of all later documents. Those window starts go back to the documents by their key, where overlapping
-windows merge into maximal intervals and the words go.
+of all later documents. Those window starts, packed by groups of documents, go back by the documents'
+keys, where overlapping windows merge into maximal intervals and the words go.
 
 Cost: one shuffle of about nine bytes a window, one of the removed starts, one of the compressed texts. A
 bucket holds `per_bucket` windows on average whatever the input, and so bounds a reducer's memory; a window
@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from lectern.llm import common as C
 
 WINDOW = 13
-PER_BUCKET = 3_000_000
+PER_BUCKET = 2_000_000
 
 
 def window_postings(docs: DataFrame, window: int, buckets: int, **columns: str) -> DataFrame:
@@ -46,18 +46,20 @@ def window_postings(docs: DataFrame, window: int, buckets: int, **columns: str)
     return C.keyed(docs, **columns).mapInArrow(run, C.POSTINGS)
 
 
-def later_windows(postings: DataFrame) -> DataFrame:
+def later_windows(postings: DataFrame, groups: int) -> DataFrame:
     """Starts of the windows that also start in a document with a smaller id, by document."""
 
     def run(frame):
+        import pandas as pd
+
         got = C.unpack(frame)
         order = np.argsort(got["key"])
         key, k = got["key"][order], got["k"][order]
         firsts, ends = C.runs(key)
         later = order[k > np.repeat(np.minimum.reduceat(k, firsts), ends - firsts)]
-        return C.by_document(got["k"][later], got["f"][later], got["place"][later])
+        return pd.DataFrame(C.pack_marks(groups, got["k"][later], got["f"][later], got["place"][later]), columns=["g", "ks", "fs", "counts", "places", "tags"])
 
-    return postings.groupBy("bucket").applyInPandas(run, C.PLACES)
+    return C.merge_marks(postings.groupBy("bucket").applyInPandas(run, C.MARKS).drop("tags"), np.uint32)
 
 
 def remove_repeats(docs: DataFrame, *, window: int = WINDOW, per_bucket: int = PER_BUCKET, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
@@ -68,14 +70,14 @@ def remove_repeats(docs: DataFrame, *, window: int = WINDOW, per_bucket: int = P
     """
     columns = {"id_col": id_col, "text_col": text_col}
     buckets = C.bucket_count(C.text_bytes(docs, text_col) / 6, per_bucket)
-    marks = later_windows(window_postings(docs, window, buckets, **columns))
+    marks = later_windows(window_postings(docs, window, buckets, **columns), buckets)
 
     def change(texts, blobs):
         new, n_words, n_removed = [], [], []
         for text, blob in zip(texts, blobs, strict=True):
             flat = C.Flat(C.pa.array([text], C.pa.binary()))
             starts, ends, _ = flat.words()
-            gone = C.covered(C.places(blob), window, len(starts))
+            gone = C.covered(C.places(blob, np.uint32), window, len(starts))
             n_words.append(len(starts))
             n_removed.append(int(gone.sum()))
             new.append(C.cut(text, starts, gone) if n_removed[-1] else text)

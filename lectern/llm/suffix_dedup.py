@@ -85,11 +85,13 @@ def segment_postings(docs: DataFrame, length: int, buckets: int, **columns: str)
     return C.keyed(docs, **columns).mapInArrow(run, C.POSTINGS)
 
 
-SORTED_OUT = "k long, f int, marks binary, wanted binary, wanted_keys binary, n_wanted long"
+SORTED_OUT = f"wanted boolean, size long, {C.MARKS}"
+_NAMES = ["g", "ks", "fs", "counts", "places", "tags"]
 
 
-def sort_out(postings: DataFrame) -> DataFrame:
-    """By document: marks (segments that occur again as a whole) and wanted (those whose text must be compared)."""
+def sort_out(postings: DataFrame, length: int, groups: int) -> DataFrame:
+    """Packed marks: of segments that occur again as a whole (wanted false), and of those whose text must be
+    compared (wanted true, tagged with their key, with the bytes they have together)."""
 
     def run(frame):
         import pandas as pd
@@ -97,63 +99,60 @@ def sort_out(postings: DataFrame) -> DataFrame:
         got = C.unpack(frame)
         order = np.lexsort((got["place"], got["f"], got["k"], got["tag"], got["key"]))
         key, tag, k, f, place = (got[n][order] for n in ("key", "tag", "k", "f", "place"))
-        new_key = np.diff(key, prepend=~key[:1]) != 0
-        new_tag = new_key | (np.diff(tag, prepend=~tag[:1]) != 0)
-        firsts = np.flatnonzero(new_tag)
-        sizes = np.diff(firsts, append=len(key))
-        again = np.repeat(sizes > 1, sizes)
-        group = np.cumsum(new_key) - 1
-        kinds = np.bincount(group[firsts])
-        wanted = new_tag & (kinds[group] > 1)
+        firsts, ends = C.runs(key, tag)
+        again = np.repeat(ends - firsts > 1, ends - firsts)
+        by_key, key_ends = C.runs(key)
+        kinds = np.bincount(np.searchsorted(by_key, firsts, "right") - 1, minlength=len(by_key))
+        wanted = firsts[kinds[np.searchsorted(by_key, firsts, "right") - 1] > 1]
         value = (place.astype(np.uint64) << np.uint64(8)) | (tag & np.uint64(255))
-        pick = np.flatnonzero(again | wanted)
-        pick = pick[np.lexsort((place[pick], f[pick], k[pick]))]
-        rows = []
-        for a, b in zip(*C.runs(k[pick], f[pick]), strict=True):
-            own = pick[a:b]
-            w = own[wanted[own]]
-            rows.append((k[own[0]], f[own[0]], _blob(value[own[again[own]]]), _blob(value[w]), C.planes(key[w]), int((value[w] & np.uint64(255)).sum() + len(w) * LENGTH)))
-        return pd.DataFrame(rows, columns=["k", "f", "marks", "wanted", "wanted_keys", "n_wanted"])
+        size = int((tag[wanted] & np.uint64(255)).sum()) + (length - 1) * len(wanted)
+        rows = [(False, 0, *r) for r in C.pack_marks(groups, k[again], f[again], value[again])]
+        rows += [(True, size if i == 0 else 0, *r) for i, r in enumerate(C.pack_marks(groups, k[wanted], f[wanted], value[wanted], key[wanted]))]
+        return pd.DataFrame(rows, columns=["wanted", "size", *_NAMES])
 
     return postings.groupBy("bucket").applyInPandas(run, SORTED_OUT)
 
 
-def _blob(values: np.ndarray) -> bytes | None:
-    return C.planes(np.diff(values, prepend=np.uint64(0))) if len(values) else None
-
-
 def _values(blob: bytes) -> np.ndarray:
     return np.cumsum(C.unplanes(blob, np.uint64), dtype=np.uint64)
 
 
-CANDIDATES = "bucket int, k long, f int, keys binary, places binary, sizes binary, texts binary"
+CANDIDATES = "bucket int, ks binary, fs binary, counts binary, places binary, sizes binary, texts binary"
 
 
-def candidate_texts(docs: DataFrame, sorted_out: DataFrame, length: int, buckets: int, **columns: str) -> DataFrame:
-    """The wanted segments' texts, a row for each document and bucket."""
+def candidate_texts(docs: DataFrame, wanted: DataFrame, length: int, buckets: int, **columns: str) -> DataFrame:
+    """The wanted segments' texts: of some documents, those in a bucket of the keys as one row."""
     left = C.zipped(docs, keep=[], **columns)
-    right = sorted_out.where("wanted IS NOT NULL").groupBy("k", "f").agg(F.collect_list(F.struct("wanted", "wanted_keys")).alias("w"))
-    both = left.join(right, (left["_k"] == right["k"]) & (left["_f"] == right["f"])).dropDuplicates(["k", "f"]).select("k", "f", "_text", "w")
+    both = left.join(wanted, (left["_k"] == wanted["k"]) & (left["_f"] == wanted["f"])).dropDuplicates(["k", "f"]).select("k", "f", "_text", "marks", "tags")
 
     def run(batches):
         import zstandard
 
         open_one, squeeze = zstandard.ZstdDecompressor().decompress, zstandard.ZstdCompressor(level=3).compress
-        kinds = [pa.int32(), pa.int64(), pa.int32(), *[pa.binary()] * 4]
+        kinds = [pa.int32(), *[pa.binary()] * 6]
         names = [c.split()[0] for c in CANDIDATES.split(", ")]
         for batch in batches:
-            out: list[tuple] = []
-            for k, f, packed, wanted in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                text = open_one(packed)
-                values = np.concatenate([_values(w["wanted"]) for w in wanted])
-                keys = np.concatenate([C.unplanes(w["wanted_keys"], np.uint64) for w in wanted])
+            texts, ks, fs, starts, sizes, keys = [], [], [], [], [], []
+            for k, f, packed, marks, tags in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                text, values = open_one(packed), _values(marks)
                 start, size = (values >> np.uint64(8)).astype(np.int64), (values & np.uint64(255)).astype(np.int64) + length - 1
-                bucket = (C.mix(keys) % np.uint64(buckets)).astype(np.int64)
-                for b in np.unique(bucket):
-                    at = np.flatnonzero(bucket == b)
-                    texts = b"".join(text[s : s + n] for s, n in zip(start[at], size[at], strict=True))
-                    out.append((int(b), k, f, C.planes(keys[at]), C.planes(start[at]), C.planes(size[at].astype(np.uint16)), squeeze(texts)))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else [[]] * 7, kinds, strict=True)], names)
+                texts += [text[s : s + n] for s, n in zip(start.tolist(), size.tolist(), strict=True)]
+                ks.append(np.full(len(start), k, np.int64))
+                fs.append(np.full(len(start), f, np.int32))
+                starts.append(start)
+                sizes.append(size)
+                keys.append(C.unplanes(tags, np.uint64))
+            if not texts:
+                continue
+            k, f, start, size = (np.concatenate(x) for x in (ks, fs, starts, sizes))
+            bucket = (C.mix(np.concatenate(keys)) % np.uint64(buckets)).astype(np.int64)
+            order = np.argsort(bucket, kind="stable")
+            out = []
+            for a, b in zip(*C.runs(bucket[order]), strict=True):
+                at = order[a:b]
+                firsts, ends = C.runs(k[at], f[at])
+                out.append((int(bucket[at[0]]), C.planes(k[at][firsts]), C.planes(f[at][firsts]), C.planes((ends - firsts).astype(np.uint32)), C.planes(start[at]), C.planes(size[at].astype(np.uint16)), squeeze(b"".join(texts[i] for i in at))))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names)
 
     return both.mapInArrow(run, CANDIDATES)
 
@@ -230,34 +229,28 @@ class RunIndex:
         return best
 
 
-def compare(candidates: DataFrame, length: int) -> DataFrame:
-    """Windows of candidate segments that start elsewhere too, as (k, f, marks)."""
+def compare(candidates: DataFrame, length: int, groups: int) -> DataFrame:
+    """Packed marks of the candidate segments' windows that start elsewhere too."""
 
     def run(frame):
         import pandas as pd
         import zstandard
 
         open_one = zstandard.ZstdDecompressor().decompress
-        sizes = [C.unplanes(x, np.uint16).astype(np.int64) for x in frame["sizes"]]
+        counts = [C.unplanes(x, np.uint32).astype(np.int64) for x in frame["counts"]]
+        k = np.concatenate([np.repeat(C.unplanes(x, np.int64), n) for x, n in zip(frame["ks"], counts, strict=True)])
+        f = np.concatenate([np.repeat(C.unplanes(x, np.int32), n) for x, n in zip(frame["fs"], counts, strict=True)])
         start = np.concatenate([C.unplanes(x, np.int64) for x in frame["places"]])
-        data = np.frombuffer(b"".join(map(open_one, frame["texts"])), np.uint8)
-        owner = np.repeat(np.arange(len(frame)), [len(x) for x in sizes])
-        size = np.concatenate(sizes)
-        index = RunIndex(data, size)
+        size = np.concatenate([C.unplanes(x, np.uint16).astype(np.int64) for x in frame["sizes"]])
+        index = RunIndex(np.frombuffer(b"".join(map(open_one, frame["texts"])), np.uint8), size)
         found = np.flatnonzero(index.statistics() >= length)
         segment = np.searchsorted(index.begins, found, "right") - 1
         place = start[segment] + found - index.begins[segment]
-        new = np.ones(len(found), bool)
-        new[1:] = (segment[1:] != segment[:-1]) | (found[1:] != found[:-1] + 1)
-        firsts = np.flatnonzero(new)
-        value = (place[firsts].astype(np.uint64) << np.uint64(8)) | np.diff(firsts, append=len(found)).astype(np.uint64)
-        by = owner[segment[firsts]]
-        order = np.lexsort((value, by))
-        by, value = by[order], value[order]
-        rows = [(frame["k"].iat[by[a]], frame["f"].iat[by[a]], _blob(value[a:b])) for a, b in zip(*C.runs(by), strict=True)]
-        return pd.DataFrame(rows, columns=["k", "f", "marks"])
+        firsts, ends = C.runs(segment, found - np.arange(len(found)))
+        value = (place[firsts].astype(np.uint64) << np.uint64(8)) | (ends - firsts).astype(np.uint64)
+        return pd.DataFrame(C.pack_marks(groups, k[segment[firsts]], f[segment[firsts]], value), columns=_NAMES)
 
-    return candidates.groupBy("bucket").applyInPandas(run, C.PLACES)
+    return candidates.groupBy("bucket").applyInPandas(run, C.MARKS)
 
 
 def remove_long_matches(docs: DataFrame, *, length: int = LENGTH, per_bucket: int = PER_BUCKET, bucket_bytes: int = BUCKET_BYTES, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
@@ -265,12 +258,15 @@ def remove_long_matches(docs: DataFrame, *, length: int = LENGTH, per_bucket: in
     columns = {"id_col": id_col, "text_col": text_col}
     total = C.text_bytes(docs, text_col)
     buckets = C.bucket_count(total * 4 / length, per_bucket)
-    sorted_out = C.settle(sort_out(segment_postings(docs, length, buckets, **columns)))
-    wanted = int(sorted_out.agg(F.sum("n_wanted")).first()[0] or 0)
-    marks = sorted_out.where("marks IS NOT NULL").select("k", "f", "marks")
+    groups = C.bucket_count(total, 16 * C.SLICE_BYTES)
+    sorted_out = C.settle(sort_out(segment_postings(docs, length, buckets, **columns), length, groups))
+    wanted = int(sorted_out.agg(F.sum("size")).first()[0] or 0)
+    packed = sorted_out.where("NOT wanted").select(*_NAMES[:-1])
     if wanted:
-        texts = candidate_texts(docs, sorted_out, length, C.bucket_count(wanted, bucket_bytes), **columns)
-        marks = marks.unionByName(compare(texts, length))
+        places = C.merge_marks(sorted_out.where("wanted").select(*_NAMES), np.uint64)
+        texts = candidate_texts(docs, places, length, C.bucket_count(wanted, bucket_bytes), **columns)
+        packed = packed.unionByName(compare(texts, length, groups).drop("tags"))
+    marks = C.merge_marks(packed, np.uint64)
 
     def change(texts, blobs):
         new, n_bytes, n_removed, n_spans = [], [], [], []
@@ -282,7 +278,7 @@ def remove_long_matches(docs: DataFrame, *, length: int = LENGTH, per_bucket: in
                 n_removed.append(0)
                 n_spans.append(0)
                 continue
-            values = np.concatenate([_values(b) for b in blob])
+            values = _values(blob)
             start, size = (values >> np.uint64(8)).astype(np.int64), (values & np.uint64(255)).astype(np.int64)
             ends = np.zeros(len(data) + 1, np.int64)
             np.add.at(ends, start, 1)
