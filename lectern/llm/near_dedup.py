@@ -9,9 +9,10 @@ slots are filled, about m log m points a document whatever its length.
 
 Documents with equal multisets are one text from then on, found by partial aggregation. Texts that agree in
 a band share a bucket. No bucket forms all its pairs: a round verifies each member against one pivot of its
-bucket, links join classes, and only members of different classes go on. After `rounds` rounds whatever
-pairs of different classes still share a bucket are verified one by one, so that no bucket is left undecided
-and no cap exists.
+bucket, another one each round, links join classes, and only members of different classes go on. After
+`rounds` rounds the buckets of at most `small` members that still hold several classes verify the pairs
+between them; in larger ones, rounds go on until one finds no link anywhere. A link is missed only if in all
+buckets that its texts share, some ten of 24 at similarity 0.8, no pivot leads from one class to the other.
 
 Defined results: texts of fewer than `words` words (but not none) are one shingle; texts without words, null
 ones included, are classes of their own; equal texts are one class whatever their ids; the class id is the
@@ -31,6 +32,7 @@ WORDS = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 24, 4
 ROUNDS = 3
+SMALL = 16
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _OCC = np.uint64(0xC2B2AE3D27D4EB4F)
 SHINGLE_BYTES = 5
@@ -186,34 +188,33 @@ def components(links: DataFrame) -> DataFrame:
         edges = new
 
 
-def classes(docs: DataFrame, *, words: int = WORDS, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, rounds: int = ROUNDS, id_col: str = "doc_id", text_col: str = "text"):
+def classes(docs: DataFrame, *, words: int = WORDS, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, rounds: int = ROUNDS, small: int = SMALL, id_col: str = "doc_id", text_col: str = "text"):
     """(signed, roots): the settled signatures of all rows, and (set, root) of every text that has a link."""
     columns = {"id_col": id_col, "text_col": text_col}
     signed = C.settle(signatures(docs, words, bands, rows, **columns))
     buckets = C.settle(shared_buckets(signed))
     sets = C.settle(shingle_sets(docs, signed, buckets, words, **columns))
     roots = buckets.select("set", F.col("set").alias("root")).distinct()
-    tried = None
-    for turn in range(rounds + 1):
+    tried, turn, found = None, 0, True
+    while found or turn <= rounds:
         open_ = buckets.join(roots, "set")
-        mixed = open_.groupBy("bucket").agg(F.min("root").alias("r"), F.max("root").alias("s"), F.min_by("set", F.xxhash64("set", F.lit(turn))).alias("pivot")).where("r <> s").select("bucket", "pivot")
+        pivot = F.min_by("set", F.xxhash64("set", F.lit(turn))).alias("pivot")
+        mixed = open_.groupBy("bucket").agg(F.min("root").alias("r"), F.max("root").alias("s"), F.count("*").alias("n"), pivot).where("r <> s").select("bucket", "pivot", "n")
         rest = open_.join(mixed, "bucket")
-        if turn < rounds:
-            pivots = roots.select(F.col("set").alias("pivot"), F.col("root").alias("pivot_root"))
-            pairs = rest.join(pivots, "pivot").where("root <> pivot_root").select(F.greatest("set", "pivot").alias("a"), F.least("set", "pivot").alias("b"))
-            pairs = pairs.groupBy("a").agg(F.min("b").alias("b")) if turn == 0 else pairs.distinct()
-        else:
-            other = rest.select("bucket", F.col("set").alias("b"), F.col("root").alias("root_b"))
-            pairs = rest.select("bucket", F.col("set").alias("a"), "root").join(other, "bucket").where("root <> root_b AND a > b").select("a", "b").distinct()
-        if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        pairs = C.settle(pairs)
-        if pairs.isEmpty() and turn != 0:
-            if turn >= rounds:
-                break
-            continue
+        pivots = roots.select(F.col("set").alias("pivot"), F.col("root").alias("pivot_root"))
+        pairs = rest.join(pivots, "pivot").where("root <> pivot_root").select(F.greatest("set", "pivot").alias("a"), F.least("set", "pivot").alias("b"))
+        pairs = pairs.groupBy("a").agg(F.min("b").alias("b")) if turn == 0 else pairs.distinct()
+        if turn == rounds:
+            one = rest.where(F.col("n") <= small).select("bucket", F.col("set").alias("a"), "root")
+            two = one.select("bucket", F.col("a").alias("b"), F.col("root").alias("root_b"))
+            pairs = pairs.unionByName(one.join(two, "bucket").where("root <> root_b AND a > b").select("a", "b")).distinct()
+        pairs = C.settle(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"))
         tried = pairs if tried is None else tried.unionByName(pairs)
-        links = verified(pairs, sets, similarity)
+        turn += 1
+        links = C.settle(verified(pairs, sets, similarity))
+        found = not links.isEmpty()
+        if not found:
+            continue
         of = roots.withColumnRenamed("set", "a").withColumnRenamed("root", "ra"), roots.withColumnRenamed("set", "b").withColumnRenamed("root", "rb")
         joined = components(links.join(of[0], "a").join(of[1], "b").select(F.col("ra").alias("a"), F.col("rb").alias("b")))
         roots = C.settle(_moved(roots, joined))
