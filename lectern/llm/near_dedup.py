@@ -8,8 +8,8 @@ probability of their weighted Jaccard similarity. Points are generated only up t
 slots are filled, about m log m points a document whatever its length.
 
 Documents with equal multisets are one text from then on, found by partial aggregation. Texts that agree in
-a band share a bucket. No bucket forms all its pairs: a round verifies each member against one pivot of its
-bucket, another one each round, links join classes, and only members of different classes go on. After
+a band share a bucket. No bucket forms all its pairs: a round verifies each member against a pivot or two of
+its bucket, others each round, links join classes, and only members of different classes go on. After
 `rounds` rounds the buckets of at most `small` members that still hold several classes verify the pairs
 between them; in larger ones, rounds go on until one finds no link anywhere. A link is missed only if in all
 buckets that its texts share, some ten of 24 at similarity 0.8, no pivot leads from one class to the other.
@@ -172,20 +172,35 @@ def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     return both.mapInArrow(run, "a binary, b binary")
 
 
-def components(links: DataFrame) -> DataFrame:
-    """(node, root) of every node in a link, by alternating large and small stars."""
-    edges = C.settle(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
-    while True:
-        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        joined = large.join(least, "u")
-        small = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(joined.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
-        new = C.settle(small)
-        if new.count() == edges.count() and new.exceptAll(edges).isEmpty():
-            return new.select(F.col("u").alias("node"), F.col("v").alias("root"))
-        edges = new
+def contract(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """roots after joining the classes that links (a, b) between roots connect.
+
+    Each step moves every class to the least neighbour and renames the links' ends likewise; classes joined
+    stay joined, and the links left between different classes become none within a few steps.
+    """
+    while not links.isEmpty():
+        both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        least = C.settle(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("to")))
+        one, two = (least.select(F.col("a").alias(x), F.col("to").alias(f"to_{x}")) for x in ("a", "b"))
+        links = C.settle(links.join(one, "a").join(two, "b").where("to_a <> to_b").select(F.col("to_a").alias("a"), F.col("to_b").alias("b")).distinct())
+        moved = least.withColumnRenamed("a", "root")
+        roots = C.settle(roots.join(moved, "root", "left").select("set", F.coalesce("to", "root").alias("root")))
+    return roots
+
+
+PIVOTS = 2
+
+
+def open_pairs(buckets: DataFrame, roots: DataFrame, turn: int):
+    """(members of buckets with several classes, pairs of each with its bucket's pivots of other classes)."""
+    members = buckets.join(roots, "set")
+    pick = F.array_distinct(F.array(*[F.min_by("set", F.xxhash64("set", F.lit(turn * PIVOTS + i))) for i in range(PIVOTS if turn else 1)])).alias("pivots")
+    mixed = members.groupBy("bucket").agg(F.min("root").alias("r"), F.max("root").alias("s"), F.count("*").alias("n"), pick).where("r <> s").select("bucket", "pivots", "n")
+    rest = members.join(mixed, "bucket")
+    named = roots.select(F.col("set").alias("pivot"), F.col("root").alias("pivot_root"))
+    tests = rest.select("set", "root", F.explode("pivots").alias("pivot")).join(named, "pivot").where("root <> pivot_root")
+    pairs = tests.select(F.greatest("set", "pivot").alias("a"), F.least("set", "pivot").alias("b"))
+    return rest, pairs.groupBy("a").agg(F.min("b").alias("b")) if turn == 0 else pairs
 
 
 def classes(docs: DataFrame, *, words: int = WORDS, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, rounds: int = ROUNDS, small: int = SMALL, id_col: str = "doc_id", text_col: str = "text"):
@@ -195,37 +210,22 @@ def classes(docs: DataFrame, *, words: int = WORDS, similarity: float = SIMILARI
     buckets = C.settle(shared_buckets(signed))
     sets = C.settle(shingle_sets(docs, signed, buckets, words, **columns))
     roots = buckets.select("set", F.col("set").alias("root")).distinct()
-    tried, turn, found = None, 0, True
+    turn, found = 0, True
     while found or turn <= rounds:
-        open_ = buckets.join(roots, "set")
-        pivot = F.min_by("set", F.xxhash64("set", F.lit(turn))).alias("pivot")
-        mixed = open_.groupBy("bucket").agg(F.min("root").alias("r"), F.max("root").alias("s"), F.count("*").alias("n"), pivot).where("r <> s").select("bucket", "pivot", "n")
-        rest = open_.join(mixed, "bucket")
-        pivots = roots.select(F.col("set").alias("pivot"), F.col("root").alias("pivot_root"))
-        pairs = rest.join(pivots, "pivot").where("root <> pivot_root").select(F.greatest("set", "pivot").alias("a"), F.least("set", "pivot").alias("b"))
-        pairs = pairs.groupBy("a").agg(F.min("b").alias("b")) if turn == 0 else pairs.distinct()
+        rest, pairs = open_pairs(buckets, roots, turn)
         if turn == rounds:
             one = rest.where(F.col("n") <= small).select("bucket", F.col("set").alias("a"), "root")
             two = one.select("bucket", F.col("a").alias("b"), F.col("root").alias("root_b"))
-            pairs = pairs.unionByName(one.join(two, "bucket").where("root <> root_b AND a > b").select("a", "b")).distinct()
-        pairs = C.settle(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"))
-        tried = pairs if tried is None else tried.unionByName(pairs)
-        turn += 1
-        links = C.settle(verified(pairs, sets, similarity))
+            pairs = pairs.unionByName(one.join(two, "bucket").where("root <> root_b AND a > b").select("a", "b"))
+        links = verified(pairs.distinct(), sets, similarity)
+        of_a, of_b = (roots.select(F.col("set").alias(x), F.col("root").alias(f"root_{x}")) for x in ("a", "b"))
+        links = C.settle(links.join(of_a, "a").join(of_b, "b").select(F.col("root_a").alias("a"), F.col("root_b").alias("b")).distinct())
         found = not links.isEmpty()
-        if not found:
-            continue
-        of = roots.withColumnRenamed("set", "a").withColumnRenamed("root", "ra"), roots.withColumnRenamed("set", "b").withColumnRenamed("root", "rb")
-        joined = components(links.join(of[0], "a").join(of[1], "b").select(F.col("ra").alias("a"), F.col("rb").alias("b")))
-        roots = C.settle(_moved(roots, joined))
+        roots = contract(roots, links)
+        turn += 1
     return signed, roots
 
 
-def _moved(roots: DataFrame, joined: DataFrame) -> DataFrame:
-    to = joined.select(F.col("node").alias("root"), F.col("root").alias("new_root"))
-    return roots.join(to, "root", "left").select("set", F.coalesce("new_root", "root").alias("root"))
-
-
 def near_duplicates(docs: DataFrame, **options) -> DataFrame:
     """(k, f, doc_id, class_id) for every row of docs."""
     signed, roots = classes(docs, **options)
