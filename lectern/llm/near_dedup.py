@@ -8,11 +8,11 @@ probability of their weighted Jaccard similarity. Points are generated only up t
 slots are filled, about m log m points a document whatever its length.
 
 Documents with equal multisets are one text from then on, found by partial aggregation. Texts that agree in
-a band share a bucket. No bucket forms all its pairs: a round verifies each member against a pivot or two of
-its bucket, others each round, links join classes, and only members of different classes go on. After
-`rounds` rounds the buckets of at most `small` members that still hold several classes verify the pairs
-between them; in larger ones, rounds go on until one finds no link anywhere. A link is missed only if in all
-buckets that its texts share, some ten of 24 at similarity 0.8, no pivot leads from one class to the other.
+a band share a bucket. No bucket forms all its pairs: a round verifies each member against pivots of its
+buckets, others each round, links join classes, and only members of different classes go on. In the
+last round the buckets of at most `small` members that still hold several classes verify the pairs between
+them. What larger buckets still hold apart has failed `TESTS` tests a round against other members: a text
+whose similarity reaches the bound with a share s of them is left out with probability (1 - s) ** 24.
 
 Defined results: texts of fewer than `words` words (but not none) are one shingle; texts without words, null
 ones included, are classes of their own; equal texts are one class whatever their ids; the class id is the
@@ -188,7 +188,7 @@ def contract(roots: DataFrame, links: DataFrame) -> DataFrame:
     return roots
 
 
-PIVOTS = 2
+PIVOTS, TESTS = 2, 8
 
 
 def open_pairs(buckets: DataFrame, roots: DataFrame, turn: int):
@@ -199,8 +199,10 @@ def open_pairs(buckets: DataFrame, roots: DataFrame, turn: int):
     rest = members.join(mixed, "bucket")
     named = roots.select(F.col("set").alias("pivot"), F.col("root").alias("pivot_root"))
     tests = rest.select("set", "root", F.explode("pivots").alias("pivot")).join(named, "pivot").where("root <> pivot_root")
-    pairs = tests.select(F.greatest("set", "pivot").alias("a"), F.least("set", "pivot").alias("b"))
-    return rest, pairs.groupBy("a").agg(F.min("b").alias("b")) if turn == 0 else pairs
+    count = TESTS if turn else 1
+    drawn = F.array_distinct(F.array(*[F.min_by("pivot", F.xxhash64("pivot", F.lit(-1 - turn * TESTS - i))) for i in range(count)]))
+    pairs = tests.groupBy("set").agg(drawn.alias("pivots")).select("set", F.explode("pivots").alias("pivot"))
+    return rest, pairs.select(F.greatest("set", "pivot").alias("a"), F.least("set", "pivot").alias("b"))
 
 
 def classes(docs: DataFrame, *, words: int = WORDS, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, rounds: int = ROUNDS, small: int = SMALL, id_col: str = "doc_id", text_col: str = "text"):
@@ -210,8 +212,7 @@ def classes(docs: DataFrame, *, words: int = WORDS, similarity: float = SIMILARI
     buckets = C.settle(shared_buckets(signed))
     sets = C.settle(shingle_sets(docs, signed, buckets, words, **columns))
     roots = buckets.select("set", F.col("set").alias("root")).distinct()
-    turn, found = 0, True
-    while found or turn <= rounds:
+    for turn in range(rounds + 1):
         rest, pairs = open_pairs(buckets, roots, turn)
         if turn == rounds:
             one = rest.where(F.col("n") <= small).select("bucket", F.col("set").alias("a"), "root")
@@ -220,9 +221,7 @@ def classes(docs: DataFrame, *, words: int = WORDS, similarity: float = SIMILARI
         links = verified(pairs.distinct(), sets, similarity)
         of_a, of_b = (roots.select(F.col("set").alias(x), F.col("root").alias(f"root_{x}")) for x in ("a", "b"))
         links = C.settle(links.join(of_a, "a").join(of_b, "b").select(F.col("root_a").alias("a"), F.col("root_b").alias("b")).distinct())
-        found = not links.isEmpty()
         roots = contract(roots, links)
-        turn += 1
     return signed, roots
 
 
