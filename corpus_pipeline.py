@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.llm import decontaminate, near_dedup, pieces, substring_dedup, toxicity
-from lectern.llm.token_counts import shared_folder
+from lectern.llm.common import shared_folder
 
 
 def _tidy(rows: DataFrame, like: DataFrame) -> DataFrame:

@@ -371,5 +371,23 @@ def settle(df: DataFrame, spark: SparkSession | None = None) -> DataFrame:
     return df.checkpoint(True)
 
 
+def shared_folder(spark) -> str:
+    """The folder that driver and executors share, from the session; one of our own only where none is set."""
+    import tempfile
+
+    return spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="lectern-")
+
+
+def store(df: DataFrame) -> DataFrame:
+    """df written once as a table in the shared folder and read back: for loops, since a checkpoint carries its
+    plan's constraints along, which grow with every step that renames."""
+    import uuid
+
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/step-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

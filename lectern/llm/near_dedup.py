@@ -180,11 +180,11 @@ def contract(roots: DataFrame, links: DataFrame) -> DataFrame:
     """
     while not links.isEmpty():
         both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = C.settle(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("to")))
+        least = C.store(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("to")))
         one, two = (least.select(F.col("a").alias(x), F.col("to").alias(f"to_{x}")) for x in ("a", "b"))
-        links = C.settle(links.join(one, "a").join(two, "b").where("to_a <> to_b").select(F.col("to_a").alias("a"), F.col("to_b").alias("b")).distinct())
+        links = C.store(links.join(one, "a").join(two, "b").where("to_a <> to_b").select(F.col("to_a").alias("a"), F.col("to_b").alias("b")).distinct())
         moved = least.withColumnRenamed("a", "root")
-        roots = C.settle(roots.join(moved, "root", "left").select("set", F.coalesce("to", "root").alias("root")))
+        roots = C.store(roots.join(moved, "root", "left").select("set", F.coalesce("to", "root").alias("root")))
     return roots
 
 
@@ -208,9 +208,9 @@ def open_pairs(buckets: DataFrame, roots: DataFrame, turn: int):
 def classes(docs: DataFrame, *, words: int = WORDS, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, rounds: int = ROUNDS, small: int = SMALL, id_col: str = "doc_id", text_col: str = "text"):
     """(signed, roots): the settled signatures of all rows, and (set, root) of every text that has a link."""
     columns = {"id_col": id_col, "text_col": text_col}
-    signed = C.settle(signatures(docs, words, bands, rows, **columns))
-    buckets = C.settle(shared_buckets(signed))
-    sets = C.settle(shingle_sets(docs, signed, buckets, words, **columns))
+    signed = C.store(signatures(docs, words, bands, rows, **columns))
+    buckets = C.store(shared_buckets(signed))
+    sets = C.store(shingle_sets(docs, signed, buckets, words, **columns))
     roots = buckets.select("set", F.col("set").alias("root")).distinct()
     for turn in range(rounds + 1):
         rest, pairs = open_pairs(buckets, roots, turn)
@@ -220,7 +220,7 @@ def classes(docs: DataFrame, *, words: int = WORDS, similarity: float = SIMILARI
             pairs = pairs.unionByName(one.join(two, "bucket").where("root <> root_b AND a > b").select("a", "b"))
         links = verified(pairs.distinct(), sets, similarity)
         of_a, of_b = (roots.select(F.col("set").alias(x), F.col("root").alias(f"root_{x}")) for x in ("a", "b"))
-        links = C.settle(links.join(of_a, "a").join(of_b, "b").select(F.col("root_a").alias("a"), F.col("root_b").alias("b")).distinct())
+        links = C.store(links.join(of_a, "a").join(of_b, "b").select(F.col("root_a").alias("a"), F.col("root_b").alias("b")).distinct())
         roots = contract(roots, links)
     return signed, roots
 

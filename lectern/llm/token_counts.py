@@ -112,19 +112,12 @@ def scan(blocks: DataFrame, *, end: int = END) -> DataFrame:
     return lengths.select("file", (F.col("number") + F.col("i")).alias("document"), "n_tokens")
 
 
-def shared_folder(spark) -> str:
-    """The folder that driver and executors share, from the session; one of our own only where none is set."""
-    import tempfile
-
-    return spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="lectern-")
-
-
 def token_counts(docs: DataFrame, *, vocabulary: str = f"{TOKENIZERS}/byte_bpe_50k.tiktoken", block: int = BLOCK, end: int = END, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_tokens) of every row: its tokens are written to flat files once, and the files are scanned."""
     import uuid
 
     spark = docs.sparkSession
-    folder = f"{shared_folder(spark)}/tokens-{uuid.uuid4().hex}"
+    folder = f"{C.shared_folder(spark)}/tokens-{uuid.uuid4().hex}"
     flat_files(docs, load_ranks(vocabulary), block=block, end=end, id_col=id_col, text_col=text_col).write.option("compression", "zstd").parquet(folder)
     stored = spark.read.parquet(folder)
     lengths = scan(stored.where("block IS NOT NULL").select("file", "block", "tokens"), end=end)
