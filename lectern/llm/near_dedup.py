@@ -8,11 +8,12 @@ probability of their weighted Jaccard similarity. Points are generated only up t
 slots are filled, about m log m points a document whatever its length.
 
 Documents with equal multisets are one text from then on, found by partial aggregation. Texts that agree in
-a band share a bucket. No bucket forms all its pairs: a round verifies each member against pivots of its
-buckets, others each round, links join classes, and only members of different classes go on. In the
-last round the buckets of at most `small` members that still hold several classes verify the pairs between
-them. What larger buckets still hold apart has failed `TESTS` tests a round against other members: a text
-whose similarity reaches the bound with a share s of them is left out with probability (1 - s) ** 24.
+a band share a bucket. Rounds come first: each verifies every member against pivots of its buckets, others
+each round, links join classes, and only members of different classes go on. Then what is still apart is
+verified in full. Buckets of at most `small` members list the pairs between their classes. Larger ones are
+dealt into blocks of bounded size, a class too large for a block into blocks of its own; two blocks meet in
+one group, unless both are of one class, and give only the links found. A pair is looked at in the first
+bucket that both texts share. So every candidate pair is verified or already within one class.
 
 Defined results: texts of fewer than `words` words (but not none) are one shingle; texts without words, null
 ones included, are classes of their own; equal texts are one class whatever their ids; the class id is the
@@ -31,8 +32,10 @@ from lectern.llm import common as C
 WORDS = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 24, 4
-ROUNDS = 3
+ROUNDS = 2
 SMALL = 16
+BLOCK = 1 << 20
+MEMBER = 512
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _OCC = np.uint64(0xC2B2AE3D27D4EB4F)
 SHINGLE_BYTES = 5
@@ -126,11 +129,11 @@ def shared_buckets(signed: DataFrame) -> DataFrame:
 
 
 def shingle_sets(docs: DataFrame, signed: DataFrame, buckets: DataFrame, words: int, **columns: str) -> DataFrame:
-    """(set, blob) of the texts in shared buckets: the multiset's hashes, a count's repetitions told apart."""
-    some = signed.where("set IS NOT NULL").groupBy("set").agg(F.min(F.struct("k", "f")).alias("at"))
-    wanted = some.join(buckets.select("set").distinct(), "set", "left_semi").select("set", "at.k", "at.f")
+    """(set, keys, size, blob) of the texts in shared buckets: the multiset's hashes, a count's repetitions told apart."""
+    some = signed.where("set IS NOT NULL").groupBy("set").agg(F.min(F.struct("k", "f", "keys")).alias("at"))
+    wanted = some.join(buckets.select("set").distinct(), "set", "left_semi").select("set", "at.k", "at.f", "at.keys")
     left = C.zipped(docs, keep=[], **columns)
-    both = left.join(wanted, (left["_k"] == wanted["k"]) & (left["_f"] == wanted["f"])).select("set", "_text")
+    both = left.join(wanted, (left["_k"] == wanted["k"]) & (left["_f"] == wanted["f"])).select("set", "keys", "_text")
 
     def run(batches):
         import zstandard
@@ -146,9 +149,17 @@ def shingle_sets(docs: DataFrame, signed: DataFrame, buckets: DataFrame, words:
                 value = value[np.lexsort((value, row))]
                 at = np.searchsorted(row, np.arange(flat.n + 1))
                 blobs = [C.planes(value[a:b], SHINGLE_BYTES) for a, b in zip(at, at[1:], strict=False)]
-                yield pa.RecordBatch.from_arrays([part.column("set"), pa.array(blobs, pa.binary())], ["set", "blob"])
+                yield pa.RecordBatch.from_arrays([part.column("set"), part.column("keys"), pa.array(np.diff(at)), pa.array(blobs, pa.binary())], ["set", "keys", "size", "blob"])
 
-    return both.mapInArrow(run, "set binary, blob binary").dropDuplicates(["set"])
+    return both.mapInArrow(run, "set binary, keys array<long>, size long, blob binary").dropDuplicates(["set"])
+
+
+def alike(p: np.ndarray, q: np.ndarray, similarity: float) -> bool:
+    """Whether two sorted sets' Jaccard similarity reaches the bound."""
+    if min(len(p), len(q)) < similarity * max(len(p), len(q)):
+        return False
+    common = len(np.intersect1d(p, q, assume_unique=True))
+    return common >= similarity * (len(p) + len(q) - common)
 
 
 def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
@@ -161,12 +172,7 @@ def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
         for batch in batches:
             keep = []
             for x, y in zip(batch.column("blob_a"), batch.column("blob_b"), strict=True):
-                p, q = (C.unplanes(v.as_py(), np.uint64, SHINGLE_BYTES) for v in (x, y))
-                if min(len(p), len(q)) < similarity * max(len(p), len(q)):
-                    keep.append(False)
-                    continue
-                common = len(np.intersect1d(p, q, assume_unique=True))
-                keep.append(common >= similarity * (len(p) + len(q) - common))
+                keep.append(alike(*(C.unplanes(v.as_py(), np.uint64, SHINGLE_BYTES) for v in (x, y)), similarity))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     return both.mapInArrow(run, "a binary, b binary")
@@ -205,7 +211,53 @@ def open_pairs(buckets: DataFrame, roots: DataFrame, turn: int):
     return rest, pairs.select(F.greatest("set", "pivot").alias("a"), F.least("set", "pivot").alias("b"))
 
 
-def classes(docs: DataFrame, *, words: int = WORDS, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, rounds: int = ROUNDS, small: int = SMALL, id_col: str = "doc_id", text_col: str = "text"):
+def blocks(members: DataFrame, limit: int) -> DataFrame:
+    """members (bucket, set, root, size) with block_a and block_b, the two blocks that meet, and their own, block.
+
+    A block holds texts of about `limit` shingles at most, every text counting `MEMBER` more. Classes heavier
+    than that have blocks of their own, the others are dealt by class, so that no block meets its own class alone.
+    """
+    weight = F.sum(F.col("size") + MEMBER).alias("weight")
+    heavy = members.groupBy("bucket", "root").agg(weight).withColumn("own", F.when(F.col("weight") > limit, F.hex("root")).otherwise(""))
+    parts = heavy.groupBy("bucket", "own").agg(F.ceil(F.sum("weight") / limit).alias("parts"))
+    placed = members.join(heavy.select("bucket", "root", "own"), ["bucket", "root"]).join(parts, ["bucket", "own"])
+    dealt = F.pmod(F.xxhash64(F.when(F.col("own") == "", F.col("root")).otherwise(F.col("set"))), F.col("parts"))
+    placed = placed.select("bucket", "set", "root", F.concat_ws(":", "own", dealt).alias("block"))
+    one = parts.select("bucket", F.col("own").alias("own_a"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part")).select("bucket", "own_a", F.concat_ws(":", "own_a", "part").alias("block_a"))
+    two = one.select("bucket", F.col("own_a").alias("own_b"), F.col("block_a").alias("block_b"))
+    meet = one.join(two, "bucket").where("block_a <= block_b AND (own_a = '' OR own_a <> own_b)")
+    sides = meet.select("bucket", "block_a", "block_b", F.explode(F.array_distinct(F.array("block_a", "block_b"))).alias("block"))
+    return placed.join(sides, ["bucket", "block"])
+
+
+def block_links(members: DataFrame, sets: DataFrame, similarity: float, limit: int) -> DataFrame:
+    """The links (a, b) between different classes of members (bucket, set, root) whose first shared bucket it is."""
+
+    def run(key, table):
+        if table.column("block_a")[0] != table.column("block_b")[0] and len(set(table.column("block").to_pylist())) < 2:
+            return table.select(["set"]).slice(0, 0).append_column("b", pa.array([], pa.binary())).rename_columns(["a", "b"])
+        names, bucket = table.column("set").to_pylist(), key[0].as_py()
+        root = np.unique(np.array(table.column("root").to_pylist(), object), return_inverse=True)[1]
+        side = np.unique(np.array(table.column("block").to_pylist(), object), return_inverse=True)[1]
+        keys = np.array(table.column("keys").to_pylist(), np.int64)
+        tokens = [C.unplanes(v, np.uint64, SHINGLE_BYTES) for v in table.column("blob").to_pylist()]
+        size, across = np.array([len(t) for t in tokens]), len(set(side)) > 1
+        found = []
+        for i in range(len(names) - 1):
+            j = np.arange(i + 1, len(names))
+            j = j[(root[j] != root[i]) & (np.minimum(size[j], size[i]) >= similarity * np.maximum(size[j], size[i]))]
+            if across:
+                j = j[side[j] != side[i]]
+            first = (keys[j] == keys[i]).argmax(axis=1)
+            found += [(names[i], names[x]) for x in j[keys[i][first] == bucket] if alike(tokens[i], tokens[x], similarity)]
+        return pa.table({"a": pa.array([x for x, _ in found], pa.binary()), "b": pa.array([y for _, y in found], pa.binary())})
+
+    sized = members.join(sets.select("set", "size"), "set")
+    rows = blocks(sized, limit).join(sets.select("set", "keys", "blob"), "set")
+    return rows.groupBy("bucket", "block_a", "block_b").applyInArrow(run, "a binary, b binary")
+
+
+def classes(docs: DataFrame, *, words: int = WORDS, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, rounds: int = ROUNDS, small: int = SMALL, block: int = BLOCK, id_col: str = "doc_id", text_col: str = "text"):
     """(signed, roots): the settled signatures of all rows, and (set, root) of every text that has a link."""
     columns = {"id_col": id_col, "text_col": text_col}
     signed = C.store(signatures(docs, words, bands, rows, **columns))
@@ -217,8 +269,10 @@ def classes(docs: DataFrame, *, words: int = WORDS, similarity: float = SIMILARI
         if turn == rounds:
             one = rest.where(F.col("n") <= small).select("bucket", F.col("set").alias("a"), "root")
             two = one.select("bucket", F.col("a").alias("b"), F.col("root").alias("root_b"))
-            pairs = pairs.unionByName(one.join(two, "bucket").where("root <> root_b AND a > b").select("a", "b"))
+            pairs = one.join(two, "bucket").where("root <> root_b AND a > b").select("a", "b")
         links = verified(pairs.distinct(), sets, similarity)
+        if turn == rounds:
+            links = links.unionByName(block_links(rest.where(F.col("n") > small).select("bucket", "set", "root"), sets, similarity, block))
         of_a, of_b = (roots.select(F.col("set").alias(x), F.col("root").alias(f"root_{x}")) for x in ("a", "b"))
         links = C.store(links.join(of_a, "a").join(of_b, "b").select(F.col("root_a").alias("a"), F.col("root_b").alias("b")).distinct())
         roots = contract(roots, links)

@@ -1,5 +1,6 @@
 """The operators against brute force on small tables with nulls, empty and repeated rows, and clashing columns."""
 
+import random
 import re
 from collections import Counter
 
@@ -66,6 +67,38 @@ def test_near_duplicates(docs):
     assert sorted(r.doc_id for r in near_dedup.keep_one(docs).collect()) == [1, 3, 4, 5, 6, 7]
 
 
+@pytest.mark.parametrize("block", [1 << 20, 6000])
+def test_large_buckets_lose_no_link(spark, block):
+    """Texts around the bound, several hundred in few buckets: classes equal those of all candidate pairs, verified."""
+    draw = random.Random(7)
+    texts = []
+    for theme in range(3):
+        base = [f"t{theme}x{i}" for i in range(90)]
+        for _ in range(60):
+            own = list(base)
+            for at in draw.sample(range(90), draw.randint(1, 4)):
+                own[at] = f"n{draw.random()}"
+            texts.append(" ".join(own))
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    signed, roots = near_dedup.classes(rows, rows=1, rounds=1, small=3, block=block)
+    placed = {r.k: (r.set, r["keys"]) for r in signed.collect()}
+    root = {r.set: r.root for r in roots.collect()}
+    bags = [{tuple(words(t)[i : i + 5]) for i in range(86)} for t in texts]
+    alone = {s: s for s, _ in placed.values()}
+
+    def find(x):
+        while alone[x] != x:
+            x = alone[x]
+        return x
+
+    for i in placed:
+        for j in range(i):
+            if set(placed[i][1]) & set(placed[j][1]) and len(bags[i] & bags[j]) >= 0.8 * len(bags[i] | bags[j]):
+                alone[find(placed[i][0])] = find(placed[j][0])
+    pairs = {(find(s), root.get(s, s)) for s, _ in placed.values()}
+    assert len(pairs) == len({a for a, _ in pairs}) == len({b for _, b in pairs})
+
+
 def test_pieces_equal_the_library(spark):
     library = sentencepiece.SentencePieceProcessor(model_file=pieces.MODEL)
     texts = [A, B, "", None, "internationalization" * 9, " " * 90, "a  b\né\U0001d538" * 9]
