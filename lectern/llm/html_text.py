@@ -1,11 +1,14 @@
 """HTML extraction: composite text density. Every node of the DOM gets its characters per tag, adjusted for
-links; the densities of a node's children are summed, the container with the largest sum is the article, and
-the smallest density on its path from the body is the threshold for what else is text.
+links; the densities of a node's children are summed, the container with the largest sum is the best, and the
+smallest density on its path from the body is the threshold for what else is text.
 
 Nodes that say what they are (menus, page headers, footers, sidebars, notices, adverts, forms, comments, by
-element or by class and id) and what is never shown go before densities are computed. Inside the article a
-block is kept unless it is mostly links and less dense than the threshold; outside it, only if it is at
-least as dense and has few links.
+element or by class and id) and what is never shown go before densities are computed, but for those that
+hold the page's article (`free_wrappers`). The text's region is the main or article element around the best
+container (with the articles beside it that are labelled alike), else the lowest node around it that leaves
+no section, heading, paragraph or bare text beside it. Of an article all goes out that is not aside; of
+another region a block goes if it is mostly links and less dense than the threshold; outside, a block is
+kept only if it is at least as dense and has few links.
 
 One page is one row of a map without shuffle; work and memory follow the page's length.
 
@@ -42,6 +45,12 @@ ASIDE_WORDS = frozenset(
     "notice cookie cookies consent gdpr popup modal overlay newsletter subscribe signup share sharing social related recommended comment comments disqus reply replies "
     "breadcrumb breadcrumbs pagination pager login search skip toolbar copyright".split()
 )
+# Those of the words that themes also give to wrappers of the whole page ("with-sidebar", "fixed-header").
+LAYOUT_WORDS = frozenset("nav navbar navigation menu header masthead footer sidebar aside banner widget share sharing social search toolbar".split())
+# Elements that are the page's text or a part of it, and those beside which a container is only a part.
+TEXTS = frozenset(("article", "main"))
+PARTS = frozenset("ul ol dl table tbody details figure fieldset center header".split())
+FLOW = frozenset("h1 h2 h3 h4 h5 h6 p pre blockquote".split())
 _DROP = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|textarea|svg|iframe|title)\b[^>]*>.*?(?:</\1\s*>|\Z)|<[!?][^>]*>", re.S | re.I)
 _TAG = re.compile(r"(</?[a-zA-Z][^>\"']*(?:(?:\"[^\"]*\"|'[^']*')[^>\"']*)*>)")
 _CUT = re.compile(r"</?[a-zA-Z][^<>]*\Z")
@@ -50,10 +59,10 @@ _LABEL = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>
 
 
 class Node:
-    __slots__ = ("tag", "parent", "children", "parts", "chars", "tags", "links", "link_tags", "aside", "density")
+    __slots__ = ("tag", "parent", "children", "parts", "chars", "tags", "links", "link_tags", "aside", "density", "label")
 
-    def __init__(self, tag: str, parent: Node | None, aside: bool = False):
-        self.tag, self.parent, self.aside = tag, parent, aside
+    def __init__(self, tag: str, parent: Node | None, aside: bool = False, label: tuple[str, ...] = ()):
+        self.tag, self.parent, self.aside, self.label = tag, parent, aside, label
         self.children: list[Node] = []
         self.parts: list[Node | str] = []
         if parent is not None:
@@ -61,12 +70,17 @@ class Node:
             parent.parts.append(self)
 
 
-def is_aside(name: str, tag: str, inside_article: bool) -> bool:
+def labels(tag: str) -> tuple[str, ...]:
+    """The words in class, id and role of a tag."""
+    if "=" not in tag:
+        return ()
+    return tuple(w for found in _LABEL.finditer(tag) for w in re.split(r"[\s_\-]+", (found[1] or found[2] or found[3] or "").lower()) if w)
+
+
+def is_aside(name: str, label: tuple[str, ...], inside_article: bool) -> bool:
     if name in HIDDEN or name in CHROME or (name == "header" and not inside_article):
         return True
-    if name in ("article", "main", "body", "html") or "=" not in tag:
-        return False
-    return any(w in ASIDE_WORDS for found in _LABEL.finditer(tag) for w in re.split(r"[\s_\-]+", (found[1] or found[2] or found[3] or "").lower()))
+    return name not in ("article", "main", "body", "html") and any(w in ASIDE_WORDS for w in label)
 
 
 def parse(page: str) -> Node:
@@ -104,13 +118,49 @@ def parse(page: str) -> Node:
                 at -= 1
             if at > 0 and stack[at].tag in closed:
                 close(at)
-        node = Node(name, stack[-1], is_aside(name, piece, articles > 0))
+        label = labels(piece)
+        node = Node(name, stack[-1], is_aside(name, label, articles > 0), label)
         if name not in VOID and not piece.endswith("/>"):
             stack.append(node)
             articles += name in ("article", "main")
+    free_wrappers(root)
     return root
 
 
+def free_wrappers(root: Node) -> None:
+    """Takes the aside mark from nodes that hold the page's text: around a main element always, around an article
+    that has as much text as all that is not aside, and for a name of `LAYOUT_WORDS` alone if the node itself has
+    as much."""
+    nodes, todo = [], [root]
+    while todo:
+        node = todo.pop()
+        if node.tag not in HIDDEN:
+            nodes.append(node)
+            todo.extend(node.children)
+    if not any(n.aside for n in nodes):
+        return
+    shown: dict[int, int] = {}
+    most: dict[int, int] = {}
+    has_main: set[int] = set()
+    for node in reversed(nodes):
+        below = [c for c in node.children if c.tag not in HIDDEN]
+        own = sum(len(p.strip()) for p in node.parts if isinstance(p, str))
+        shown[id(node)] = 0 if node.tag == "a" else own + sum(shown[id(c)] for c in below if not c.aside)
+        most[id(node)] = max([shown[id(node)] if node.tag == "article" else 0, *(most[id(c)] for c in below)])
+        if node.tag == "main" or any(id(c) in has_main for c in below):
+            has_main.add(id(node))
+    inside = [(root, max(1, shown[id(root)]))]
+    while inside:
+        node, rest = inside.pop()
+        if node.aside:
+            named = [w for w in node.label if w in ASIDE_WORDS]
+            layout = node.tag not in CHROME and node.tag != "header" and all(w in LAYOUT_WORDS for w in named)
+            if id(node) not in has_main and most[id(node)] < rest and not (layout and not has_main and shown[id(node)] >= rest):
+                continue
+            node.aside, rest = False, rest + shown[id(node)]
+        inside.extend((c, rest) for c in node.children if c.tag not in HIDDEN)
+
+
 def in_order(root: Node) -> list[Node]:
     """All nodes that are not aside, parents first."""
     found, todo = [], [root]
@@ -140,6 +190,32 @@ def measure(nodes: list[Node]) -> None:
         node.density = chars / tags * math.log(max(1.0, chars / links * tags / max(1, node.link_tags)) + 1e-9 + (chars > 0)) / math.log(base + 1) if chars else 0.0
 
 
+def has_text(node: Node) -> bool:
+    return not node.aside and node.chars > 0 and 2 * node.links <= node.chars
+
+
+def regions(best: Node) -> list[Node]:
+    """The nodes whose text is the page's, by the container with the largest sum of densities."""
+    around, up = [], best
+    while up is not None:
+        around.append(up)
+        up = up.parent
+    for tag in ("main", "article"):
+        if found := [n for n in around if n.tag == tag]:
+            node = found[-1]
+            beside = node.parent.children if tag == "article" else [node]
+            return [n for n in beside if n is node or (n.tag == tag and n.label == node.label and has_text(n))]
+    node = best
+    while node.parent is not None:
+        others = [n for n in node.parent.children if n is not node and has_text(n)]
+        flows = any(n.tag in FLOW for n in others) or any(isinstance(p, str) and p.strip() for p in node.parent.parts)
+        alike = any(n.tag == node.tag and (n.tag == "section" or n.label == node.label) for n in others)
+        if not (flows or alike or node.tag in PARTS):
+            break
+        node = node.parent
+    return [node]
+
+
 def main_text(page: str | None) -> str:
     if not page:
         return ""
@@ -153,11 +229,18 @@ def main_text(page: str | None) -> str:
         path.append(up)
         up = up.parent
     threshold = min(n.density for n in path)
-    onward = {id(n) for n in path}
+    wanted = regions(best)
+    kept, onward = {id(n) for n in wanted}, set()
+    for node in wanted:
+        up = node.parent
+        while up is not None:
+            onward.add(id(up))
+            up = up.parent
+    whole = frozenset(("article",)) if any(n.tag == "article" for n in path) else TEXTS
     out: list[str] = []
-    todo: list[tuple[Node | str, bool]] = [(root, best is root)]
+    todo: list[tuple[Node | str, bool, bool]] = [(root, id(root) in kept, False)]
     while todo:
-        part, inside = todo.pop()
+        part, inside, free = todo.pop()
         if isinstance(part, str):
             if inside:
                 out.append(part)
@@ -166,13 +249,14 @@ def main_text(page: str | None) -> str:
             out.append(" " if part.tag in BLOCK else "")
             continue
         linky = 2 * part.links > part.chars
-        if inside and part.tag in BLOCK and linky and part.density < threshold:
+        if inside and not free and part.tag in BLOCK and linky and part.density < threshold:
             out.append(" ")
             continue
-        within = inside or part is best or (id(part) not in onward and part.tag in BLOCK and not linky and part.chars > 0 and part.density >= threshold)
+        within = inside or id(part) in kept or (id(part) not in onward and part.tag in BLOCK and not linky and part.chars > 0 and part.density >= threshold)
+        free = free or (within and part.tag in whole)
         around = " " if part.tag in BLOCK else ""
-        todo.append((around, True))
-        todo.extend((p, within) for p in reversed(part.parts))
+        todo.append((around, True, free))
+        todo.extend((p, within, free) for p in reversed(part.parts))
         out.append(around)
     return " ".join("".join(out).split())
 
