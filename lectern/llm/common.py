@@ -192,7 +192,7 @@ def unpack(frame) -> dict[str, np.ndarray]:
         counts = unplanes(row.counts, np.uint32).astype(np.int64)
         got["key"].append(unplanes(row.keys, np.uint64, KEY_BYTES))
         got["k"].append(np.repeat(np.cumsum(unplanes(row.ks, np.int64)), counts))
-        got["f"].append(np.repeat(unplanes(row.fs, np.int32), counts))
+        got["f"].append(np.repeat(unplanes(row.fs, np.int64), counts))
         got["place"].append(unsteps(unplanes(row.places, np.uint32), counts))
         if row.tags is not None:
             got["tag"].append(unplanes(row.tags, np.uint64))
@@ -214,8 +214,8 @@ def runs(*columns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 MARKS = "g int, ks binary, fs binary, counts binary, places binary, tags binary"
-PLACES = "k long, f int, marks binary"
-TAGGED_PLACES = "k long, f int, marks binary, tags binary"
+PLACES = "k long, f long, marks binary"
+TAGGED_PLACES = "k long, f long, marks binary, tags binary"
 
 
 def pack_marks(groups: int, k: np.ndarray, f: np.ndarray, place: np.ndarray, tags: np.ndarray | None = None) -> list[tuple]:
@@ -229,7 +229,7 @@ def pack_marks(groups: int, k: np.ndarray, f: np.ndarray, place: np.ndarray, tag
     for a, b in zip(*runs(g), strict=True):
         firsts, ends = runs(k[a:b], f[a:b])
         counts = ends - firsts
-        rows.append((int(g[a]), planes(np.diff(k[a:b][firsts], prepend=0)), planes(f[a:b][firsts].astype(np.int32)), planes(counts.astype(np.uint32)), planes(steps(place[a:b], counts)), None if tags is None else planes(tags[a:b])))
+        rows.append((int(g[a]), planes(np.diff(k[a:b][firsts], prepend=0)), planes(f[a:b][firsts]), planes(counts.astype(np.uint32)), planes(steps(place[a:b], counts)), None if tags is None else planes(tags[a:b])))
     return rows
 
 
@@ -244,7 +244,7 @@ def merge_marks(packed: DataFrame, dtype: type) -> DataFrame:
         for row in frame.itertuples(index=False):
             counts = unplanes(row.counts, np.uint32).astype(np.int64)
             got[0].append(np.repeat(np.cumsum(unplanes(row.ks, np.int64)), counts))
-            got[1].append(np.repeat(unplanes(row.fs, np.int32), counts))
+            got[1].append(np.repeat(unplanes(row.fs, np.int64), counts))
             got[2].append(unsteps(unplanes(row.places, dtype), counts))
             if tagged:
                 got[3].append(unplanes(row.tags, np.uint64))
@@ -261,8 +261,8 @@ def merge_marks(packed: DataFrame, dtype: type) -> DataFrame:
 
 
 def keyed(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """k, f and text: the id (null: NULL_KEY) and a fingerprint of the text, which together name a row and its
-    exact repetitions."""
+    """k, f and text: the id (null: NULL_KEY) and a 64-bit fingerprint of the text, which together name a row and its
+    exact repetitions; of n different texts under one id two share a name with a probability of n**2 / 2**65."""
     k, f, text = _key_columns(docs, id_col, text_col)
     return docs.select(k.alias("k"), f.alias("f"), text.alias("text"))
 
@@ -295,7 +295,7 @@ def zipped(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", k
 
 
 def _key_columns(docs: DataFrame, id_col: str, text_col: str):
-    return F.coalesce(docs[id_col].cast("long"), F.lit(NULL_KEY)), F.xxhash64(docs[text_col]).bitwiseAND(0x7FFFFFFF).cast("int"), docs[text_col].cast("string")
+    return F.coalesce(docs[id_col].cast("long"), F.lit(NULL_KEY)), F.xxhash64(docs[text_col]), docs[text_col].cast("string")
 
 
 def rewrite(docs: DataFrame, marks: DataFrame, change, extra: str, *, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None, as_bytes: bool = False, how: str = "left") -> DataFrame:

@@ -117,7 +117,7 @@ def signatures(docs: DataFrame, words: int, bands: int, rows: int, **columns: st
             lists = pa.ListArray.from_arrays(pa.array(np.arange(flat.n + 1, dtype=np.int32) * bands), pa.array(keys.view(np.int64).ravel()))
             yield pa.RecordBatch.from_arrays([batch.column("k"), batch.column("f"), sets, lists], ["k", "f", "set", "keys"])
 
-    return C.keyed(docs, **columns).mapInArrow(run, "k long, f int, set binary, keys array<long>")
+    return C.keyed(docs, **columns).mapInArrow(run, "k long, f long, set binary, keys array<long>")
 
 
 def shared_buckets(signed: DataFrame) -> DataFrame:

@@ -268,7 +268,7 @@ def _encode_large(docs: DataFrame, shared, longest: int, chunk: int, id_col: str
             for k, f, n, c, left, right, text in spans(batch):
                 entries, exits, matrix = pieces.transfer(text, left, right, c == 0, c == n - 1)
                 rows.append((k, f, c, [a - left for e in entries for a in e], [a - right for e in exits for a in e], matrix.astype(np.float32).tobytes()))
-            kinds = [pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.binary()]
+            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.binary()]
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], ["k", "f", "c", "entries", "exits", "matrix"])
 
     def combine(frame):
@@ -293,7 +293,7 @@ def _encode_large(docs: DataFrame, shared, longest: int, chunk: int, id_col: str
         entries = [(0, 0), *exits[:-1]]
         return pd.DataFrame({"k": frame["k"].to_numpy(), "f": frame["f"].to_numpy(), "c": frame["c"].to_numpy(), "a": [e[0] for e in entries], "b": [e[1] for e in entries], "y": [e[0] for e in exits], "z": [e[1] for e in exits]})
 
-    states = C.settle(chunks.mapInArrow(look, "k long, f int, c int, entries array<int>, exits array<int>, matrix binary").groupBy("k", "f").applyInPandas(combine, "k long, f int, c int, a int, b int, y int, z int"))
+    states = C.settle(chunks.mapInArrow(look, "k long, f long, c int, entries array<int>, exits array<int>, matrix binary").groupBy("k", "f").applyInPandas(combine, "k long, f long, c int, a int, b int, y int, z int"))
 
     def back(batches):
         pieces = Pieces.of(shared.value)
@@ -303,7 +303,7 @@ def _encode_large(docs: DataFrame, shared, longest: int, chunk: int, id_col: str
                 out.append(pieces.trace(text, (left + a, left + b), (right + y, right + z), c == 0))
             yield pa.RecordBatch.from_arrays([batch.column("k"), batch.column("f"), batch.column("c"), pa.array(out, pa.list_(pa.int32()))], ["k", "f", "c", "ids"])
 
-    traced = chunks.join(states, ["k", "f", "c"]).select("k", "f", "n", "c", "left", "t", "a", "b", "y", "z").mapInArrow(back, "k long, f int, c int, ids array<int>")
+    traced = chunks.join(states, ["k", "f", "c"]).select("k", "f", "n", "c", "left", "t", "a", "b", "y", "z").mapInArrow(back, "k long, f long, c int, ids array<int>")
     ordered = traced.groupBy("k", "f").agg(F.array_sort(F.collect_list(F.struct("c", "ids"))).alias("parts"))
     return ordered.select("k", "f", F.flatten(F.col("parts.ids")).alias("ids"))
 

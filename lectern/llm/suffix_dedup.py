@@ -138,7 +138,7 @@ def candidate_texts(docs: DataFrame, wanted: DataFrame, length: int, buckets: in
                 start, size = (values >> np.uint64(8)).astype(np.int64), (values & np.uint64(255)).astype(np.int64) + length - 1
                 texts += [text[s : s + n] for s, n in zip(start.tolist(), size.tolist(), strict=True)]
                 ks.append(np.full(len(start), k, np.int64))
-                fs.append(np.full(len(start), f, np.int32))
+                fs.append(np.full(len(start), f, np.int64))
                 starts.append(start)
                 sizes.append(size)
                 keys.append(C.unplanes(tags, np.uint64))
@@ -239,7 +239,7 @@ def compare(candidates: DataFrame, length: int, groups: int) -> DataFrame:
         open_one = zstandard.ZstdDecompressor().decompress
         counts = [C.unplanes(x, np.uint32).astype(np.int64) for x in frame["counts"]]
         k = np.concatenate([np.repeat(C.unplanes(x, np.int64), n) for x, n in zip(frame["ks"], counts, strict=True)])
-        f = np.concatenate([np.repeat(C.unplanes(x, np.int32), n) for x, n in zip(frame["fs"], counts, strict=True)])
+        f = np.concatenate([np.repeat(C.unplanes(x, np.int64), n) for x, n in zip(frame["fs"], counts, strict=True)])
         start = np.concatenate([C.unplanes(x, np.int64) for x in frame["places"]])
         size = np.concatenate([C.unplanes(x, np.uint16).astype(np.int64) for x in frame["sizes"]])
         index = RunIndex(np.frombuffer(b"".join(map(open_one, frame["texts"])), np.uint8), size)
