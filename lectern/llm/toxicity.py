@@ -29,7 +29,6 @@ from lectern.llm import common as C
 
 LABELLED = 40_000
 LEXICON = 2_000
-CANDIDATES = 50_000
 LEAST_DF = 3
 EVIDENCE = 12.0
 PREFIX = (3, 12)
@@ -68,38 +67,30 @@ def is_training(doc_id):
 
 
 def learn_lexicon(sample: DataFrame, n_toxic: int, n_other: int, *, lexicon: int = LEXICON) -> dict[str, float]:
-    """Word beginnings and weights. sample: text and toxic, bounded; two counts of document frequencies."""
-
-    def count(wanted):
-        def run(batches):
-            for batch in batches:
-                found: dict[str, int] = {}
-                for text in batch.column("text").to_pylist():
-                    for p in prefixes(text) & wanted.value if wanted else prefixes(text):
-                        found[p] = found.get(p, 0) + 1
-                yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array(list(found.values()), pa.int64())], ["p", "n"])
-
-        return run
-
-    def total(rows: DataFrame, wanted=None) -> DataFrame:
-        return rows.select("text").mapInArrow(count(wanted), "p string, n long").groupBy("p").agg(F.sum("n").alias("n"))
-
-    toxic = total(sample.where("toxic = 1")).where(F.col("n") >= LEAST_DF).orderBy(F.desc("n"), "p").limit(CANDIDATES)
-    hits = {r.p: r.n for r in toxic.collect()}
-    shared = sample.sparkSession.sparkContext.broadcast(frozenset(hits))
-    misses = {r.p: r.n for r in total(sample.where("toxic = 0"), shared).collect()}
+    """Word beginnings and weights. sample: text and toxic, bounded; two counts of document frequencies, joined."""
+
+    def count(batches):
+        for batch in batches:
+            found: dict[str, int] = {}
+            for text in batch.column("text").to_pylist():
+                for p in prefixes(text):
+                    found[p] = found.get(p, 0) + 1
+            yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array(list(found.values()), pa.int64())], ["p", "n"])
+
+    def total(rows: DataFrame, name: str) -> DataFrame:
+        return rows.select("text").mapInArrow(count, "p string, n long").groupBy("p").agg(F.sum("n").alias(name))
+
     base = n_toxic / (n_toxic + n_other)
-    rated = []
-    for p, t in hits.items():
-        n = misses.get(p, 0)
-        evidence = t * math.log(t / ((t + n) * base)) + (n * math.log(n / ((t + n) * (1 - base))) if n else 0)
-        if t > n and evidence >= EVIDENCE:
-            rated.append((-evidence, -len(p), p, math.log((t + 0.5) / (n_toxic + 1)) - math.log((n + 0.5) / (n_other + 1))))
+    toxic = total(sample.where("toxic = 1"), "t").where(F.col("t") >= LEAST_DF)
+    both = toxic.join(total(sample.where("toxic = 0"), "m"), "p", "left").select("p", "t", F.coalesce("m", F.lit(0)).alias("n"))
+    t, n = F.col("t"), F.col("n")
+    evidence = t * F.log(t / ((t + n) * base)) + F.when(n > 0, n * F.log(n / ((t + n) * (1 - base)))).otherwise(0.0)
+    rated = both.withColumn("evidence", evidence).where((t > n) & (F.col("evidence") >= EVIDENCE)).orderBy(F.desc("evidence"), F.desc(F.length("p")), "p")
     chosen: dict[str, float] = {}
     begun: set[str] = set()
-    for _, _, p, weight in sorted(rated):
+    for p, t, n, _ in rated.toLocalIterator():
         if p not in begun and not any(p[:n] in chosen for n in range(PREFIX[0], len(p) + 1)):
-            chosen[p] = weight
+            chosen[p] = math.log((t + 0.5) / (n_toxic + 1)) - math.log((n + 0.5) / (n_other + 1))
             begun.update(p[:n] for n in range(PREFIX[0], len(p) + 1))
         if len(chosen) == lexicon:
             break
