@@ -2,12 +2,19 @@
 hashes, packed postings for the shuffle, and the read-side plumbing around documents.
 
 Postings are packed because a row per token window would cost more than thirty bytes in a shuffle; a row
-here holds the postings of one slice of texts that fall into one bucket of the key space, so Spark still
-partitions, shuffles and recovers the work, at eight or nine bytes a window.
+here holds the postings of PACK_BYTES of a task's texts that fall into one bucket of the key space, so Spark
+still partitions, shuffles and recovers the work, at eight or nine bytes a window.
+
+Common to all operators: ids are integers (another type is refused when the job is planned); a column that an
+operator adds replaces one of the same name in its input.
 """
 
 from __future__ import annotations
 
+import functools
+import re
+import tempfile
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,9 +24,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 19
 """Text that a task looks at in one go; a longer single text is a slice of its own."""
 
+PACK_BYTES = 8 << 20
+"""Text whose postings are packed together."""
+
+BATCH_BYTES = 4 << 20
+"""Bytes of an Arrow batch on its way to a Python worker."""
+
 NULL_KEY = (1 << 63) - 1
 """Order key of a null doc_id: larger than any other."""
 
@@ -51,14 +64,19 @@ BYTE_HASH = mix(np.arange(1, 257, dtype=np.uint64) * _MULT)
 _powers: dict[str, np.ndarray] = {}
 
 
+def _power_series(base: np.uint64, n: int) -> np.ndarray:
+    steps = np.full(n, base, np.uint64)
+    steps[:1] = 1
+    return np.cumprod(steps, dtype=np.uint64)
+
+
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The first n powers of the rolling base, and of its inverse, modulo 2**64."""
-    if len(_powers.get("up", ())) < n:
-        size = max(n, SLICE_BYTES + 1024)
-        for name, base in (("up", _BASE), ("down", _BASE_INV)):
-            steps = np.full(size, base, np.uint64)
-            steps[0] = 1
-            _powers[name] = np.cumprod(steps, dtype=np.uint64)
+    """The first n powers of the rolling base, and of its inverse, modulo 2**64; a worker keeps those of a slice."""
+    size = SLICE_BYTES + 1024
+    if n > size:
+        return _power_series(_BASE, n), _power_series(_BASE_INV, n)
+    if not _powers:
+        _powers.update(up=_power_series(_BASE, size), down=_power_series(_BASE_INV, size))
     return _powers["up"][:n], _powers["down"][:n]
 
 
@@ -108,8 +126,15 @@ class Flat:
         return starts, np.flatnonzero(inside & ~after) + 1, np.searchsorted(starts, self.offsets)
 
     def word_hashes(self, starts: np.ndarray, ends: np.ndarray, lower: bool = False) -> np.ndarray:
-        values = BYTE_HASH_LOWER[self.data] if lower else BYTE_HASH[self.data]
-        return mix(Roller(values).spans(starts, ends) + (ends - starts).astype(np.uint64) * _MULT)
+        """The hash of every word, a stretch of about SLICE_BYTES at a time."""
+        table, out, at = BYTE_HASH_LOWER if lower else BYTE_HASH, np.empty(len(starts), np.uint64), 0
+        while at < len(starts):
+            base = starts[at]
+            to = max(at + 1, int(np.searchsorted(ends, base + SLICE_BYTES, "right")))
+            size = (ends[at:to] - starts[at:to]).astype(np.uint64)
+            out[at:to] = mix(Roller(table[self.data[base : ends[to - 1]]]).spans(starts[at:to] - base, ends[at:to] - base) + size * _MULT)
+            at = to
+        return out
 
 
 BYTE_HASH_LOWER = BYTE_HASH.copy()
@@ -117,9 +142,11 @@ BYTE_HASH_LOWER[0x41:0x5B] = BYTE_HASH[0x61:0x7B]
 
 
 def slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """Cuts Arrow batches so that the column holds about so many bytes at most in each, one row at least."""
+    """Cuts Arrow batches so that the column holds about so many bytes (of a list: elements) at most in each, one
+    row at least."""
     for batch in batches:
-        sizes = pa.compute.binary_length(batch.column(column)).fill_null(0).to_numpy(zero_copy_only=False)
+        length = pa.compute.list_value_length if pa.types.is_list(batch.column(column).type) else pa.compute.binary_length
+        sizes = length(batch.column(column)).fill_null(0).to_numpy(zero_copy_only=False)
         ends, at = np.cumsum(sizes), 0
         while at < batch.num_rows:
             done = ends[at - 1] if at else 0
@@ -161,13 +188,13 @@ KEY_BYTES = 7
 
 
 def pack(buckets: int, keys: np.ndarray, rows: np.ndarray, places: np.ndarray, ks: np.ndarray, fs: np.ndarray, tags: np.ndarray | None = None) -> pa.RecordBatch:
-    """Postings (key, text row, place in the text) of a slice, as a row for each bucket of keys.
+    """Postings (key, text row, place in the text) of some texts, as a row for each bucket of keys.
 
     The bucket comes from the key's top bits and the row keeps the low 56, so that a key has 56 bits and
     the logarithm of the number of buckets. rows must not decrease. tags: a second 64-bit value a posting.
     """
     bucket = bucket_of(keys, buckets)
-    order = np.argsort(bucket.astype(np.uint16) if buckets <= 65536 else bucket, kind="stable")
+    order = np.argsort(bucket.astype(np.uint16) if buckets <= 65536 else bucket, kind="stable").astype(np.int32)
     bucket = bucket[order]
     cuts, ends = runs(bucket)
     out: dict[str, list] = {name.split()[0]: [] for name in POSTINGS.split(", ")}
@@ -185,22 +212,69 @@ def pack(buckets: int, keys: np.ndarray, rows: np.ndarray, places: np.ndarray, k
     return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out.values(), kinds, strict=True)], list(out))
 
 
+def pack_slices(batches: Iterator[pa.RecordBatch], buckets: int, look) -> Iterator[pa.RecordBatch]:
+    """pack() for a task's texts (k, f, text), about PACK_BYTES of them at a time.
+
+    look(flat) gives a slice's postings as (keys, rows, places, tags or None), or None if it has none.
+    """
+    held: list[list[np.ndarray]] = [[], [], [], []]
+    ks, fs, rows, size = [], [], 0, 0
+
+    def joined(parts: list[np.ndarray]) -> np.ndarray | None:
+        whole = np.concatenate(parts) if parts else None
+        parts.clear()
+        return whole
+
+    def packed():
+        nonlocal rows, size
+        keys, row, place, tags = map(joined, held)
+        yield pack(buckets, keys, row, place, joined(ks), joined(fs), tags)
+        rows = size = 0
+
+    for batch in slices(batches):
+        flat = Flat(batch.column("text"))
+        got = look(flat)
+        if got is None or not len(got[0]):
+            continue
+        for x, values in zip(held, got, strict=True):
+            if values is not None:
+                x.append(values)
+        held[1][-1] = held[1][-1].astype(np.int32) + np.int32(rows)
+        held[2][-1] = held[2][-1].astype(np.uint32)
+        ks.append(batch.column("k").to_numpy())
+        fs.append(batch.column("f").to_numpy())
+        rows, size = rows + flat.n, size + len(flat.data)
+        if size >= PACK_BYTES:
+            yield from packed()
+    if ks:
+        yield from packed()
+
+
 def unpack(frame) -> dict[str, np.ndarray]:
-    """The postings of a pandas frame of packed rows: key (low 56 bits), k, f, place, and tag if there is one."""
-    got: dict[str, list] = {n: [] for n in ("key", "k", "f", "place", "tag")}
-    for row in frame.itertuples(index=False):
-        counts = unplanes(row.counts, np.uint32).astype(np.int64)
-        got["key"].append(unplanes(row.keys, np.uint64, KEY_BYTES))
-        got["k"].append(np.repeat(np.cumsum(unplanes(row.ks, np.int64)), counts))
-        got["f"].append(np.repeat(unplanes(row.fs, np.int64), counts))
-        got["place"].append(unsteps(unplanes(row.places, np.uint32), counts))
-        if row.tags is not None:
-            got["tag"].append(unplanes(row.tags, np.uint64))
-    return {n: np.concatenate(v) for n, v in got.items() if v}
+    """The postings of a pandas frame of packed rows: key (low 56 bits), place, tag if there is one, and text, the
+    place of the posting's text in ks and fs."""
+    counts = [unplanes(x, np.uint32).astype(np.int64) for x in frame["counts"]]
+    total = sum(int(c.sum()) for c in counts)
+    out = {"key": np.empty(total, np.uint64), "place": np.empty(total, np.uint32)}
+    if frame["tags"].iat[0] is not None:
+        out["tag"] = np.empty(total, np.uint64)
+    at = 0
+    for row, count in zip(frame.itertuples(index=False), counts, strict=True):
+        to = at + int(count.sum())
+        out["key"][at:to] = unplanes(row.keys, np.uint64, KEY_BYTES)
+        out["place"][at:to] = unsteps(unplanes(row.places, np.uint32), count)
+        if "tag" in out:
+            out["tag"][at:to] = unplanes(row.tags, np.uint64)
+        at = to
+    out["ks"] = np.concatenate([np.cumsum(unplanes(x, np.int64)) for x in frame["ks"]])
+    out["fs"] = np.concatenate([unplanes(x, np.int64) for x in frame["fs"]])
+    counts = np.concatenate(counts)
+    out["text"] = np.repeat(np.arange(len(counts), dtype=np.int32), counts)
+    return out
 
 
 def bucket_of(keys: np.ndarray, buckets: int) -> np.ndarray:
-    return ((keys >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+    return ((keys >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int32)
 
 
 def runs(*columns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -274,7 +348,7 @@ def text_bytes(docs: DataFrame, text_col: str = "text") -> int:
 
 def bucket_count(units: float, each: int) -> int:
     """Buckets so that each gets about so many postings."""
-    return max(1, min(1 << 24, int(units // each) + 1))
+    return max(1, int(units // each) + 1)
 
 
 def zipped(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
@@ -294,7 +368,16 @@ def zipped(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", k
     return named.mapInArrow(squeeze, schema)
 
 
+def whole_ids(docs: DataFrame, id_col: str) -> DataFrame:
+    """docs, if its ids are integers."""
+    kind = docs.schema[id_col].dataType
+    if not isinstance(kind, (T.IntegralType, T.NullType)):
+        raise TypeError(f"{id_col} is {kind.simpleString()}; ids must be integers")
+    return docs
+
+
 def _key_columns(docs: DataFrame, id_col: str, text_col: str):
+    whole_ids(docs, id_col)
     return F.coalesce(docs[id_col].cast("long"), F.lit(NULL_KEY)), F.xxhash64(docs[text_col]), docs[text_col].cast("string")
 
 
@@ -334,6 +417,7 @@ def rewrite(docs: DataFrame, marks: DataFrame, change, extra: str, *, id_col: st
     return done.select(*columns, *[done[f.name] for f in added.fields])
 
 
+_BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
 _ARROW = {"bigint": pa.int64(), "int": pa.int32(), "boolean": pa.bool_(), "string": pa.string(), "double": pa.float64(), "binary": pa.binary()}
 
 
@@ -360,33 +444,74 @@ def cut(text: bytes, starts: np.ndarray, gone: np.ndarray) -> bytes:
     return (text[: at[0]] if not gone[0] else b"") + b"".join(kept)
 
 
-def settle(df: DataFrame, spark: SparkSession | None = None) -> DataFrame:
-    """Computes df once and cuts its lineage through the shared checkpoint folder (a local one only if none is set)."""
-    spark = spark or df.sparkSession
-    context = spark.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        import tempfile
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share, from the session; one of our own only on a single machine."""
+    if folder := spark.conf.get("spark.checkpoint.dir", None):
+        return folder
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return _own_folder()
+
+
+@functools.cache
+def _own_folder() -> str:
+    return "file://" + tempfile.mkdtemp(prefix="lectern-")
 
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lectern-"))
+
+def settle(df: DataFrame) -> DataFrame:
+    """Computes df once and cuts its lineage by a checkpoint in the shared folder."""
+    context = df.sparkSession.sparkContext
+    if context._jsc.sc().getCheckpointDir().isEmpty():
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(True)
 
 
-def shared_folder(spark) -> str:
-    """The folder that driver and executors share, from the session; one of our own only where none is set."""
-    import tempfile
+class Steps:
+    """Tables written once in the shared folder and read back, for loops, since a checkpoint carries its plan's
+    constraints along, which grow with every step that renames. done() removes all but the ones to keep."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.folder = spark, f"{shared_folder(spark)}/steps-{uuid.uuid4().hex}"
+        self.tables: list[DataFrame] = []
 
-    return spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="lectern-")
+    def store(self, df: DataFrame) -> DataFrame:
+        path = f"{self.folder}/{len(self.tables)}"
+        df.write.parquet(path)
+        self.tables.append(self.spark.read.schema(df.schema).parquet(path))
+        return self.tables[-1]
 
+    def done(self, *keep: DataFrame) -> None:
+        for i, table in enumerate(self.tables):
+            if not any(table is k for k in keep):
+                remove(self.spark, f"{self.folder}/{i}")
 
-def store(df: DataFrame) -> DataFrame:
-    """df written once as a table in the shared folder and read back: for loops, since a checkpoint carries its
-    plan's constraints along, which grow with every step that renames."""
-    import uuid
 
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/step-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder through Spark's own file systems."""
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def fresh(docs: DataFrame, name: str) -> str:
+    """A column name that docs do not have."""
+    while name in docs.columns:
+        name += "_"
+    return name
+
+
+def prepared(docs: DataFrame, *added: str) -> DataFrame:
+    """docs without the columns that an operator is about to add.
+
+    From now on the session's Arrow batches stay under BATCH_BYTES, unless it has a bound of its own, and its
+    Python workers give the memory of freed arrays back to the machine at once.
+    """
+    spark = docs.sparkSession
+    spark.sparkContext.environment.setdefault("MALLOC_MMAP_THRESHOLD_", str(1 << 18))
+    spark.sparkContext.environment.setdefault("ARROW_DEFAULT_MEMORY_POOL", "system")
+    if spark.conf.get(_BATCH_SETTING, None) is None:
+        spark.conf.set(_BATCH_SETTING, str(BATCH_BYTES))
+    return docs.drop(*[c for c in docs.columns if c in added])
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

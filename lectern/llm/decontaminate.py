@@ -1,8 +1,9 @@
 """Benchmark decontamination: a generalised suffix automaton of the normalised test items; training tokens
 stream through it, longest matching lengths are tracked, and spans over the length or coverage limits go.
 
-The items are cut into blocks of at most `block_words` words, which bounds what is sent to the workers; each
-block's automaton is one more map over the documents, chained without any shuffle. A vectorised look at
+The items are cut into blocks of about `block_words` words, which bounds what is sent to the workers; each
+block's automaton is one map over the documents, without any shuffle. Between two blocks the documents with
+their hits so far are checkpointed, so that a worker holds one automaton however many items there are. A vectorised look at
 word pairs finds the stretches whose every pair occurs in some item, and only those stretches step through
 the automaton, on the words themselves: between them the matching length is at most one word, so nothing is
 lost, and a hash never decides.
@@ -171,9 +172,9 @@ def hits(docs: DataFrame, items: DataFrame, *, window: int = WINDOW, block_words
     """docs with _hit (a bit for each word: inside an occurring window) and _items (names of those items)."""
     place = docs.columns.index(text_col)
     found = docs.withColumns({"_hit": F.lit(None).cast("binary"), "_items": F.lit(None).cast("array<string>")})
-    for automaton in item_blocks(items, window, block_words, item_id_col, item_text_col):
+    for i, automaton in enumerate(item_blocks(items, window, block_words, item_id_col, item_text_col)):
         shared = docs.sparkSession.sparkContext.broadcast((automaton, automaton.hashes()))
-        found = found.mapInArrow(scanner(shared, place), found.schema)
+        found = (C.settle(found) if i else found).mapInArrow(scanner(shared, place), found.schema)
     return found
 
 
@@ -231,7 +232,9 @@ def decontaminate(docs: DataFrame, items: DataFrame, *, window: int = WINDOW, co
     Every span in the result's loss is at least one window long. A text whose hit words are more than
     `coverage` of all words counts as a copy of test items: over_coverage is true, and a caller drops it.
     """
-    found = hits(docs, items, window=window, block_words=block_words, text_col=text_col, item_id_col=item_id_col, item_text_col=item_text_col)
+    docs = C.prepared(docs, "n_words", "n_hit", "items", "over_coverage")
+    named = docs.select(*[docs[c].alias(f"c_{i}") for i, c in enumerate(docs.columns)])
+    found = hits(named, items, window=window, block_words=block_words, text_col=f"c_{docs.columns.index(text_col)}", item_id_col=item_id_col, item_text_col=item_text_col)
     place, width = docs.columns.index(text_col), len(docs.columns)
     extra = [T.StructField("n_words", T.LongType()), T.StructField("n_hit", T.LongType()), T.StructField("items", T.ArrayType(T.StringType())), T.StructField("over_coverage", T.BooleanType())]
     schema = T.StructType([*[T.StructField("c_text", T.StringType()) if i == place else T.StructField(f"c_{i}", f.dataType) for i, f in enumerate(docs.schema.fields)], *extra])

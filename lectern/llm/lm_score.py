@@ -30,8 +30,8 @@ from pyspark.sql import functions as F
 
 from lectern.llm import common as C
 
-GROUP_BYTES = 8 << 20
-PER_SHARD = 2_000_000
+GROUP_BYTES = 6 << 20
+PER_SHARD = 1_000_000
 PAIR_BYTES = 5
 BITS, PROBES = 10, 7
 PRIOR = 10.0
@@ -153,6 +153,7 @@ def score_lm(docs: DataFrame, training, *, group_bytes: int = GROUP_BYTES, per_s
 
     training: a boolean column of docs; counts come from its true rows.
     """
+    docs = C.prepared(docs)
     total = C.text_bytes(docs, text_col)
     groups, shards = C.bucket_count(total, group_bytes), C.bucket_count(total / 7, per_shard)
     documents = grouped_documents(docs, groups, training, id_col, text_col)

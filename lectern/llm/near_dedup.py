@@ -178,7 +178,7 @@ def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     return both.mapInArrow(run, "a binary, b binary")
 
 
-def contract(roots: DataFrame, links: DataFrame) -> DataFrame:
+def contract(roots: DataFrame, links: DataFrame, steps: C.Steps) -> DataFrame:
     """roots after joining the classes that links (a, b) between roots connect.
 
     Each step moves every class to the least neighbour and renames the links' ends likewise; classes joined
@@ -186,11 +186,11 @@ def contract(roots: DataFrame, links: DataFrame) -> DataFrame:
     """
     while not links.isEmpty():
         both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = C.store(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("to")))
+        least = steps.store(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("to")))
         one, two = (least.select(F.col("a").alias(x), F.col("to").alias(f"to_{x}")) for x in ("a", "b"))
-        links = C.store(links.join(one, "a").join(two, "b").where("to_a <> to_b").select(F.col("to_a").alias("a"), F.col("to_b").alias("b")).distinct())
+        links = steps.store(links.join(one, "a").join(two, "b").where("to_a <> to_b").select(F.col("to_a").alias("a"), F.col("to_b").alias("b")).distinct())
         moved = least.withColumnRenamed("a", "root")
-        roots = C.store(roots.join(moved, "root", "left").select("set", F.coalesce("to", "root").alias("root")))
+        roots = steps.store(roots.join(moved, "root", "left").select("set", F.coalesce("to", "root").alias("root")))
     return roots
 
 
@@ -260,9 +260,10 @@ def block_links(members: DataFrame, sets: DataFrame, similarity: float, limit: i
 def classes(docs: DataFrame, *, words: int = WORDS, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, rounds: int = ROUNDS, small: int = SMALL, block: int = BLOCK, id_col: str = "doc_id", text_col: str = "text"):
     """(signed, roots): the settled signatures of all rows, and (set, root) of every text that has a link."""
     columns = {"id_col": id_col, "text_col": text_col}
-    signed = C.store(signatures(docs, words, bands, rows, **columns))
-    buckets = C.store(shared_buckets(signed))
-    sets = C.store(shingle_sets(docs, signed, buckets, words, **columns))
+    docs, steps = C.prepared(docs), C.Steps(docs.sparkSession)
+    signed = steps.store(signatures(docs, words, bands, rows, **columns))
+    buckets = steps.store(shared_buckets(signed))
+    sets = steps.store(shingle_sets(docs, signed, buckets, words, **columns))
     roots = buckets.select("set", F.col("set").alias("root")).distinct()
     for turn in range(rounds + 1):
         rest, pairs = open_pairs(buckets, roots, turn)
@@ -274,8 +275,9 @@ def classes(docs: DataFrame, *, words: int = WORDS, similarity: float = SIMILARI
         if turn == rounds:
             links = links.unionByName(block_links(rest.where(F.col("n") > small).select("bucket", "set", "root"), sets, similarity, block))
         of_a, of_b = (roots.select(F.col("set").alias(x), F.col("root").alias(f"root_{x}")) for x in ("a", "b"))
-        links = C.store(links.join(of_a, "a").join(of_b, "b").select(F.col("root_a").alias("a"), F.col("root_b").alias("b")).distinct())
-        roots = contract(roots, links)
+        links = steps.store(links.join(of_a, "a").join(of_b, "b").select(F.col("root_a").alias("a"), F.col("root_b").alias("b")).distinct())
+        roots = steps.store(contract(roots, links, steps)) if turn == rounds else contract(roots, links, steps)
+    steps.done(signed, roots)
     return signed, roots
 
 

@@ -9,8 +9,9 @@ between any two places too, so paths can be followed from any chunk's edge.
 The state at an edge is the piece over the character before it. A chunk's matrix has weight 0 where a path
 leads from the piece at its left edge to that at its right. The model has no piece with a word mark after
 another character, so that in ordinary text a matrix is an outer product of what the edges' words allow, and
-the inside goes to the library as it is; text without spaces is followed piece by piece. Products of the
-matrices from the left and from the right leave one state at every edge.
+the inside goes to the library as it is; text without spaces is followed piece by piece. The matrices are
+combined `fan` neighbours at a time, level by level, in Spark, so that the edges of one document are settled by
+many tasks; products from the left and from the right leave one state at every edge.
 
 Documents up to `chunk` characters are one chunk for the library. Decoding joins pieces and undoes the marks.
 
@@ -20,6 +21,7 @@ U+2581, which the model writes as a space; repeated rows encode alike; extra col
 
 from __future__ import annotations
 
+import functools
 import heapq
 import os
 import re
@@ -34,6 +36,9 @@ from lectern.llm import common as C
 
 MODEL = os.environ.get("TOKENIZER_DIR", "/opt/tokenizers") + "/piece_bpe_32k.model"
 CHUNK = 1 << 15
+FAN = 32
+DECODE_IDS = 1 << 16
+KNOWN = 1 << 16
 MARK = "▁"
 _SAFE = re.compile(f"(?<=[^{MARK}]){MARK}")
 _WORKER: dict[bytes, Pieces] = {}
@@ -93,6 +98,8 @@ class Pieces:
         if text not in self.score:
             return False
         if text not in self.alone:
+            if len(self.alone) >= KNOWN:
+                self.alone.clear()
             self.alone[text] = self.merge(text) == [text]
         return self.alone[text]
 
@@ -101,6 +108,8 @@ class Pieces:
         if a[-1] != MARK and b[0] == MARK:
             return 0.0
         if (a, b) not in self.fits:
+            if len(self.fits) >= KNOWN:
+                self.fits.clear()
             self.fits[a, b] = self.merge(a + b) == [a, b]
         return 0.0 if self.fits[a, b] else -np.inf
 
@@ -202,31 +211,112 @@ def max_plus(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (a[:, :, None] + b[None, :, :]).max(axis=1) if a.shape[1] else np.full((a.shape[0], b.shape[1]), -np.inf)
 
 
-def settle_states(matrices: list[np.ndarray]) -> list[int]:
-    """The index of the state at each edge, the document's start and end included."""
-    forward = [np.zeros((1, 1))]
-    for m in matrices:
-        forward.append(max_plus(forward[-1], m))
-    backward = np.zeros((1, 1))
-    states = []
-    for i in range(len(matrices), -1, -1):
-        if i == len(matrices):
-            backward = np.zeros((forward[i].shape[1], 1))
-        else:
-            backward = max_plus(matrices[i], backward)
-        states.append(int(np.argmax(forward[i][0] + backward[:, 0])))
-    return states[::-1]
+State = tuple[int, int]
+Transfer = tuple[list[State], list[State], np.ndarray]
 
 
-def encode(docs: DataFrame, *, model: str = MODEL, chunk: int = CHUNK, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def then(one: Transfer, two: Transfer) -> Transfer:
+    """One transfer after another: the states at their common edge are matched, and the matrices multiplied."""
+    entries, middle, left = one
+    own, exits, right = two
+    where = {s: j for j, s in enumerate(own)}
+    aligned = np.full((len(middle), right.shape[1]), -np.inf)
+    for j, s in enumerate(middle):
+        if s in where:
+            aligned[j] = right[where[s]]
+    return entries, exits, max_plus(left, aligned)
+
+
+def inner_states(parts: list[Transfer], entry: State, exit_: State) -> list[State]:
+    """The states at the edges between consecutive parts, given those at both ends."""
+    at = parts[0][0].index(entry)
+    ahead = [([entry], parts[0][1], parts[0][2][at : at + 1])]
+    for part in parts[1:]:
+        ahead.append(then(ahead[-1], part))
+    state, out = exit_, []
+    for i in range(len(parts) - 1, 0, -1):
+        entries, exits, matrix = parts[i]
+        back = dict(zip(entries, matrix[:, exits.index(state)], strict=True))
+        _, middle, weight = ahead[i - 1]
+        state = max(zip(middle, weight[0], strict=True), key=lambda m: m[1] + back.get(m[0], -np.inf))[0]
+        out.append(state)
+    return out[::-1]
+
+
+TRANSFERS = "k long, f long, c int, entries array<int>, exits array<int>, matrix binary"
+EDGES = "k long, f long, c int, a int, b int, y int, z int"
+
+
+def _pairs(flat) -> list[State]:
+    return [tuple(x) for x in np.reshape(flat, (-1, 2)).tolist()]
+
+
+def _transfers(frame) -> list[Transfer]:
+    out = []
+    for entries, exits, raw in zip(frame["entries"], frame["exits"], frame["matrix"], strict=True):
+        entries, exits = _pairs(entries), _pairs(exits)
+        out.append((entries, exits, np.frombuffer(raw, np.float32).reshape(len(entries), len(exits)).astype(float)))
+    return out
+
+
+def settle_edges(found: DataFrame, fan: int) -> DataFrame:
+    """The states (a, b) and (y, z) at both edges of every chunk, from the chunks' transfers.
+
+    A parallel scan: `fan` neighbours at a time are combined, level by level, until each document is one
+    transfer, which settles its two ends; on the way down each group settles the edges between its parts.
+    """
+
+    def combine(key, frame):
+        import pandas as pd
+
+        entries, exits, matrix = functools.reduce(then, _transfers(frame.sort_values("c")))
+        return pd.DataFrame([(*key, [x for e in entries for x in e], [x for e in exits for x in e], matrix.astype(np.float32).tobytes())], columns=["k", "f", "c", "entries", "exits", "matrix"])
+
+    def ends(frames):
+        for frame in frames:
+            frame = frame.copy()
+            whole = _transfers(frame)
+            best = [t[1][int(np.argmax(t[2][0]))] for t in whole]
+            for i, name in enumerate("ab"):
+                frame[name] = [t[0][0][i] for t in whole]
+            for i, name in enumerate("yz"):
+                frame[name] = [e[i] for e in best]
+            yield frame[["k", "f", "c", "a", "b", "y", "z"]]
+
+    def resolve(frame):
+        import pandas as pd
+
+        frame = frame.sort_values("c")
+        first, last = ((int(frame[x].iat[0]), int(frame[y].iat[0])) for x, y in ("ab", "yz"))
+        inner = inner_states(_transfers(frame), first, last)
+        rows = [(*e, *x) for e, x in zip([first, *inner], [*inner, last], strict=True)]
+        return pd.DataFrame({"k": frame["k"].to_numpy(), "f": frame["f"].to_numpy(), "c": frame["c"].to_numpy()} | {n: [r[i] for r in rows] for i, n in enumerate("abyz")})
+
+    def above(df: DataFrame):
+        return df.withColumn("up", F.floor(F.col("c") / fan).cast("int"))
+
+    levels, most = [found], found.agg(F.max("c")).first()[0] or 0
+    while most > 0:
+        grouped = above(levels[-1]).groupBy("k", "f", "up")
+        levels.append(C.settle(grouped.applyInPandas(combine, TRANSFERS)))
+        most //= fan
+    edges = levels.pop().mapInPandas(ends, EDGES)
+    while levels:
+        parts = above(levels.pop()).join(edges.withColumnRenamed("c", "up"), ["k", "f", "up"])
+        edges = parts.groupBy("k", "f", "up").applyInPandas(resolve, EDGES)
+    return C.settle(edges)
+
+
+def encode(docs: DataFrame, *, model: str = MODEL, chunk: int = CHUNK, fan: int = FAN, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs and ids, the model's encoding of the text."""
+    docs = C.prepared(docs, "ids")
     with open(model, "rb") as file:
         proto = file.read()
     shared = docs.sparkSession.sparkContext.broadcast(proto)
     size = F.length(docs[text_col])
     small = _encode_small(docs.where(size.isNull() | (size <= chunk)), shared, text_col)
     large = docs.where(size > chunk)
-    found = _encode_large(large, shared, Pieces.of(proto).longest, chunk, id_col, text_col)
+    found = _encode_large(large, shared, Pieces.of(proto).longest, chunk, fan, id_col, text_col)
     named = large.select(*[large[c].alias(f"c_{i}") for i, c in enumerate(docs.columns)], *[c.alias(n) for c, n in zip(C._key_columns(large, id_col, text_col)[:2], ("_k", "_f"), strict=True)])
     joined = named.join(found, (named["_k"] == found["k"]) & (named["_f"] == found["f"]))
     return small.unionByName(joined.select(*[joined[f"c_{i}"].alias(c) for i, c in enumerate(docs.columns)], "ids"))
@@ -239,7 +329,7 @@ def _encode_small(docs: DataFrame, shared, text_col: str) -> DataFrame:
     def run(batches):
         library = Pieces.of(shared.value).library
         for batch in batches:
-            for part in C.slices([batch], f"c_{place}", C.SLICE_BYTES // 4):
+            for part in C.slices([batch], f"c_{place}", C.SLICE_BYTES // 2):
                 texts = part.column(place).to_pylist()
                 got = library.encode([t or "" for t in texts], out_type=int, num_threads=1)
                 ids = pa.array([None if t is None else g for t, g in zip(texts, got, strict=True)], pa.list_(pa.int32()))
@@ -249,7 +339,7 @@ def _encode_small(docs: DataFrame, shared, text_col: str) -> DataFrame:
     return done.select(*[done[f"c_{i}"].alias(c) for i, c in enumerate(docs.columns)], "ids")
 
 
-def _encode_large(docs: DataFrame, shared, longest: int, chunk: int, id_col: str, text_col: str) -> DataFrame:
+def _encode_large(docs: DataFrame, shared, longest: int, chunk: int, fan: int, id_col: str, text_col: str) -> DataFrame:
     """(k, f, ids) of every different long text."""
     keys = C.keyed(docs, id_col=id_col, text_col=text_col).dropDuplicates(["k", "f"])
     marked = keys.select("k", "f", F.concat(F.lit(MARK), F.translate("text", " ", MARK)).alias("t")).withColumn("n", F.ceil(F.length("t") / chunk).cast("int"))
@@ -271,29 +361,8 @@ def _encode_large(docs: DataFrame, shared, longest: int, chunk: int, id_col: str
             kinds = [pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.binary()]
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], ["k", "f", "c", "entries", "exits", "matrix"])
 
-    def combine(frame):
-        import pandas as pd
-
-        frame = frame.sort_values("c")
-        states = [[tuple(x) for x in np.reshape(e, (-1, 2)).tolist()] for e in frame["exits"]]
-        matrices = []
-        for i, (raw, entries) in enumerate(zip(frame["matrix"], frame["entries"], strict=True)):
-            own = [tuple(x) for x in np.reshape(entries, (-1, 2)).tolist()]
-            matrix = np.frombuffer(raw, np.float32).reshape(len(own), -1).astype(float)
-            if i:
-                where = {s: j for j, s in enumerate(own)}
-                aligned = np.full((len(states[i - 1]), matrix.shape[1]), -np.inf)
-                for j, s in enumerate(states[i - 1]):
-                    if s in where:
-                        aligned[j] = matrix[where[s]]
-                matrix = aligned
-            matrices.append(matrix)
-        picked = settle_states(matrices)
-        exits = [states[i][s] for i, s in enumerate(picked[1:])]
-        entries = [(0, 0), *exits[:-1]]
-        return pd.DataFrame({"k": frame["k"].to_numpy(), "f": frame["f"].to_numpy(), "c": frame["c"].to_numpy(), "a": [e[0] for e in entries], "b": [e[1] for e in entries], "y": [e[0] for e in exits], "z": [e[1] for e in exits]})
-
-    states = C.settle(chunks.mapInArrow(look, "k long, f long, c int, entries array<int>, exits array<int>, matrix binary").groupBy("k", "f").applyInPandas(combine, "k long, f long, c int, a int, b int, y int, z int"))
+    found = chunks.mapInArrow(look, TRANSFERS)
+    states = settle_edges(C.settle(found), fan)
 
     def back(batches):
         pieces = Pieces.of(shared.value)
@@ -310,6 +379,7 @@ def _encode_large(docs: DataFrame, shared, longest: int, chunk: int, id_col: str
 
 def decode(encoded: DataFrame, *, model: str = MODEL, ids_col: str = "ids", to: str = "decoded") -> DataFrame:
     """encoded with the text of the ids added; null ids give null."""
+    encoded = C.prepared(encoded, to)
     with open(model, "rb") as file:
         shared = encoded.sparkSession.sparkContext.broadcast(file.read())
     place = encoded.columns.index(ids_col)
@@ -318,8 +388,7 @@ def decode(encoded: DataFrame, *, model: str = MODEL, ids_col: str = "ids", to:
     def run(batches):
         library = Pieces.of(shared.value).library
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
+            for part in C.slices([batch], batch.schema.names[place], DECODE_IDS):
                 ids = part.column(place).to_pylist()
                 texts = library.decode([i or [] for i in ids]) if ids else []
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array([None if i is None else t for i, t in zip(ids, texts, strict=True)], pa.string())], names=[*part.schema.names, to])

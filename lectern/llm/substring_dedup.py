@@ -24,26 +24,20 @@ from pyspark.sql import functions as F
 from lectern.llm import common as C
 
 WINDOW = 13
-PER_BUCKET = 2_000_000
+PER_BUCKET = 1_000_000
 
 
 def window_postings(docs: DataFrame, window: int, buckets: int, **columns: str) -> DataFrame:
-    def run(batches):
-        for batch in C.slices(batches):
-            flat = C.Flat(batch.column("text"))
-            starts, ends, before = flat.words()
-            if len(starts) < window:
-                continue
-            hashes = C.mix(C.Roller(flat.word_hashes(starts, ends)).windows(window))
-            row = np.repeat(np.arange(flat.n), np.diff(before))
-            place = np.arange(len(starts)) - before[row]
-            whole = np.flatnonzero(row[: len(hashes)] == row[window - 1 :])
-            if len(whole):
-                k = batch.column("k").to_numpy()
-                f = batch.column("f").to_numpy()
-                yield C.pack(buckets, hashes[whole], row[whole], place[whole], k, f)
-
-    return C.keyed(docs, **columns).mapInArrow(run, C.POSTINGS)
+    def look(flat: C.Flat):
+        starts, ends, before = flat.words()
+        if len(starts) < window:
+            return None
+        hashes = C.mix(C.Roller(flat.word_hashes(starts, ends)).windows(window))
+        row = np.repeat(np.arange(flat.n, dtype=np.int32), np.diff(before))
+        whole = np.flatnonzero(row[: len(hashes)] == row[window - 1 :])
+        return hashes[whole], row[whole], whole - before[row[whole]], None
+
+    return C.keyed(docs, **columns).mapInArrow(lambda batches: C.pack_slices(batches, buckets, look), C.POSTINGS)
 
 
 def later_windows(postings: DataFrame, groups: int) -> DataFrame:
@@ -54,10 +48,11 @@ def later_windows(postings: DataFrame, groups: int) -> DataFrame:
 
         got = C.unpack(frame)
         order = np.argsort(got["key"])
-        key, k = got["key"][order], got["k"][order]
-        firsts, ends = C.runs(key)
-        later = order[k > np.repeat(np.minimum.reduceat(k, firsts), ends - firsts)]
-        return pd.DataFrame(C.pack_marks(groups, got["k"][later], got["f"][later], got["place"][later]), columns=["g", "ks", "fs", "counts", "places", "tags"])
+        text, place = got["text"][order], got["place"][order]
+        firsts, ends = C.runs(got["key"][order])
+        k = got["ks"][text]
+        later = k > np.repeat(np.minimum.reduceat(k, firsts), ends - firsts)
+        return pd.DataFrame(C.pack_marks(groups, k[later], got["fs"][text[later]], place[later]), columns=["g", "ks", "fs", "counts", "places", "tags"])
 
     return C.merge_marks(postings.groupBy("bucket").applyInPandas(run, C.MARKS).drop("tags"), np.uint32)
 
@@ -69,6 +64,7 @@ def remove_repeats(docs: DataFrame, *, window: int = WINDOW, per_bucket: int = P
     space after it.
     """
     columns = {"id_col": id_col, "text_col": text_col}
+    docs = C.prepared(docs, "n_words", "n_removed")
     buckets = C.bucket_count(C.text_bytes(docs, text_col) / 6, per_bucket)
     marks = later_windows(window_postings(docs, window, buckets, **columns), buckets)
 

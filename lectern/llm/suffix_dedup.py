@@ -32,7 +32,8 @@ from lectern.llm import common as C
 
 LENGTH = 200
 PER_BUCKET = 1_000_000
-BUCKET_BYTES = 3 << 20
+BUCKET_BYTES = 1 << 20
+GROUP_BYTES = 32 << 20
 _LOW = np.uint64(22)
 _MASK = np.uint64((1 << 22) - 1)
 
@@ -73,16 +74,13 @@ def segments(flat: C.Flat, length: int):
 
 
 def segment_postings(docs: DataFrame, length: int, buckets: int, **columns: str) -> DataFrame:
-    def run(batches):
-        for batch in C.slices(batches):
-            flat = C.Flat(batch.column("text"))
-            if (got := segments(flat, length)) is None:
-                continue
-            key, start, windows, row, prints = got
-            tags = (prints & ~np.uint64(255)) | windows.astype(np.uint64)
-            yield C.pack(buckets, key, row, start - flat.offsets[row], batch.column("k").to_numpy(), batch.column("f").to_numpy(), tags)
+    def look(flat: C.Flat):
+        if (got := segments(flat, length)) is None:
+            return None
+        key, start, windows, row, prints = got
+        return key, row, start - flat.offsets[row], (prints & ~np.uint64(255)) | windows.astype(np.uint64)
 
-    return C.keyed(docs, **columns).mapInArrow(run, C.POSTINGS)
+    return C.keyed(docs, **columns).mapInArrow(lambda batches: C.pack_slices(batches, buckets, look), C.POSTINGS)
 
 
 SORTED_OUT = f"wanted boolean, size long, {C.MARKS}"
@@ -97,8 +95,10 @@ def sort_out(postings: DataFrame, length: int, groups: int) -> DataFrame:
         import pandas as pd
 
         got = C.unpack(frame)
-        order = np.lexsort((got["place"], got["f"], got["k"], got["tag"], got["key"]))
-        key, tag, k, f, place = (got[n][order] for n in ("key", "tag", "k", "f", "place"))
+        text = got["text"]
+        order = np.lexsort((got["place"], got["fs"][text], got["ks"][text], got["tag"], got["key"]))
+        key, tag, place, text = (got[n][order] for n in ("key", "tag", "place", "text"))
+        k, f = got["ks"][text], got["fs"][text]
         firsts, ends = C.runs(key, tag)
         again = np.repeat(ends - firsts > 1, ends - firsts)
         by_key, key_ends = C.runs(key)
@@ -256,9 +256,10 @@ def compare(candidates: DataFrame, length: int, groups: int) -> DataFrame:
 def remove_long_matches(docs: DataFrame, *, length: int = LENGTH, per_bucket: int = PER_BUCKET, bucket_bytes: int = BUCKET_BYTES, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
     """docs with the text as the bytes that stay, and n_bytes, n_removed, n_spans."""
     columns = {"id_col": id_col, "text_col": text_col}
+    docs = C.prepared(docs, "n_bytes", "n_removed", "n_spans")
     total = C.text_bytes(docs, text_col)
     buckets = C.bucket_count(total * 4 / length, per_bucket)
-    groups = C.bucket_count(total, 16 * C.SLICE_BYTES)
+    groups = C.bucket_count(total, GROUP_BYTES)
     sorted_out = C.settle(sort_out(segment_postings(docs, length, buckets, **columns), length, groups))
     wanted = int(sorted_out.agg(F.sum("size")).first()[0] or 0)
     packed = sorted_out.where("NOT wanted").select(*_NAMES[:-1])

@@ -2,9 +2,10 @@
 
 A token file is a sequence of 16-bit ids in which an end-of-document id follows every document, and nothing
 else: no index, no lengths. Files are kept as blocks of `BLOCK` tokens, cut wherever that number falls. The
-scan looks at each block alone, vectorised: where its separators are. Windows over one summary row a block
-then give every block the place of its file's last separator before it and the number of documents ended,
-from which all lengths follow, those of documents over many blocks included.
+scan looks at each block alone, vectorised: where its separators are. A prefix scan, windows over one summary
+row of four numbers a block, gives every block the place of its file's last separator before it and the number
+of documents ended; joined to the lengths inside the blocks it gives all lengths, those of documents over many
+blocks included. The token files of token_counts() stay in the shared folder, for the caller to remove.
 
 Defined results: null and empty texts are documents of no tokens; a document without a last separator counts
 with what is there; repeated rows are documents of their own; a file of no blocks has no documents.
@@ -71,6 +72,7 @@ def flat_files(docs: DataFrame, ranks: dict[bytes, int], *, block: int = BLOCK,
         if size:
             yield rows([(file, number, np.concatenate(held).tobytes(), None, None)])
 
+    docs = C.whole_ids(C.prepared(docs), id_col)
     narrow = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))
     return narrow.mapInArrow(run, "file int, block int, tokens binary, first long, ids array<long>")
 
@@ -89,7 +91,7 @@ def scan(blocks: DataFrame, *, end: int = END) -> DataFrame:
 
     def look(batches):
         for batch in batches:
-            size, count, first, last, inner = [], [], [], [], []
+            size, count, first, last = [], [], [], []
             for blob in batch.column("tokens"):
                 tokens = np.frombuffer(blob.as_buffer(), np.uint16)
                 at = np.flatnonzero(tokens == end)
@@ -97,10 +99,15 @@ def scan(blocks: DataFrame, *, end: int = END) -> DataFrame:
                 count.append(len(at))
                 first.append(int(at[0]) if len(at) else None)
                 last.append(int(at[-1]) if len(at) else None)
-                inner.append(np.diff(at) - 1)
-            yield pa.RecordBatch.from_arrays([batch.column("file"), batch.column("block"), pa.array(size, pa.int64()), pa.array(count, pa.int64()), pa.array(first, pa.int64()), pa.array(last, pa.int64()), pa.array(inner, pa.list_(pa.int64()))], ["file", "block", "size", "count", "first", "last", "inner"])
+            yield pa.RecordBatch.from_arrays([batch.column("file"), batch.column("block"), *(pa.array(x, pa.int64()) for x in (size, count, first, last))], ["file", "block", "size", "count", "first", "last"])
 
-    seen = blocks.select("file", "block", "tokens").mapInArrow(look, f"file {file_type}, block int, size long, count long, first long, last long, inner array<long>")
+    def within(batches):
+        for batch in batches:
+            inner = [np.diff(np.flatnonzero(np.frombuffer(blob.as_buffer(), np.uint16) == end)) - 1 for blob in batch.column("tokens")]
+            yield pa.RecordBatch.from_arrays([batch.column("file"), batch.column("block"), pa.array(inner, pa.list_(pa.int64()))], ["file", "block", "inner"])
+
+    tokens = blocks.select("file", "block", "tokens")
+    seen = tokens.mapInArrow(look, f"file {file_type}, block int, size long, count long, first long, last long")
     before = W.partitionBy("file").orderBy("block").rowsBetween(W.unboundedPreceding, -1)
     ahead = W.partitionBy("file").orderBy("block")
     placed = seen.withColumn("start", F.coalesce(F.sum("size").over(before), F.lit(0)))
@@ -108,7 +115,9 @@ def scan(blocks: DataFrame, *, end: int = END) -> DataFrame:
     lead = F.when(F.col("count") > 0, F.array(F.col("start") + F.col("first") - F.col("opened") - 1)).otherwise(F.array().cast("array<long>"))
     rest = F.col("start") + F.col("size") - 1 - F.greatest("opened", F.coalesce(F.col("start") + F.col("last"), F.lit(-1)))
     tail = F.when(F.col("is_last") & (rest > 0), F.array(rest)).otherwise(F.array().cast("array<long>"))
-    lengths = placed.select("file", "number", F.posexplode(F.concat(lead, "inner", tail)).alias("i", "n_tokens"))
+    edges = placed.select("file", "block", "number", lead.alias("lead"), tail.alias("tail"))
+    both = edges.join(tokens.mapInArrow(within, f"file {file_type}, block int, inner array<long>"), ["file", "block"])
+    lengths = both.select("file", "number", F.posexplode(F.concat("lead", "inner", "tail")).alias("i", "n_tokens"))
     return lengths.select("file", (F.col("number") + F.col("i")).alias("document"), "n_tokens")
 
 

@@ -9,7 +9,7 @@ Learning reads at most `labelled` labelled rows, those with the smallest hash of
 which goes to every worker, is bounded by `labelled` and `lexicon`; scoring is one map without a shuffle.
 
 Defined results: null, empty and wordless texts have no hits and get the score of no hits; without labels of
-both kinds every score is 0; several labels for an id count as toxic if one does; repeated rows score alike;
+both kinds every score is 0; rows with a null id are scored, not learned from, and not held out; several labels for an id count as toxic if one does; repeated rows score alike;
 extra columns pass through unread.
 """
 
@@ -136,6 +136,7 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, turns: int =
 
 def train(docs: DataFrame, labels: DataFrame, *, labelled: int = LABELLED, lexicon: int = LEXICON, exceptions: tuple[str, ...] = EXCEPTIONS, id_col: str = "doc_id", text_col: str = "text"):
     """(lexicon, coefficients), or None without both kinds of label."""
+    docs = C.prepared(docs)
     own = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull()).where(is_training(F.col("doc_id")))
     chosen = own.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(labelled)
     sample = C.settle(docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text")).join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "toxic").dropDuplicates(["text", "toxic"]))
@@ -155,8 +156,9 @@ def train(docs: DataFrame, labels: DataFrame, *, labelled: int = LABELLED, lexic
     return words, fit_logistic(x, np.repeat(seen["toxic"].to_numpy(), seen["count"]).astype(float))
 
 
-def score_toxicity(docs: DataFrame, model, *, exceptions: tuple[str, ...] = EXCEPTIONS, text_col: str = "text") -> DataFrame:
-    """docs and toxicity (0 to 1)."""
+def score_toxicity(docs: DataFrame, model, *, exceptions: tuple[str, ...] = EXCEPTIONS, text_col: str = "text", to: str = "toxicity") -> DataFrame:
+    """docs and toxicity (0 to 1), in a column of that name or another."""
+    docs = C.prepared(docs, to)
     place = docs.columns.index(text_col)
     named = docs.select(*[docs[c].alias(f"c_{i}") for i, c in enumerate(docs.columns)])
     shared = docs.sparkSession.sparkContext.broadcast(model)
@@ -173,10 +175,10 @@ def score_toxicity(docs: DataFrame, model, *, exceptions: tuple[str, ...] = EXCE
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores)], names=[*batch.schema.names, "toxicity"])
 
     done = named.mapInArrow(run, T.StructType([*named.schema.fields, T.StructField("toxicity", T.DoubleType())]))
-    return done.select(*[done[f"c_{i}"].alias(c) for i, c in enumerate(docs.columns)], "toxicity")
+    return done.select(*[done[f"c_{i}"].alias(c) for i, c in enumerate(docs.columns)], done["toxicity"].alias(to))
 
 
 def op6_toxicity(spark, sf_dir: str) -> DataFrame:
     docs = C.table(spark, sf_dir, "documents").select("doc_id", "text")
     scored = score_toxicity(docs, train(docs, C.table(spark, sf_dir, "labels")))
-    return scored.select("doc_id", (~is_training(F.col("doc_id"))).alias("held_out"), F.col("toxicity").alias("score"), (F.col("toxicity") >= THRESHOLD).cast("int").alias("predicted"))
+    return scored.select("doc_id", (~F.coalesce(is_training(F.col("doc_id")), F.lit(True))).alias("held_out"), F.col("toxicity").alias("score"), (F.col("toxicity") >= THRESHOLD).cast("int").alias("predicted"))
