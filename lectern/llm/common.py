@@ -504,10 +504,11 @@ def prepared(docs: DataFrame, *added: str) -> DataFrame:
     """docs without the columns that an operator is about to add.
 
     From now on the session's Arrow batches stay under BATCH_BYTES, unless it has a bound of its own, and its
-    Python workers give the memory of freed arrays back to the machine at once.
+    Python workers give the memory of large freed arrays back to the machine at once.
     """
     spark = docs.sparkSession
-    spark.sparkContext.environment.setdefault("MALLOC_MMAP_THRESHOLD_", str(1 << 18))
+    for name, size in (("MALLOC_MMAP_THRESHOLD_", 3 << 20), ("MALLOC_TRIM_THRESHOLD_", 16 << 20)):
+        spark.sparkContext.environment.setdefault(name, str(size))
     spark.sparkContext.environment.setdefault("ARROW_DEFAULT_MEMORY_POOL", "system")
     if spark.conf.get(_BATCH_SETTING, None) is None:
         spark.conf.set(_BATCH_SETTING, str(BATCH_BYTES))

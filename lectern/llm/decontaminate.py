@@ -170,12 +170,21 @@ def item_blocks(items: DataFrame, window: int, block_words: int, id_col: str, te
 
 def hits(docs: DataFrame, items: DataFrame, *, window: int = WINDOW, block_words: int = BLOCK_WORDS, text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """docs with _hit (a bit for each word: inside an occurring window) and _items (names of those items)."""
+    return _hits(docs, items, None, None, window, block_words, text_col, item_id_col, item_text_col)
+
+
+def _hits(docs: DataFrame, items: DataFrame, finish, schema, window: int, block_words: int, text_col: str, item_id_col: str, item_text_col: str) -> DataFrame:
+    """hits(), passed on to finish() in the pass over the last block of items if there is one to do it."""
     place = docs.columns.index(text_col)
-    found = docs.withColumns({"_hit": F.lit(None).cast("binary"), "_items": F.lit(None).cast("array<string>")})
-    for i, automaton in enumerate(item_blocks(items, window, block_words, item_id_col, item_text_col)):
-        shared = docs.sparkSession.sparkContext.broadcast((automaton, automaton.hashes()))
-        found = (C.settle(found) if i else found).mapInArrow(scanner(shared, place), found.schema)
-    return found
+    found, scan = docs.withColumns({"_hit": F.lit(None).cast("binary"), "_items": F.lit(None).cast("array<string>")}), None
+    for automaton in item_blocks(items, window, block_words, item_id_col, item_text_col):
+        if scan is not None:
+            found = C.settle(found.mapInArrow(scan, found.schema))
+        scan = scanner(docs.sparkSession.sparkContext.broadcast((automaton, automaton.hashes())), place)
+    if finish is None:
+        return found if scan is None else found.mapInArrow(scan, found.schema)
+    last = scan or iter
+    return found.mapInArrow(lambda batches: finish(last(batches)), schema)
 
 
 def scanner(shared, place: int):
@@ -234,7 +243,6 @@ def decontaminate(docs: DataFrame, items: DataFrame, *, window: int = WINDOW, co
     """
     docs = C.prepared(docs, "n_words", "n_hit", "items", "over_coverage")
     named = docs.select(*[docs[c].alias(f"c_{i}") for i, c in enumerate(docs.columns)])
-    found = hits(named, items, window=window, block_words=block_words, text_col=f"c_{docs.columns.index(text_col)}", item_id_col=item_id_col, item_text_col=item_text_col)
     place, width = docs.columns.index(text_col), len(docs.columns)
     extra = [T.StructField("n_words", T.LongType()), T.StructField("n_hit", T.LongType()), T.StructField("items", T.ArrayType(T.StringType())), T.StructField("over_coverage", T.BooleanType())]
     schema = T.StructType([*[T.StructField("c_text", T.StringType()) if i == place else T.StructField(f"c_{i}", f.dataType) for i, f in enumerate(docs.schema.fields)], *extra])
@@ -262,7 +270,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, *, window: int = WINDOW, co
             items_ = pa.array([x or [] for x in batch.column(width + 1).to_pylist()], pa.list_(pa.string()))
             yield pa.RecordBatch.from_arrays([*columns, pa.array(n_words.astype(np.int64)), pa.array(n_hit), items_, pa.array(over)], names=[*names, "n_words", "n_hit", "items", "over_coverage"])
 
-    done = found.mapInArrow(finish, schema)
+    done = _hits(named, items, finish, schema, window, block_words, f"c_{place}", item_id_col, item_text_col)
     return done.select(*[done["c_text" if i == place else f"c_{i}"].alias(c) for i, c in enumerate(docs.columns)], *[done[f.name] for f in extra])
 
 

@@ -307,22 +307,23 @@ def settle_edges(found: DataFrame, fan: int) -> DataFrame:
     return C.settle(edges)
 
 
-def encode(docs: DataFrame, *, model: str = MODEL, chunk: int = CHUNK, fan: int = FAN, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs and ids, the model's encoding of the text."""
-    docs = C.prepared(docs, "ids")
+def encode(docs: DataFrame, *, model: str = MODEL, chunk: int = CHUNK, fan: int = FAN, id_col: str = "doc_id", text_col: str = "text", decoded: str | None = None) -> DataFrame:
+    """docs and ids, the model's encoding of the text; decoded: a column for the text of the ids, made in the same pass."""
+    docs = C.prepared(docs, "ids", *filter(None, [decoded]))
     with open(model, "rb") as file:
         proto = file.read()
     shared = docs.sparkSession.sparkContext.broadcast(proto)
     size = F.length(docs[text_col])
-    small = _encode_small(docs.where(size.isNull() | (size <= chunk)), shared, text_col)
+    small = _encode_small(docs.where(size.isNull() | (size <= chunk)), shared, text_col, decoded)
     large = docs.where(size > chunk)
     found = _encode_large(large, shared, Pieces.of(proto).longest, chunk, fan, id_col, text_col)
     named = large.select(*[large[c].alias(f"c_{i}") for i, c in enumerate(docs.columns)], *[c.alias(n) for c, n in zip(C._key_columns(large, id_col, text_col)[:2], ("_k", "_f"), strict=True)])
     joined = named.join(found, (named["_k"] == found["k"]) & (named["_f"] == found["f"]))
-    return small.unionByName(joined.select(*[joined[f"c_{i}"].alias(c) for i, c in enumerate(docs.columns)], "ids"))
+    joined = joined.select(*[joined[f"c_{i}"].alias(c) for i, c in enumerate(docs.columns)], "ids")
+    return small.unionByName(joined if decoded is None else decode(joined, model=model, to=decoded))
 
 
-def _encode_small(docs: DataFrame, shared, text_col: str) -> DataFrame:
+def _encode_small(docs: DataFrame, shared, text_col: str, decoded: str | None) -> DataFrame:
     place = docs.columns.index(text_col)
     named = docs.select(*[docs[c].alias(f"c_{i}") for i, c in enumerate(docs.columns)])
 
@@ -333,10 +334,12 @@ def _encode_small(docs: DataFrame, shared, text_col: str) -> DataFrame:
                 texts = part.column(place).to_pylist()
                 got = library.encode([t or "" for t in texts], out_type=int, num_threads=1)
                 ids = pa.array([None if t is None else g for t, g in zip(texts, got, strict=True)], pa.list_(pa.int32()))
-                yield pa.RecordBatch.from_arrays([*part.columns, ids], names=[*part.schema.names, "ids"])
+                more = {} if decoded is None else {"_decoded": pa.array([None if t is None else d for t, d in zip(texts, library.decode(got), strict=True)], pa.string())}
+                yield pa.RecordBatch.from_arrays([*part.columns, ids, *more.values()], names=[*part.schema.names, "ids", *more])
 
-    done = named.mapInArrow(run, T.StructType([*named.schema.fields, T.StructField("ids", T.ArrayType(T.IntegerType()))]))
-    return done.select(*[done[f"c_{i}"].alias(c) for i, c in enumerate(docs.columns)], "ids")
+    more = [] if decoded is None else [T.StructField("_decoded", T.StringType())]
+    done = named.mapInArrow(run, T.StructType([*named.schema.fields, T.StructField("ids", T.ArrayType(T.IntegerType())), *more]))
+    return done.select(*[done[f"c_{i}"].alias(c) for i, c in enumerate(docs.columns)], "ids", *[done["_decoded"].alias(decoded) for _ in more])
 
 
 def _encode_large(docs: DataFrame, shared, longest: int, chunk: int, fan: int, id_col: str, text_col: str) -> DataFrame:
@@ -399,5 +402,5 @@ def decode(encoded: DataFrame, *, model: str = MODEL, ids_col: str = "ids", to:
 
 def op1_pieces(spark, sf_dir: str) -> DataFrame:
     docs = C.table(spark, sf_dir, "documents").select("doc_id", "text")
-    both = decode(encode(docs))
+    both = encode(docs, decoded="decoded")
     return both.select("doc_id", F.length("text").alias("n_chars"), F.size("ids").alias("n_tokens"), F.xxhash64("ids").alias("ids_hash"), (F.col("decoded") == F.col("text")).alias("round_trip"))
