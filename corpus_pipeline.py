@@ -54,7 +54,7 @@ def cut_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def to_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents as ids, with the text decoded from them."""
-    encoded = pieces.decode(pieces.encode(docs.select("doc_id", "lang", "source", "text")))
+    encoded = pieces.encode(docs.select("doc_id", "lang", "source", "text"), decoded="decoded")
     return encoded.select("doc_id", "lang", "source", F.size("ids").alias("n_tokens"), "ids", (F.col("decoded") == F.col("text")).alias("round_trip"))
 
 
