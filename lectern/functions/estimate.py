@@ -28,7 +28,7 @@ def format_clock(seconds: Column) -> Column:
 def format_remaining(seconds: Column) -> Column:
     total = half_up(seconds)
     minutes = half_up(total / 60)
-    return F.when(total <= 0, "finished").when(total < 60, "under a minute left").otherwise(F.concat(minutes.cast("string"), F.lit(" min left")))
+    return F.when(total <= 0, "finished").when(minutes < 1, "under a minute left").otherwise(F.concat(minutes.cast("string"), F.lit(" min left")))
 
 
 def seek_index(n: Column, fraction: Column) -> Column:

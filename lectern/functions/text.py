@@ -5,7 +5,7 @@ Offsets count code points. White space is every Unicode space and U+FEFF; words
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SPACE = r"(?U)[\s\x{FEFF}]"
@@ -17,6 +17,15 @@ def _lit_map(values: dict[str, str]) -> Column:
     return F.create_map(*[F.lit(x) for pair in values.items() for x in pair])
 
 
+def spread(docs: DataFrame) -> DataFrame:
+    """docs over as many partitions as there are cores, where a scan of few files has fewer: for work that costs
+    more than moving the text."""
+    if docs.isStreaming or "Exchange" in docs._jdf.queryExecution().sparkPlan().toString():
+        return docs
+    cores = docs.sparkSession.sparkContext.defaultParallelism
+    return docs.repartition(cores) if docs.rdd.getNumPartitions() < cores else docs
+
+
 def trim_spaces(text: Column) -> Column:
     return F.regexp_replace(text, rf"\A{SPACE}+|{SPACE}+\z", "")
 
@@ -35,8 +44,8 @@ def has_words(text: Column) -> Column:
 
 
 def count_words(text: Column) -> Column:
-    clean = normalize_whitespace(text)
-    return F.when(clean == "", 0).otherwise(F.size(F.split(clean, " ")))
+    """Stretches without white space, which U+FEFF is and other zero-width characters are not."""
+    return F.regexp_count(text, F.lit(r"(?U)[^\s\x{FEFF}]+"))
 
 
 def source_for_filename(name: Column) -> Column:
@@ -71,28 +80,51 @@ def strip_tags(text: Column) -> Column:
     return F.regexp_replace(text, r"</?[A-Za-z][A-Za-z0-9-]*(\s[^<>]*)?/?>", " ")
 
 
+# Inline Markdown, in the order in which it is stripped.
+_NOT_SPACE = r"(?U:[^\s\x{FEFF}])"
+_IMAGE = r"!\[[^\]]*\]\([^)]*\)"
+_LINK = r"\[([^\]]*)\]\([^)]*\)"
+_CODE = r"`([^`\n]+)`"
+_BOLD = rf"(?s)\*\*(?={_NOT_SPACE})(.*?{_NOT_SPACE})\*\*"
+_STAR = rf"(?<![\w*])\*(?={_NOT_SPACE})([^*\n]*?{_NOT_SPACE})\*(?![\w*])"
+_UNDER = rf"(?<![\w_])_(?={_NOT_SPACE})([^_\n]*?{_NOT_SPACE})_(?![\w_])"
+
+
+def strip_inline(text: Column) -> Column:
+    """Inline Markdown down to its words: images out, links to their text, code spoken, emphasis and tags out."""
+    bare = F.regexp_replace(F.regexp_replace(text, _IMAGE, ""), _LINK, "$1")
+    codes = F.regexp_extract_all(bare, F.lit(_CODE), 1)
+    joined = F.array_join(F.zip_with(F.split(bare, _CODE, -1), codes, lambda p, c: F.concat(p, F.coalesce(spoken_identifier(c), F.lit("")))), "")
+    for pattern in (_BOLD, _STAR, _UNDER):
+        joined = F.regexp_replace(joined, pattern, "$1")
+    return strip_tags(joined)
+
+
+def speakable(text: Column) -> Column:
+    return spoken_urls(normalize_whitespace(strip_inline(text)))
+
+
+def drop_unmapped(text: Column) -> Column:
+    """Text without control characters, as which glyphs without a character arrive."""
+    return F.regexp_replace(text, r"[\x00-\x1F]", "")
+
+
 def table_cells(row: Column) -> Column:
     inner = F.regexp_replace(F.regexp_replace(trim_spaces(row), r"\A\|", ""), r"\|\z", "")
     return F.transform(F.split(inner, r"\|", -1), trim_spaces)
 
 
 def spoken_table_row(headers: Column, cells: Column) -> Column:
-    """'Header: value.' for each cell with words; a header without words is left out."""
-    pairs = F.transform(cells, lambda c, i: F.struct(normalize_whitespace(c).alias("v"), normalize_whitespace(F.coalesce(F.get(headers, i), F.lit(""))).alias("h")))
+    """'Header: value.' for each cell with words, both as they are spoken; a header without words is left out."""
+    pairs = F.transform(cells, lambda c, i: F.struct(speakable(c).alias("v"), speakable(F.coalesce(F.get(headers, i), F.lit(""))).alias("h")))
     said = F.transform(F.filter(pairs, lambda p: has_words(p["v"])), lambda p: F.concat(F.when(has_words(p["h"]), F.concat(p["h"], F.lit(": "))).otherwise(F.lit("")), p["v"], F.lit(".")))
     return F.array_join(said, " ")
 
 
 def join_hyphenated(lines: Column) -> Column:
-    """Lines with words broken at a line's end joined again, in cascades."""
-
-    def add(done, line):
-        last = F.element_at(done, -1)
-        joins = last.rlike(r"\p{L}-\z") & line.rlike(r"\A\p{Ll}")
-        head = F.slice(done, F.lit(1), F.size(done) - 1)
-        return F.when((F.size(done) > 0) & joins, F.concat(head, F.array(F.concat(F.regexp_replace(last, r"-\z", ""), line)))).otherwise(F.concat(done, F.array(line)))
-
-    return F.aggregate(F.slice(lines, F.lit(2), F.greatest(F.size(lines) - 1, F.lit(0))), F.slice(lines, 1, 1), add)
+    """Lines with words broken at a line's end joined again, in cascades; lines are single lines."""
+    whole = F.regexp_replace(F.array_join(lines, "\n"), r"(?<=\p{L})-\n(?=\p{Ll})", "")
+    return F.when(F.size(lines) == 0, lines).otherwise(F.split(whole, "\n", -1))
 
 
 def lines_to_paragraphs(lines: Column) -> Column:
@@ -113,8 +145,11 @@ def strip_section_period(text: Column) -> Column:
 
 
 # Abbreviations whose period does not end a sentence.
-ABBREVIATIONS = "mr mrs ms dr prof rev hon st sr jr gen col capt lt sgt pres inc ltd co corp dept est vs approx fig eq vol no pp cf al".split()
+ABBREVIATIONS = (
+    "mr", "mrs", "ms", "dr", "prof", "rev", "hon", "st", "sr", "jr", "gen", "col", "capt", "lt", "sgt", "pres",
+    "inc", "ltd", "co", "corp", "dept", "est", "vs", "approx", "fig", "eq", "vol", "no", "pp", "cf", "al",
+)
 
 
 def ends_with_abbreviation(text: Column) -> Column:
-    return F.lower(F.regexp_extract(text, r"(\p{L}+)\.\s*\z", 1)).isin(ABBREVIATIONS)
+    return F.lower(F.regexp_extract(text, r"(\p{L}+)\.\s*\z", 1)).isin(*ABBREVIATIONS)

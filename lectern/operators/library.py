@@ -12,19 +12,43 @@ from pyspark.sql import functions as F
 
 from lectern.functions import estimate as E
 
-# The voice catalogue, best grade first.
+# The voice catalogue (id, name, British, grade), best grade first.
 VOICES = (
-    "af_heart Heart A; af_bella Bella A-; af_nicole Nicole B-; bf_emma Emma B-; af_aoede Aoede C+; af_kore Kore C+; af_sarah Sarah C+; am_fenrir Fenrir C+; "
-    "am_michael Michael C+; am_puck Puck C+; af_alloy Alloy C; af_nova Nova C; bf_isabella Isabella C; bm_george George C; bm_fable Fable C; af_sky Sky C-; "
-    "bm_lewis Lewis D+; af_jessica Jessica D; af_river River D; am_echo Echo D; am_eric Eric D; am_liam Liam D; am_onyx Onyx D; bf_alice Alice D; bf_lily Lily D; "
-    "bm_daniel Daniel D; am_santa Santa D-; am_adam Adam F+"
+    ("af_heart", "Heart", False, "A"),
+    ("af_bella", "Bella", False, "A-"),
+    ("af_nicole", "Nicole", False, "B-"),
+    ("bf_emma", "Emma", True, "B-"),
+    ("af_aoede", "Aoede", False, "C+"),
+    ("af_kore", "Kore", False, "C+"),
+    ("af_sarah", "Sarah", False, "C+"),
+    ("am_fenrir", "Fenrir", False, "C+"),
+    ("am_michael", "Michael", False, "C+"),
+    ("am_puck", "Puck", False, "C+"),
+    ("af_alloy", "Alloy", False, "C"),
+    ("af_nova", "Nova", False, "C"),
+    ("bf_isabella", "Isabella", True, "C"),
+    ("bm_george", "George", True, "C"),
+    ("bm_fable", "Fable", True, "C"),
+    ("af_sky", "Sky", False, "C-"),
+    ("bm_lewis", "Lewis", True, "D+"),
+    ("af_jessica", "Jessica", False, "D"),
+    ("af_river", "River", False, "D"),
+    ("am_echo", "Echo", False, "D"),
+    ("am_eric", "Eric", False, "D"),
+    ("am_liam", "Liam", False, "D"),
+    ("am_onyx", "Onyx", False, "D"),
+    ("bf_alice", "Alice", True, "D"),
+    ("bf_lily", "Lily", True, "D"),
+    ("bm_daniel", "Daniel", True, "D"),
+    ("am_santa", "Santa", False, "D-"),
+    ("am_adam", "Adam", False, "F+"),
 )
 VOICE_PREFIX = "kokoro:"
 DEFAULTS = {"voice_id": None, "rate": 1.0, "pitch": 1.0, "theme": "system", "accepted": False}
 
 
 def voices(spark: SparkSession) -> DataFrame:
-    rows = [(i, VOICE_PREFIX + v[0], v[1], "en-GB" if v[0][0] == "b" else "en-US", True, v[2]) for i, v in enumerate(x.split() for x in VOICES.split("; "))]
+    rows = [(i, VOICE_PREFIX + voice, name, "en-GB" if british else "en-US", True, grade) for i, (voice, name, british, grade) in enumerate(VOICES)]
     return spark.createDataFrame(rows, "rank int, id string, name string, lang string, on_device boolean, grade string")
 
 
@@ -62,8 +86,10 @@ def resume_index(position: Column, sentences: Column) -> Column:
 
 
 def library_cards(docs: DataFrame, progress: DataFrame, rate: float = 1.0) -> DataFrame:
+    """Fraction heard and label of each document; `sentences`, where docs have it and it is known, is the total."""
     at = docs.join(progress, "doc_id", "left").withColumn("position", F.coalesce("sentence_index", F.lit(0)))
-    total = F.greatest(F.lit(1), E.half_up(F.col("word_count") / E.WORDS_PER_SENTENCE))
+    guess = F.greatest(F.lit(1), E.half_up(F.col("word_count") / E.WORDS_PER_SENTENCE))
+    total = F.coalesce(F.col("sentences"), guess) if "sentences" in docs.columns else guess
     at = at.withColumn("fraction", F.least(F.lit(1.0), F.col("position") / total))
     rest = E.half_up(F.col("word_count") * (1 - F.col("fraction")))
     whole = E.format_remaining(E.speaking_seconds(F.col("word_count"), F.lit(rate)))
@@ -110,7 +136,35 @@ def sentence_states(sentences: DataFrame, progress: DataFrame) -> DataFrame:
     return at.select("doc_id", "sentence_id", state.alias("state"))
 
 
-def clip_manifest(requests: DataFrame) -> DataFrame:
-    """One clip for each voice, rate and text, grouped by their hash, with the number of its uses."""
+def with_clip_key(requests: DataFrame) -> DataFrame:
+    """requests with the key of the clip that each position plays: equal for equal voice, rate and text."""
     key = F.sha2(F.concat_ws("|", F.coalesce("voice_id", F.lit("")), F.col("rate").cast("decimal(6,2)").cast("string"), "text"), 256)
-    return requests.withColumn("clip_key", key).groupBy("clip_key").agg(F.first("voice_id").alias("voice_id"), F.first("text").alias("text"), F.count("*").alias("uses"))
+    return requests.withColumn("clip_key", key)
+
+
+def clip_manifest(requests: DataFrame) -> DataFrame:
+    """One clip for each voice, rate and text, grouped by their hash, with the number of its uses; the positions of
+    a clip are with_clip_key()'s rows of that key, a table as large as the requests."""
+    return with_clip_key(requests).groupBy("clip_key").agg(F.first("voice_id").alias("voice_id"), F.first("text").alias("text"), F.count("*").alias("uses"))
+
+
+def images_for_docs(images: DataFrame, docs: DataFrame) -> DataFrame:
+    """The images of some documents, without their bytes."""
+    return images.drop("bytes").join(docs.select("doc_id"), "doc_id", "left_semi")
+
+
+def doc_blocks(docs: DataFrame) -> DataFrame:
+    """docs with blocks, from `paragraphs` where a row is older than blocks are."""
+    old = F.transform(F.coalesce("paragraphs", F.array().cast("array<string>")), lambda p: F.struct(F.lit("paragraph").alias("kind"), p.alias("text")))
+    return docs.withColumn("blocks", F.coalesce("blocks", old)).drop("paragraphs")
+
+
+def voice_counts(catalogue: DataFrame) -> DataFrame:
+    return catalogue.groupBy("lang", "grade").agg(F.count("*").alias("voices"))
+
+
+def combine(first: DataFrame, *more: DataFrame) -> DataFrame:
+    """Documents of several sources as one library; columns that a source lacks are null."""
+    for other in more:
+        first = first.unionByName(other, allowMissingColumns=True)
+    return first

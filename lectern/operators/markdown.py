@@ -11,8 +11,11 @@ from pyspark.sql import functions as F
 
 from lectern.functions import text as X
 
+# The line grammar; the rule's three marks are three alternatives, as the SQL twin has no back references.
 RULE = r"\A\s*(?:(?:-\s*){3,}|(?:\*\s*){3,}|(?:_\s*){3,})\z"
 CLASSES = (
+    ("aside open", r"(?i)\A\s*<aside>\s*\z"),
+    ("aside close", r"(?i)\A\s*</aside>\s*\z"),
     ("rule", RULE),
     ("image", r"(?i)\A\s*!\s*[\w./-]+\.(svg|png|jpe?g|gif|webp)\s*\z"),
     ("heading", r"\A\s*(#{1,6})\s+"),
@@ -33,14 +36,47 @@ def markdown_lines(docs: DataFrame) -> DataFrame:
 
 
 def classify_lines(lines: DataFrame) -> DataFrame:
-    """lines with class and fence_no, the number of fence lines up to and with the line."""
+    """lines with class, fence_no (the number of fence lines up to and with the line) and table_no (the line of the
+    table's header).
+
+    Of neighbouring lines between pipes, the first that a separator follows is a table's header, what comes after is
+    its rows, and what comes before is text.
+    """
     upto = W.partitionBy("doc_id").orderBy("line_no").rowsBetween(W.unboundedPreceding, 0)
     is_fence = F.col("line").rlike(FENCE)
     named = lines.withColumn("fence_no", F.sum(is_fence.cast("int")).over(upto))
     kind = F.when(is_fence, "fence").when(F.col("fence_no") % 2 == 1, "code")
     for name, pattern in CLASSES:
         kind = kind.when(F.col("line").rlike(pattern), name)
-    return named.withColumn("class", kind.otherwise("text"))
+    named = named.withColumn("class", kind.otherwise("text"))
+    by_line, piped = W.partitionBy("doc_id").orderBy("line_no"), F.col("class").isin("row", "separator")
+    named = named.withColumns({"run_no": F.sum((~piped).cast("int")).over(upto), "heads": piped & F.coalesce(F.lead("class").over(by_line) == "separator", F.lit(False))})
+    head = F.min(F.when(F.col("heads"), F.col("line_no"))).over(W.partitionBy("doc_id", "run_no"))
+    named = named.withColumn("table_no", F.when(piped, head))
+    place = F.col("line_no") - F.col("table_no")
+    table = F.when(place == 0, "header").when(place == 1, "separator").when(place > 1, "row").otherwise("text")
+    return named.withColumn("class", F.when(piped, table).otherwise(F.col("class"))).drop("run_no", "heads")
+
+
+def table_rows(classified: DataFrame) -> DataFrame:
+    """(doc_id, line_no, text): the rows of tables as they are spoken, each cell with its column's name."""
+    heads = classified.where("class = 'header'").select("doc_id", F.col("line_no").alias("table_no"), X.table_cells(F.col("line")).alias("heads"))
+    said = X.spoken_table_row(F.col("heads"), X.table_cells(F.col("line")))
+    return classified.where("class = 'row'").join(heads, ["doc_id", "table_no"]).select("doc_id", "line_no", said.alias("text")).where(X.has_words(F.col("text")))
+
+
+def list_items(classified: DataFrame) -> DataFrame:
+    """(doc_id, line_no, ordered, text): items without their mark, with the plain lines that follow them."""
+    upto = W.partitionBy("doc_id").orderBy("line_no").rowsBetween(W.unboundedPreceding, 0)
+    placed = classified.withColumn("item", F.sum((~F.col("class").isin("text", "quote")).cast("int")).over(upto))
+    plain = F.regexp_replace("line", r"\A\s*>\s?", "")
+    bare = F.regexp_replace(F.regexp_replace("line", r"\A\s*[-*+]\s+", ""), r"\A\s*\d+[.)]\s+", "")
+    text = F.when(F.col("class").isin("bullet", "numbered"), bare).otherwise(plain)
+    number = F.regexp_extract("line", r"\A\s*(\d+)[.)]\s", 1)
+    parts = placed.groupBy("doc_id", "item").agg(F.min("line_no").alias("line_no"), F.min_by("class", "line_no").alias("class"), F.min_by(number, "line_no").alias("number"), F.array_sort(F.collect_list(F.struct("line_no", text.alias("t")))).alias("p"))
+    items = parts.where(F.col("class").isin("bullet", "numbered"))
+    joined = X.speakable(F.array_join(F.col("p.t"), " "))
+    return items.select("doc_id", "line_no", F.when(F.col("class") == "numbered", F.col("number").cast("int")).alias("ordered"), joined.alias("text")).where(X.has_words(F.col("text")))
 
 
 def headings(classified: DataFrame) -> DataFrame:

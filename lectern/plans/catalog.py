@@ -9,7 +9,6 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -17,7 +16,6 @@ from lectern.functions import estimate as E
 from lectern.functions import text as X
 from lectern.operators import library as L
 from lectern.operators import markdown as M
-from lectern.operators import segment as S
 from lectern.sources import corpus
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -50,7 +48,7 @@ PROGRESS_SQL = "SELECT user_id AS doc_id, CAST(floor(arg_max(value, (ts, event_i
 LIBRARY_SQL = "SELECT doc_id, 'Document ' || doc_id AS title, source, (doc_id * 7919) % 1009 AS added_at, len(regexp_extract_all(text, '\\S+')) AS word_count FROM documents"
 COUNTS_SQL = f"SELECT doc_id, count(*) AS n FROM ({LINES_SQL}) GROUP BY doc_id"
 SECONDS = "(CASE WHEN {0} <= 0 THEN 0.0 ELSE {0} / 160.0 * 60 END)"
-REMAINING = "(CASE WHEN floor({0} + 0.5) <= 0 THEN 'finished' WHEN floor({0} + 0.5) < 60 THEN 'under a minute left' ELSE CAST(CAST(floor(floor({0} + 0.5) / 60 + 0.5) AS BIGINT) AS VARCHAR) || ' min left' END)"
+REMAINING = "(CASE WHEN floor({0} + 0.5) <= 0 THEN 'finished' WHEN floor(floor({0} + 0.5) / 60 + 0.5) < 1 THEN 'under a minute left' ELSE CAST(CAST(floor(floor({0} + 0.5) / 60 + 0.5) AS BIGINT) AS VARCHAR) || ' min left' END)"
 
 
 def _files(t) -> DataFrame:
@@ -134,9 +132,11 @@ def split_lines(t, spark):
     return t("documents").select("doc_id", F.posexplode(X.split_lines(crlf)).alias("line_no", "line")).withColumn("line", F.md5("line"))
 
 
-@query(f"SELECT doc_id, sentence_id FROM ({LINES_SQL}) WHERE NOT regexp_matches(text, '[\\pL\\pN]')")
+@query(f"SELECT doc_id, sentence_id FROM ({LINES_SQL}) WHERE doc_id % 3 = 0 OR NOT regexp_matches(text, '[\\pL\\pN]')")
 def wordless_filter(t, spark):
-    return _lines(t).where(~X.has_words(F.col("text"))).select("doc_id", "sentence_id")
+    """Lines without words; those of every third document are made wordless first."""
+    text = F.when(F.col("doc_id") % 3 == 0, F.regexp_replace("text", r"[\p{L}\p{N}]", "*")).otherwise(F.col("text"))
+    return _lines(t).withColumn("text", text).where(~X.has_words(F.col("text"))).select("doc_id", "sentence_id")
 
 
 @query("""SELECT p_partkey, trim(regexp_replace(regexp_replace(regexp_replace(c, '[_-]+', ' ', 'g'), '([a-z0-9])([A-Z])', '\\1 \\2', 'g'), '([A-Z]+)([A-Z][a-z])', '\\1 \\2', 'g')) AS spoken
@@ -157,22 +157,22 @@ def strip_html_tags(t, spark):
     return t("pages").select("page_id", F.md5(X.strip_tags(F.col("html"))).alias("bare"))
 
 
-ROW_SQL = "'| ' || n_nationkey || ' | ' || n_name || '  |' || ' * |'"
+ROW_SQL = "'| ' || o_orderkey || ' | ' || o_orderpriority || '  |' || ' * |'"
 
 
-@query(f"SELECT n_nationkey, unnest(range(3)) AS i, trim(unnest(string_split(regexp_replace(regexp_replace(trim({ROW_SQL}), '^\\|', ''), '\\|$', ''), '|'))) AS cell FROM nation")
+@query(f"SELECT o_orderkey, unnest(range(3)) AS i, trim(unnest(string_split(regexp_replace(regexp_replace(trim({ROW_SQL}), '^\\|', ''), '\\|$', ''), '|'))) AS cell FROM orders")
 def table_cells(t, spark):
-    return t("nation").select("n_nationkey", F.posexplode(X.table_cells(_nation_row())).alias("i", "cell"))
+    return t("orders").select("o_orderkey", F.posexplode(X.table_cells(_order_row())).alias("i", "cell"))
 
 
-@query("SELECT n_nationkey, 'Key: ' || n_nationkey || '. ' || n_name || '.' AS said FROM nation")
+@query("SELECT o_orderkey, 'Key: ' || o_orderkey || '. Value: ' || o_orderpriority || '.' AS said FROM orders")
 def spoken_table_rows(t, spark):
-    headers = F.array(F.lit("Key"), F.lit("**"), F.lit("Mark"))
-    return t("nation").select("n_nationkey", X.spoken_table_row(headers, X.table_cells(_nation_row())).alias("said"))
+    headers = F.array(F.lit("Key"), F.lit("**Value**"), F.lit("Mark"))
+    return t("orders").select("o_orderkey", X.spoken_table_row(headers, X.table_cells(_order_row())).alias("said"))
 
 
-def _nation_row():
-    return F.concat(F.lit("| "), F.col("n_nationkey").cast("string"), F.lit(" | "), F.col("n_name"), F.lit("  | * |"))
+def _order_row():
+    return F.concat(F.lit("| "), F.col("o_orderkey").cast("string"), F.lit(" | "), F.col("o_orderpriority"), F.lit("  | * |"))
 
 
 @query("""SELECT doc_id, md5(regexp_replace(regexp_replace(text, 'e ([a-z])', 'e-' || chr(10) || '\\1', 'g'), '(\\pL)-' || chr(10) || '(\\p{Ll})', '\\1\\2', 'g')) AS joined FROM documents""")
@@ -219,14 +219,18 @@ def abbreviation_endings(t, spark):
 MARKDOWN_SQL = """SELECT doc_id, '## ' || doc_id || '. Notes from ' || source || chr(10) || '**Language**: ' || lang || chr(10) || '```sql' || chr(10) || '# not a heading' || chr(10)
  || 'select ' || doc_id || chr(10) || '```' || chr(10) || '- first' || chr(10) || '1. second' || chr(10) || '* * *' || chr(10) || '| a | b |' || chr(10) || '| -- | :-: |' || chr(10) || chr(10) || '> quoted' || chr(10) || text
  || (CASE WHEN doc_id % 4 = 0 THEN chr(10) || '~~~' || chr(10) || 'lost' ELSE '' END) AS text FROM documents"""
-CLASSED_SQL = f"""SELECT doc_id, line_no, line, fence_no, CASE WHEN regexp_matches(line, '^\\s*(```|~~~)') THEN 'fence' WHEN fence_no % 2 = 1 THEN 'code'
+RAW_CLASSED_SQL = f"""SELECT doc_id, line_no, line, fence_no, CASE WHEN regexp_matches(line, '^\\s*(```|~~~)') THEN 'fence' WHEN fence_no % 2 = 1 THEN 'code'
  WHEN regexp_matches(line, '^\\s*((-\\s*){{3,}}|(\\*\\s*){{3,}}|(_\\s*){{3,}})$') THEN 'rule' WHEN regexp_matches(line, '(?i)^\\s*!\\s*[\\w./-]+\\.(svg|png|jpe?g|gif|webp)\\s*$') THEN 'image'
  WHEN regexp_matches(line, '^\\s*(#{{1,6}})\\s+') THEN 'heading' WHEN regexp_matches(line, '^\\s*\\|(\\s*:?-{{2,}}:?\\s*\\|)+\\s*$') THEN 'separator' WHEN regexp_matches(line, '^\\s*\\|.*\\|\\s*$') THEN 'row'
  WHEN regexp_matches(line, '^\\s*\\*\\*[^*]+\\*\\*\\s*:') THEN 'meta' WHEN regexp_matches(line, '^\\s*[-*+]\\s+') THEN 'bullet' WHEN regexp_matches(line, '^\\s*\\d+[.)]\\s+') THEN 'numbered'
- WHEN regexp_matches(line, '^\\s*>') THEN 'quote' WHEN regexp_matches(line, '^\\s*$') THEN 'blank' ELSE 'text' END AS class
+ WHEN regexp_matches(line, '^\\s*>') THEN 'quote' WHEN regexp_matches(line, '^\\s*$') THEN 'blank' ELSE 'text' END AS class0
  FROM (SELECT *, sum(CAST(regexp_matches(line, '^\\s*(```|~~~)') AS INT)) OVER (PARTITION BY doc_id ORDER BY line_no) AS fence_no
  FROM (SELECT doc_id, unnest(range(len(ls))) AS line_no, unnest(ls) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM ({MARKDOWN_SQL}))))"""
 
+CLASSED_SQL = f"""SELECT * EXCLUDE (class0, piped, heads, run_no, head), CASE WHEN NOT piped THEN class0 WHEN head IS NULL OR line_no < head THEN 'text' WHEN line_no = head THEN 'header' WHEN line_no = head + 1 THEN 'separator' ELSE 'row' END AS class
+ FROM (SELECT *, min(CASE WHEN heads THEN line_no END) OVER (PARTITION BY doc_id, run_no) AS head FROM (SELECT *, sum(CAST(NOT piped AS INT)) OVER (PARTITION BY doc_id ORDER BY line_no) AS run_no,
+ piped AND coalesce(lead(class0) OVER (PARTITION BY doc_id ORDER BY line_no) = 'separator', false) AS heads FROM (SELECT *, class0 IN ('row', 'separator') AS piped FROM ({RAW_CLASSED_SQL}))))"""
+
 
 def _markdown(t) -> DataFrame:
     d = F.col("doc_id").cast("string")
@@ -255,18 +259,6 @@ def markdown_code_blocks(t, spark):
     return M.code_blocks(_markdown(t))
 
 
-# ---------------------------------------------------------------- sentences
-
-@query(None)
-def segment_paragraphs(t, spark):
-    return S.segment_paragraphs(t("documents"))
-
-
-@query(f"SELECT doc_id, CAST(sum(words) AS BIGINT) AS words, count(*) AS sentences FROM ({SENTENCES_SQL}) GROUP BY doc_id")
-def document_word_counts(t, spark):
-    return _sentences(t).groupBy("doc_id").agg(F.sum("words").alias("words"), F.count("*").alias("sentences"))
-
-
 # ---------------------------------------------------------------- listening time
 
 RATE_SQL = "SELECT doc_id, n, (0.5 + (doc_id % 4) * 0.5) AS rate FROM (SELECT doc_id, len(regexp_extract_all(text, '\\S+')) AS n FROM documents)"
@@ -334,9 +326,9 @@ def render_scales(t, spark):
 # ---------------------------------------------------------------- library tables
 
 
-@query(f"SELECT doc_id, title, source, added_at, word_count FROM ({LIBRARY_SQL}) ORDER BY added_at DESC, doc_id DESC LIMIT 100")
+@query(f"SELECT doc_id, title, source, added_at, word_count FROM ({LIBRARY_SQL}) ORDER BY added_at DESC, doc_id DESC")
 def library_newest(t, spark):
-    return L.list_docs(_library(t), 100)
+    return L.list_docs(_library(t))
 
 
 @query("SELECT doc_id, source FROM documents WHERE doc_id IN (SELECT doc_id FROM labels)")
@@ -344,12 +336,12 @@ def load_documents(t, spark):
     return L.load_docs(t("documents").select("doc_id", "source"), t("labels").select("doc_id"))
 
 
-@query(f"SELECT 'documents' AS what, doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels) UNION ALL SELECT 'progress', doc_id FROM ({PROGRESS_SQL}) WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
+@query(f"SELECT 'documents' AS what, doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels) UNION ALL SELECT 'progress', doc_id FROM ({PROGRESS_SQL}) WHERE doc_id NOT IN (SELECT doc_id FROM labels) UNION ALL SELECT 'images', doc_id FROM documents WHERE doc_id % 2 = 0 AND doc_id NOT IN (SELECT doc_id FROM labels)")
 def delete_cascade(t, spark):
     ids = t("labels").select("doc_id")
-    parts = {"documents": t("documents"), "progress": L.latest_progress(_events(t))}
+    parts = {"documents": t("documents"), "progress": L.latest_progress(_events(t)), "images": t("documents").where("doc_id % 2 = 0")}
     left = [L.delete_docs(df.select("doc_id"), ids).select(F.lit(what).alias("what"), "doc_id") for what, df in parts.items()]
-    return left[0].unionByName(left[1])
+    return L.combine(*left)
 
 
 @query(PROGRESS_SQL)
@@ -428,13 +420,10 @@ def lookahead_window(t, spark):
     return L.lookahead(_lines(t)).withColumn("next_ids", F.array_join(F.col("next_ids").cast("array<string>"), ","))
 
 
-@query(f"SELECT doc_id, CAST(min(sentence_id) AS BIGINT) AS first_id, CAST(sum(1 - CAST(same AS BIGINT)) AS BIGINT) AS groups FROM (SELECT doc_id, sentence_id, coalesce(len(text) % 2 = lag(len(text) % 2) OVER (PARTITION BY doc_id ORDER BY sentence_id), false) AS same FROM ({LINES_SQL})) GROUP BY doc_id")
-def list_groups(t, spark):
-    """Runs of neighbouring lines of one kind, as list items are gathered into lists."""
-    kind = F.length("text") % 2
-    w = W.partitionBy("doc_id").orderBy("sentence_id")
-    marked = _lines(t).withColumn("same", F.coalesce(kind == F.lag(kind).over(w), F.lit(False)))
-    return marked.groupBy("doc_id").agg(F.min("sentence_id").alias("first_id"), F.sum(F.when(F.col("same"), 0).otherwise(1)).alias("groups"))
+@query(f"SELECT doc_id, sentence_id, sha256(voice_id || '|1.00|' || text) AS clip_key FROM ({REQUESTS_SQL})")
+def clip_positions(t, spark):
+    """The clip that every position plays."""
+    return L.with_clip_key(_requests(t)).select("doc_id", "sentence_id", "clip_key")
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.functions import text as X
+from lectern.operators import blocks as B
 
 
 def read_corpus(spark: SparkSession, path: str) -> DataFrame:
@@ -25,3 +26,26 @@ def split_rejects(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     kind = F.when(F.col("source").isNull(), "unsupported").when(F.col("text").isNull(), "unreadable").when(~X.has_words(F.col("text")), "empty")
     marked = docs.withColumn("kind", kind)
     return marked.where("kind IS NULL").drop("kind"), marked.where("kind IS NOT NULL").select("doc_id", "kind")
+
+
+def parse_documents(docs: DataFrame) -> DataFrame:
+    """Sentences of documents (doc_id, source, text): Markdown by its blocks, other texts by their paragraphs."""
+    is_markdown = F.col("source") == "md"
+    return B.segment_documents(docs.where(is_markdown)).unionByName(B.segment_paragraphs(docs.where(~is_markdown)))
+
+
+def docx_documents(docs: DataFrame) -> DataFrame:
+    """Word documents whose text is already decoded, on the plain path."""
+    return docs.withColumn("source", F.lit("docx"))
+
+
+def parse_corpus(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(parsed, rejects) of (doc_id, filename, text): title, source, words and sentences of each document that has
+    something to say; the others with the reason. A pdf is refused here: it comes as pieces (operators.pdf)."""
+    named = docs.withColumns({"source": X.source_for_filename(F.col("filename")), "title": X.title_for_filename(F.col("filename"))})
+    named = named.withColumn("text", F.when(F.col("source") != "pdf", F.col("text")))
+    good, rejects = split_rejects(named)
+    counts = B.document_word_counts(parse_documents(good))
+    both = good.join(counts, "doc_id", "left")
+    parsed = both.where("words IS NOT NULL").select("doc_id", "title", "source", "words", "sentences")
+    return parsed, rejects.unionByName(both.where("words IS NULL").select("doc_id", F.lit("empty").alias("kind")))

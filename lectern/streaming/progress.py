@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
-from lectern.operators.segment import segment_paragraphs
+from lectern.sources.corpus import parse_documents
 
 
 def stream_progress(events: DataFrame, folder: str, checkpoint: str) -> DataStreamWriter:
@@ -25,5 +25,5 @@ def stream_progress(events: DataFrame, folder: str, checkpoint: str) -> DataStre
 
 
 def stream_sentences(docs: DataFrame) -> DataFrame:
-    """Sentences of a stream of documents; stateless."""
-    return segment_paragraphs(docs)
+    """Sentences of a stream of documents (doc_id, source, text), each parsed by its source; stateless."""
+    return parse_documents(docs)

@@ -6,7 +6,7 @@ import os
 import duckdb
 import pytest
 
-from lectern.plans import catalog
+from lectern.plans import catalog, documents  # noqa: F401
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 
@@ -24,6 +24,11 @@ def rows(frame):
     return sorted(repr(r) for r in frame.astype(object).where(frame.notna(), None).itertuples(index=False, name=None))
 
 
+@pytest.mark.parametrize("name", sorted(set(catalog.QUERIES) - set(catalog.ORACLE_SQL)))
+def test_without_sql(spark, name):
+    assert catalog.QUERIES[name](spark, SF).limit(5).count() == 5
+
+
 @pytest.mark.parametrize("name", sorted(catalog.ORACLE_SQL))
 def test_same_as_sql(spark, duck, name):
     got, wanted = catalog.QUERIES[name](spark, SF).toPandas(), duck.sql(catalog.ORACLE_SQL[name]).df()

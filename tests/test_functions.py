@@ -3,7 +3,7 @@ from pyspark.sql import functions as F
 
 from lectern.functions import estimate as E
 from lectern.functions import text as X
-from lectern.operators.segment import sentence_ranges
+from lectern.functions.spoken import sentence_ranges
 
 
 def one(spark, column):

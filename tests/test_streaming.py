@@ -13,9 +13,9 @@ def test_progress_is_kept_over_batches_and_replays(spark, tmp_path):
 
 
 def test_sentences_of_a_stream(spark, tmp_path):
-    spark.createDataFrame([(1, "One. Two."), (2, None)], "doc_id long, text string").write.parquet(str(tmp_path / "docs"))
-    stream = stream_sentences(spark.readStream.schema("doc_id long, text string").parquet(str(tmp_path / "docs")))
+    spark.createDataFrame([(1, "txt", "One. Two."), (2, "md", "## 1. Three"), (3, "md", None)], "doc_id long, source string, text string").write.parquet(str(tmp_path / "docs"))
+    stream = stream_sentences(spark.readStream.schema("doc_id long, source string, text string").parquet(str(tmp_path / "docs")))
     query = stream.writeStream.format("memory").queryName("said").start()
     query.processAllAvailable()
     query.stop()
-    assert [r.text for r in spark.sql("SELECT * FROM said ORDER BY sentence_id").collect()] == ["One.", "Two."]
+    assert [r.text for r in spark.sql("SELECT * FROM said ORDER BY doc_id, sentence_id").collect()] == ["One.", "Two.", "1 Three"]
