@@ -22,6 +22,7 @@ from __future__ import annotations
 import html as entities
 import math
 import re
+from collections import Counter
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -32,7 +33,7 @@ from lectern.llm import common as C
 
 # Elements by what they do in a page.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-HIDDEN = frozenset("script style noscript template head title textarea select option svg math iframe object canvas audio video".split())
+HIDDEN = frozenset("script style noscript template head title textarea select option svg iframe object canvas audio video".split())
 CHROME = frozenset("nav footer aside form button dialog menu".split())
 BLOCK = frozenset("address article aside blockquote body br caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html li main nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 CLOSES_P = BLOCK - {"br", "td", "th", "tr", "tbody", "thead", "tfoot", "caption", "body", "html"}
@@ -45,17 +46,23 @@ ASIDE_WORDS = frozenset(
     "notice cookie cookies consent gdpr popup modal overlay newsletter subscribe signup share sharing social related recommended comment comments disqus reply replies "
     "breadcrumb breadcrumbs pagination pager login search skip toolbar copyright".split()
 )
+# Words that say where or how a box stands.
+PLACES = frozenset("area bar block bottom box container form inner left list main right section slot top unit wrap wrapper".split())
 # Those of the words that themes also give to wrappers of the whole page ("with-sidebar", "fixed-header").
 LAYOUT_WORDS = frozenset("nav navbar navigation menu header masthead footer sidebar aside banner widget share sharing social search toolbar".split())
 # Elements that are the page's text or a part of it, and those beside which a container is only a part.
 TEXTS = frozenset(("article", "main"))
 PARTS = frozenset("ul ol dl table tbody details figure fieldset center header".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 FLOW = frozenset("h1 h2 h3 h4 h5 h6 p pre blockquote".split())
-_DROP = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|textarea|svg|iframe|title)\b[^>]*>.*?(?:</\1\s*>|\Z)|<[!?][^>]*>", re.S | re.I)
-_TAG = re.compile(r"(</?[a-zA-Z][^>\"']*(?:(?:\"[^\"]*\"|'[^']*')[^>\"']*)*>)")
+# The rest of a tag after its name, up to its end: a quote opens a value only after "=", and "<" outside a quoted
+# value ends the attempt, so that pages of unclosed tags are read in linear time.
+_REST = r"(?:[^<>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+'|[^\s<>]*+))*+>"
+_DROP = re.compile(rf"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|textarea|svg|iframe|title)\b{_REST}.*?(?:</\1\s*>|\Z)|<[!?][^<>]*+>", re.S | re.I)
+_TAG = re.compile(rf"(</?[a-zA-Z]{_REST})")
 _CUT = re.compile(r"</?[a-zA-Z][^<>]*\Z")
 _NAME = re.compile(r"</?([a-zA-Z][^\s/>]*)")
-_LABEL = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+_LABEL = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 
 
 class Node:
@@ -70,28 +77,35 @@ class Node:
             parent.parts.append(self)
 
 
-def labels(tag: str) -> tuple[str, ...]:
-    """The words in class, id and role of a tag."""
-    if "=" not in tag:
-        return ()
-    return tuple(w for found in _LABEL.finditer(tag) for w in re.split(r"[\s_\-]+", (found[1] or found[2] or found[3] or "").lower()) if w)
+def labels(tag: str, inside_article: bool) -> tuple[str, ...]:
+    """The words in class, id and role of a tag. Inside an article an id counts only if nothing in it names a topic,
+    since ids there are often made from headings."""
+    out: list[str] = []
+    for found in _LABEL.finditer(tag) if "=" in tag else ():
+        words = [w for w in re.split(r"[\s_\-]+", (found[2] or found[3] or found[4] or "").lower()) if w]
+        if not inside_article or found[1].lower() != "id" or all(w in ASIDE_WORDS or w in PLACES or w.isdigit() for w in words):
+            out += words
+    return tuple(out)
 
 
 def is_aside(name: str, label: tuple[str, ...], inside_article: bool) -> bool:
     if name in HIDDEN or name in CHROME or (name == "header" and not inside_article):
         return True
-    return name not in ("article", "main", "body", "html") and any(w in ASIDE_WORDS for w in label)
+    if name in ("article", "main", "body", "html") or (inside_article and name in HEADINGS):
+        return False
+    return any(w in ASIDE_WORDS for w in label)
 
 
 def parse(page: str) -> Node:
     """The page's tree of shown elements and texts."""
     root = Node("body", None)
     stack = [root]
-    articles = 0
+    articles, opened = 0, Counter()
 
     def close(depth: int) -> None:
         nonlocal articles
         while len(stack) > depth:
+            opened[stack[-1].tag] -= 1
             articles -= stack.pop().tag in ("article", "main")
 
     for i, piece in enumerate(_TAG.split(_CUT.sub("", _DROP.sub("", page)))):
@@ -101,7 +115,7 @@ def parse(page: str) -> Node:
             continue
         name = _NAME.match(piece)[1].lower()
         if piece[1] == "/":
-            at = len(stack) - 1
+            at = len(stack) - 1 if opened[name] else 0
             while at > 0 and stack[at].tag != name:
                 if name not in SCOPE and stack[at].tag in SCOPE:
                     at = 0
@@ -118,10 +132,11 @@ def parse(page: str) -> Node:
                 at -= 1
             if at > 0 and stack[at].tag in closed:
                 close(at)
-        label = labels(piece)
+        label = labels(piece, articles > 0)
         node = Node(name, stack[-1], is_aside(name, label, articles > 0), label)
         if name not in VOID and not piece.endswith("/>"):
             stack.append(node)
+            opened[name] += 1
             articles += name in ("article", "main")
     free_wrappers(root)
     return root
@@ -129,8 +144,8 @@ def parse(page: str) -> Node:
 
 def free_wrappers(root: Node) -> None:
     """Takes the aside mark from nodes that hold the page's text: around a main element always, around an article
-    that has as much text as all that is not aside, and for a name of `LAYOUT_WORDS` alone if the node itself has
-    as much."""
+    that has as much text as all that is not aside, and for a form or a name of `LAYOUT_WORDS` alone if the node itself
+    has as much."""
     nodes, todo = [], [root]
     while todo:
         node = todo.pop()
@@ -139,13 +154,20 @@ def free_wrappers(root: Node) -> None:
             todo.extend(node.children)
     if not any(n.aside for n in nodes):
         return
+    def is_wrapper(node: Node) -> bool:
+        if node.tag != "form" and (node.tag in CHROME or node.tag == "header"):
+            return False
+        return all(w in LAYOUT_WORDS for w in node.label if w in ASIDE_WORDS)
+
     shown: dict[int, int] = {}
+    held: dict[int, int] = {}
     most: dict[int, int] = {}
     has_main: set[int] = set()
     for node in reversed(nodes):
         below = [c for c in node.children if c.tag not in HIDDEN]
         own = sum(len(p.strip()) for p in node.parts if isinstance(p, str))
         shown[id(node)] = 0 if node.tag == "a" else own + sum(shown[id(c)] for c in below if not c.aside)
+        held[id(node)] = 0 if node.tag == "a" else own + sum(held[id(c)] for c in below if not c.aside or is_wrapper(c))
         most[id(node)] = max([shown[id(node)] if node.tag == "article" else 0, *(most[id(c)] for c in below)])
         if node.tag == "main" or any(id(c) in has_main for c in below):
             has_main.add(id(node))
@@ -153,9 +175,7 @@ def free_wrappers(root: Node) -> None:
     while inside:
         node, rest = inside.pop()
         if node.aside:
-            named = [w for w in node.label if w in ASIDE_WORDS]
-            layout = node.tag not in CHROME and node.tag != "header" and all(w in LAYOUT_WORDS for w in named)
-            if id(node) not in has_main and most[id(node)] < rest and not (layout and not has_main and shown[id(node)] >= rest):
+            if id(node) not in has_main and most[id(node)] < rest and not (is_wrapper(node) and not has_main and held[id(node)] >= rest):
                 continue
             node.aside, rest = False, rest + shown[id(node)]
         inside.extend((c, rest) for c in node.children if c.tag not in HIDDEN)

@@ -26,9 +26,27 @@ FOOT = "<footer>Copyright</footer>"
         "wrapper without article": (f"<body>{NAV}<div class='wrap no-sidebar'><div class=entry><p>{LONG[0]}</div></div>{FOOT}", LONG[0]),
         "articles as comments": (f"<article class=post><p>{LONG[0]}</article><div class=comments><article class=comment><p>Nice!</article></div>", LONG[0]),
         "articles as teasers": (f"<body><aside class=sidebar><article><p>Teaser</article></aside><div class=post><p>{LONG[0]}</div>", LONG[0]),
+        "form and sidebar wrappers without article": (f"<body><form action=/x><div class='site has-sidebar'><p>{LONG[0]}<div class=sidebar>Side</div></div></form>{FOOT}", LONG[0]),
+        "generated ids, loose quotes, formulas": (f"<article><h2 id=social-effects>Hd</h2><p title=it's>{LONG[0]} <math>x</math></p><section id=search-algorithms><p>Kept.</section></article>", f"Hd {LONG[0]} x Kept."),
+        "search form": (f"<body><form><input name=q><label>Find</label></form><div><p>{LONG[0]}<p>{LONG[1]}</div>", f"{LONG[0]} {LONG[1]}"),
         "several articles": (f"<div><article class=post><p>{LONG[0]}</article><article class=post><p>Brief.</article></div>{FOOT}", f"{LONG[0]} Brief."),
         "main around article": (f"<main><h1>T</h1><article><p>{LONG[0]}</article></main>{FOOT}", f"T {LONG[0]}"),
     }.values(),
 )
 def test_pages(page, text):
     assert html_text.main_text(page) == text
+
+
+@pytest.mark.parametrize("page", ['<a "' * 500_000, '<a x="' * 300_000, "<svg " * 300_000, "<!x" * 300_000, "<div>" * 20_000 + "</section>" * 20_000], ids=["tags", "values", "svg", "declarations", "depth"])
+def test_long_broken_pages_take_linear_time(page):
+    import time
+
+    began = time.time()
+    html_text.main_text(page)
+    assert time.time() - began < 15
+
+
+def test_nulls_empty_and_extra_columns(spark):
+    rows = spark.createDataFrame([(1, None, "t"), (2, "", None), (3, f"<p>{LONG[0]}", "x"), (3, f"<p>{LONG[0]}", "x")], "page_id long, html string, text string")
+    assert sorted(r.text for r in html_text.extract_text(rows).collect()) == ["", "", LONG[0], LONG[0]]
+    assert html_text.extract_text(rows.limit(0)).isEmpty()
