@@ -2,28 +2,59 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
 from lectern.sources.corpus import parse_documents
 
+ROWS = "doc_id long, sentence_index long, updated_at long, event_id long"
+COMPACT = 20
 
-def stream_progress(events: DataFrame, folder: str, checkpoint: str) -> DataStreamWriter:
-    """Keeps the greatest (updated_at, event_id) of each document; a batch writes the version of its own
-    number from the version before it, so that a replayed batch gives the same table."""
+
+def _latest(rows: DataFrame) -> DataFrame:
+    """The row of the greatest (updated_at, event_id) of each document; merging rows twice changes nothing."""
+    last = F.max_by(F.struct("sentence_index", "updated_at", "event_id"), F.struct("updated_at", "event_id"))
+    return rows.groupBy("doc_id").agg(last.alias("r")).select("doc_id", "r.*")
+
+
+def _parts(spark: SparkSession, folder: str) -> DataFrame:
+    return spark.read.schema(f"{ROWS}, kind string, number long").parquet(folder)
+
+
+def read_progress(spark: SparkSession, folder: str) -> DataFrame:
+    """The table that stream_progress() keeps."""
+    return _latest(_parts(spark, folder).drop("kind", "number"))
+
+
+def stream_progress(events: DataFrame, folder: str, checkpoint: str, compact: int = COMPACT) -> DataStreamWriter:
+    """Keeps the greatest (updated_at, event_id) of each document, for read_progress().
+
+    A batch writes its own latest rows under its number, so that a replayed batch writes the same again. Every
+    `compact` batches all parts are merged into a base, and the parts older than the base before are removed: a
+    batch costs its own rows and a share of 1 / compact of the table, and readers keep a base for as long.
+    """
 
     def write(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
         rows = batch.select("doc_id", "sentence_index", "updated_at", "event_id")
-        if number > 0:
-            rows = rows.unionByName(spark.read.parquet(f"{folder}/version={number - 1}"))
-        latest = rows.groupBy("doc_id").agg(F.max_by(F.struct("sentence_index", "updated_at", "event_id"), F.struct("updated_at", "event_id")).alias("r"))
-        latest.select("doc_id", "r.*").write.mode("overwrite").parquet(f"{folder}/version={number}")
+        _latest(rows).write.mode("overwrite").parquet(f"{folder}/kind=batch/number={number}")
+        if number and number % compact == 0:
+            older = _parts(spark, folder).where((F.col("number") < number) | ((F.col("kind") == "batch") & (F.col("number") == number)))
+            _latest(older.drop("kind", "number")).write.mode("overwrite").parquet(f"{folder}/kind=base/number={number}")
+            for old in range(max(0, number - 2 * compact), number - compact):
+                _remove(spark, f"{folder}/kind=batch/number={old}")
+                _remove(spark, f"{folder}/kind=base/number={old}")
 
     return events.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
 
 
+def _remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder through Spark's own file systems, if it is there."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def stream_sentences(docs: DataFrame) -> DataFrame:
     """Sentences of a stream of documents (doc_id, source, text), each parsed by its source; stateless."""
     return parse_documents(docs)

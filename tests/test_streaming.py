@@ -1,15 +1,27 @@
-from lectern.streaming.progress import stream_progress, stream_sentences
+import random
 
+import pytest
 
-def test_progress_is_kept_over_batches_and_replays(spark, tmp_path):
-    schema = "doc_id long, sentence_index long, updated_at long, event_id long"
-    source = str(tmp_path / "in")
-    for batch in ([(1, 3, 10, 1), (1, 4, 10, 2), (2, 0, 5, 3)], [(1, 9, 4, 4), (2, 7, 6, 5)]):
-        spark.createDataFrame(batch, schema).coalesce(1).write.mode("append").parquet(source)
+from lectern.streaming.progress import read_progress, stream_progress, stream_sentences
+
+
+@pytest.mark.parametrize("compact", [20, 2])
+def test_progress_is_kept_over_batches_replays_and_merges(spark, tmp_path, compact):
+    schema, draw = "doc_id long, sentence_index long, updated_at long, event_id long", random.Random(3)
+    source, out, wanted = str(tmp_path / "in"), str(tmp_path / "out"), {}
+    for turn in range(7):
+        rows = [(draw.randrange(9), draw.randrange(50), draw.randrange(30), turn * 10 + i) for i in range(6)]
+        for doc, at, time, event in rows:
+            wanted[doc] = max(wanted.get(doc, (-1,)), (time, event, at))
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(source)
         stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(source)
-        stream_progress(stream, str(tmp_path / "out"), str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination()
-    last = spark.read.parquet(str(tmp_path / "out" / "version=1"))
-    assert {(r.doc_id, r.sentence_index) for r in last.collect()} == {(1, 4), (2, 7)}
+        stream_progress(stream, out, str(tmp_path / "cp"), compact).trigger(availableNow=True).start().awaitTermination()
+        assert {r.doc_id: (r.updated_at, r.event_id, r.sentence_index) for r in read_progress(spark, out).collect()} == wanted
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(source)
+    stream_progress(stream, out, str(tmp_path / "again"), compact).trigger(availableNow=True).start().awaitTermination()
+    assert {r.doc_id: r.sentence_index for r in read_progress(spark, out).collect()} == {d: w[2] for d, w in wanted.items()}
+    left = sorted(f.name for f in (tmp_path / "out" / "kind=batch").iterdir())
+    assert left == [f"number={i}" for i in range(7) if compact > 6 or i >= 4]
 
 
 def test_sentences_of_a_stream(spark, tmp_path):
