@@ -13,13 +13,17 @@ shuffle puts its n-grams:
    raises a level;
 3. each group scores its documents: P(w | h) = (2**(level - 1) + m * P(w)) / (c(h) + m), where the word
    model P(w) = (c(w) + 1) / (N + V + 1) and c(h) are exact. A level's lowest count stands for it, so that
-   no history's probabilities exceed one but for false positives.
+   no history's probabilities exceed one but for false positives;
+4. m is the one of `priors` under which the training documents, each scored by the counts that the others
+   leave, are likeliest in sum; all of them are scored in one pass, and equals give the smallest. A held-out
+   row has no part in it.
 
 Groups and shards have bounded sizes at any corpus size; a pair that a third of all documents share is one
 entry a group.
 
 Defined results: null and empty texts are the end token alone; a null id counts as training; repeated rows
-count as often as they occur; without training rows N = V = 0; extra columns are ignored.
+count as often as they occur; without training rows N = V = 0 and m is the smallest prior; extra columns
+are ignored.
 """
 
 from __future__ import annotations
@@ -34,7 +38,7 @@ GROUP_BYTES = 6 << 20
 PER_SHARD = 1_000_000
 PAIR_BYTES = 5
 BITS, PROBES = 10, 7
-PRIOR = 10.0
+PRIORS = (1.0, 10.0, 100.0, 1000.0, 10000.0)
 _PAIR = np.uint64(0xA0761D6478BD642F)
 END = C.mix(np.array([0xE7037ED1A0B428DB], np.uint64))[0]
 
@@ -148,12 +152,21 @@ def answers(asked: DataFrame, bits: int, probes: int) -> DataFrame:
     return asked.groupBy("bucket").applyInPandas(run, REPLIES)
 
 
-def score_lm(docs: DataFrame, training, *, group_bytes: int = GROUP_BYTES, per_shard: int = PER_SHARD, bits: int = BITS, probes: int = PROBES, prior: float = PRIOR, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def own_count(row: np.ndarray, value: np.ndarray) -> np.ndarray:
+    """How often each value occurs in its own text."""
+    order = np.lexsort((value, row))
+    firsts, ends = C.runs(row[order], value[order])
+    out = np.empty(len(row), np.int64)
+    out[order] = np.repeat(ends - firsts, ends - firsts)
+    return out
+
+
+def score_lm(docs: DataFrame, training, *, group_bytes: int = GROUP_BYTES, per_shard: int = PER_SHARD, bits: int = BITS, probes: int = PROBES, priors: tuple[float, ...] = PRIORS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, train, n_tokens, n_known, train_tokens, base_score and score of every row.
 
-    training: a boolean column of docs; counts come from its true rows.
+    training: a boolean column of docs; counts come from its true rows. priors: values of m to choose from.
     """
-    docs = C.prepared(docs)
+    docs, priors = C.prepared(docs), sorted(priors)
     total = C.text_bytes(docs, text_col)
     groups, shards = C.bucket_count(total, group_bytes), C.bucket_count(total / 7, per_shard)
     documents = grouped_documents(docs, groups, training, id_col, text_col)
@@ -161,7 +174,9 @@ def score_lm(docs: DataFrame, training, *, group_bytes: int = GROUP_BYTES, per_s
     sums = replies.agg(F.sum("n_types"), F.sum("n_tokens")).first()
     n_types, n_tokens = int(sums[0] or 0), int(sums[1] or 0)
     fields = documents.schema["doc_id"].dataType.simpleString()
-    out = f"doc_id {fields}, train boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+    each = range(len(priors))
+    scores, lefts = [f"score_{i}" for i in each], [f"left_{i}" for i in each]
+    out = f"doc_id {fields}, train boolean, n_tokens long, n_known long, train_tokens long, base_score double, " + ", ".join(f"{c} double" for c in scores + lefts)
 
     def run(frame, got):
         import pandas as pd
@@ -172,17 +187,32 @@ def score_lm(docs: DataFrame, training, *, group_bytes: int = GROUP_BYTES, per_s
         got = got.sort_values(["kind", "bucket"])
         told = [np.concatenate([C.unplanes(x, dtype) for x in got["vals"][got["kind"] == kind]]) for kind, dtype in enumerate((np.int64, np.uint8))]
         words, at = np.unique(token, return_inverse=True)
-        count = told[0][at]
-        level = told[1][np.unique(pair_hash(previous, token), return_inverse=True)[1]]
+        both = pair_hash(previous, token)
+        count, level = told[0][at], told[1][np.unique(both, return_inverse=True)[1]]
         place = np.minimum(np.searchsorted(words, previous), len(words) - 1)
         history = told[0][place]
-        unigram = (count + 1.0) / (n_tokens + n_types + 1.0)
         pair = np.where(level > 0, 2.0 ** (level.astype(float) - 1), 0.0)
-        probability = (pair + prior * unigram) / (np.maximum(history, pair) + prior)
-        n = len(frame)
-        return pd.DataFrame({"doc_id": frame["doc_id"], "train": frame["train"], "n_tokens": np.bincount(row, minlength=n), "n_known": np.bincount(row, count > 0, n).astype(np.int64), "train_tokens": n_tokens, "base_score": np.bincount(row, np.log10(unigram), n), "score": np.bincount(row, np.log10(probability), n)})
+        n, size = len(frame), np.bincount(row, minlength=len(frame))
+        train = frame["train"].to_numpy().astype(bool)
 
-    return documents.groupBy("g").cogroup(replies.groupBy("g")).applyInPandas(run, out)
+        def by_prior(row, unigram, pair, history):
+            for prior in priors:
+                yield np.bincount(row, np.log10((pair + prior * unigram) / (np.maximum(history, pair) + prior)), n)
+
+        unigram = (count + 1.0) / (n_tokens + n_types + 1.0)
+        done = {"doc_id": frame["doc_id"], "train": train, "n_tokens": size, "n_known": np.bincount(row, count > 0, n).astype(np.int64), "train_tokens": n_tokens, "base_score": np.bincount(row, np.log10(unigram), n)}
+        done |= zip(scores, by_prior(row, unigram, pair, history), strict=True)
+        seen = np.flatnonzero(train[row])
+        row, token, previous, both = row[seen], token[seen], previous[seen], both[seen]
+        unigram = (count[seen] - own_count(row, token) + 1.0) / (n_tokens - size[row] + n_types + 1.0)
+        pair, history = np.maximum(pair[seen] - own_count(row, both), 0), history[seen] - own_count(row, previous)
+        done |= zip(lefts, by_prior(row, unigram, pair, history), strict=True)
+        return pd.DataFrame(done)
+
+    scored = C.settle(documents.groupBy("g").cogroup(replies.groupBy("g")).applyInPandas(run, out))
+    left = scored.where("train").agg(*[F.sum(c) for c in lefts]).first()
+    best = max(each, key=lambda i: (left[i] or 0.0, -i))
+    return scored.select("doc_id", "train", "n_tokens", "n_known", "train_tokens", "base_score", F.col(scores[best]).alias("score"))
 
 
 def op10_lm_score(spark, sf_dir: str) -> DataFrame:
