@@ -9,6 +9,8 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterator
+from itertools import groupby
+from operator import itemgetter
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -228,6 +230,97 @@ def segment_paragraphs(docs: DataFrame, paragraphs_column: Column | None = None)
     return _rows(docs.select(F.col("doc_id").cast("long"), ps.alias("t")), SENTENCES, _SENTENCE_TYPES, lambda t: ((i, *s) for i, s in enumerate(sentences(paragraphs(t)))))
 
 
+BLOCK = f"struct<block_no:int,child_no:int,kind:string,level:int,ordered:int,language:string,code_text:string,icon:string,runs:array<{RUN}>,image_id:string,width:int,height:int>"
+_BLOCK_NAMES = [c.split()[0] for c in BLOCKS.split(", ")][1:]
+_BLOCK_TYPE = pa.struct([*zip(_BLOCK_NAMES, _BLOCK_TYPES[1:], strict=True), ("image_id", pa.string()), ("width", pa.int32()), ("height", pa.int32())])
+_WORD = re.compile(f"[^{S._ENDS}]+")
+
+
+def whole_documents(docs: DataFrame, markdown: Column, ps: Column) -> DataFrame:
+    """docs and words, sentences and blocks of every document in one pass without a shuffle: of a Markdown text, or
+    where that is null of an array of plain paragraphs. words: those of the spoken sentences."""
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema), f"words long, sentences long, blocks array<{BLOCK}>"])
+    width = len(docs.columns)
+
+    def read(text, plain):
+        blocks = parse(text) if text is not None else paragraphs(plain or [])
+        said = [s[-1] for s in sentences(blocks)]
+        return sum(len(_WORD.findall(s)) for s in said), len(said), [dict(zip(_BLOCK_NAMES, b, strict=True)) for b in _flat_blocks(blocks)]
+
+    def run(batches):
+        for batch in batches:
+            at, held, size = 0, [], 0
+            for text, plain in zip(*(c.to_pylist() for c in batch.columns[width:]), strict=True):
+                held.append(read(text, plain))
+                size += len(held[-1][2])
+                if size >= ROWS_OUT:
+                    yield joined(batch.slice(at, len(held)), held)
+                    at, held, size = at + len(held), [], 0
+            if held:
+                yield joined(batch.slice(at), held)
+
+    def joined(own, held):
+        types = {"words": pa.int64(), "sentences": pa.int64(), "blocks": pa.list_(_BLOCK_TYPE)}
+        return pa.RecordBatch.from_arrays([*own.columns[:width], *(pa.array(c, t) for c, t in zip(zip(*held, strict=True), types.values(), strict=True))], names=[*own.schema.names[:width], *types])
+
+    return X.spread(docs.select("*", markdown.alias("_markdown"), ps.alias("_paragraphs"))).mapInArrow(run, schema)
+
+
+def _in_order(blocks: DataFrame) -> DataFrame:
+    """Rows of blocks by document and in its order, with the fields of BLOCK; what they lack is null."""
+    kinds = dict(f.split(":", 1) for f in BLOCK[len("struct<") : -1].replace(RUN, "@").split(","))
+    fields = [F.col(n) if n in blocks.columns else F.lit(None).alias(n) for n in kinds]
+    typed = [f.cast(k.replace("@", RUN)).alias(n) for f, (n, k) in zip(fields, kinds.items(), strict=True)]
+    return blocks.select(F.col("doc_id").cast("long"), *typed).repartition("doc_id").sortWithinPartitions("doc_id", "block_no", F.col("child_no").asc_nulls_first())
+
+
+def _leaf_of(row: dict) -> dict:
+    return row | {"runs": row["runs"] and [(r["text"], r["bold"], r["italic"], r["code"]) for r in row["runs"]]}
+
+
+def _is_said(kind: str) -> bool:
+    return kind not in ("figure", "callout")
+
+
+def segment_blocks(blocks: DataFrame) -> DataFrame:
+    """SENTENCES of rows of blocks (those of a PDF, say): dealt out and sorted by document, then read in one pass that
+    holds one block at a time."""
+
+    def run(batches):
+        out, doc, number = [], None, 0
+        for row in (r for b in batches for r in b.to_pylist()):
+            if row["doc_id"] != doc:
+                doc, number = row["doc_id"], 0
+            for start, end, text in _said(_leaf_of(row)) if _is_said(row["kind"]) else ():
+                out.append((doc, number, row["block_no"], row["child_no"], start, end, text))
+                number += 1
+            if len(out) >= ROWS_OUT:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), _SENTENCE_TYPES, strict=True)], _SENTENCE_NAMES)
+                out = []
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), _SENTENCE_TYPES, strict=True)], _SENTENCE_NAMES)
+
+    return _in_order(blocks).mapInArrow(run, SENTENCES)
+
+
+def gathered_documents(blocks: DataFrame) -> DataFrame:
+    """(doc_id, words, sentences, blocks) from rows of blocks: those of a document, in order, with what they say."""
+
+    def document(doc_id, rows):
+        said = [s[-1] for r in rows if _is_said(r["kind"]) for s in _said(_leaf_of(r))]
+        return doc_id, sum(len(_WORD.findall(s)) for s in said), len(said), [{k: v for k, v in r.items() if k != "doc_id"} for r in rows]
+
+    def run(batches):
+        for doc_id, rows in groupby((r for b in batches for r in b.to_pylist()), key=itemgetter("doc_id")):
+            columns = zip(*[document(doc_id, list(rows))], strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, [pa.int64(), pa.int64(), pa.int64(), pa.list_(_BLOCK_TYPE)], strict=True)], ["doc_id", "words", "sentences", "blocks"])
+
+    return _in_order(blocks).mapInArrow(run, f"doc_id long, words long, sentences long, blocks array<{BLOCK}>")
+
+
+_SENTENCE_NAMES = [c.split()[0] for c in SENTENCES.split(", ")]
+
+
 def sentence_splits(docs: DataFrame, text: str = "text") -> DataFrame:
     """(doc_id, start, end) of the sentences of one paragraph a row."""
     return _rows(docs.select(F.col("doc_id").cast("long"), F.col(text).alias("t")), "doc_id long, start int, end int", [pa.int64(), pa.int32(), pa.int32()], S.sentence_ranges)

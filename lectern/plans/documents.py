@@ -189,8 +189,23 @@ def sentence_ranges(t, spark):
 
 @query(None)
 def parse_corpus(t, spark):
-    parsed, rejects = corpus.parse_corpus(_files(t))
-    return L.combine(parsed, rejects)
+    parsed, rejects = corpus.parse_corpus(_files(t), _styled_pieces(t))
+    return L.combine(parsed.select("doc_id", "title", "source", "words", "sentences", F.size("blocks").alias("blocks")), rejects)
+
+
+@query(f"""SELECT doc_id, source, title, 1 AS n_blocks, md5(said) AS text_md5, CAST(len(regexp_extract_all(said, '\\S+')) AS BIGINT) AS n_words FROM (SELECT doc_id, {SOURCE_SQL} AS source,
+ trim(regexp_replace(regexp_replace(filename, '^(.+)\\.[^.]+$', '\\1'), '[_-]+', ' ', 'g')) AS title, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS said FROM ({FILES_SQL})) WHERE source = 'txt' AND regexp_matches(said, '[\\pL\\pN]')""")
+def parsed_texts(t, spark):
+    """Whole texts through the parser: one paragraph each, as none has a blank line."""
+    parsed, _ = corpus.parse_corpus(_files(t).where(X.source_for_filename(F.col("filename")) == "txt"))
+    said = B.display_text(F.get("blocks", F.lit(0))["runs"])
+    return parsed.select("doc_id", "source", "title", F.size("blocks").alias("n_blocks"), F.md5(said).alias("text_md5"), X.count_words(said).cast("long").alias("n_words"))
+
+
+@query(None)
+def pdf_documents(t, spark):
+    read = corpus.pdf_documents(_styled_pieces(t))
+    return read.select("doc_id", "words", "sentences", F.size("blocks").alias("blocks"))
 
 
 @query("SELECT doc_id, kind FROM (SELECT doc_id, 'paste' AS kind FROM (SELECT conv_id * 1000 + turn AS doc_id FROM conversations) UNION ALL SELECT doc_id, coalesce(" + SOURCE_SQL + ", 'none') FROM (" + FILES_SQL + "))")
@@ -248,23 +263,23 @@ def _words(t) -> DataFrame:
 
 
 def _pieces(t) -> DataFrame:
-    words = _words(t)
     i, line = F.col("i"), F.floor(F.col("i") / PER_LINE).cast("int")
-    row = line % PER_PAGE
+    row, page = line % PER_PAGE, F.floor(line / PER_PAGE).cast("int")
     y = F.lit(700.0) - row * 20 - F.floor(row / 5) * 12 + F.when(i % 2 == 1, 0.5).otherwise(0.0)
     width = F.when(i % 7 == 0, None).when(i % 5 == 0, 50.0).otherwise(44.0)
-    page = F.floor(line / PER_PAGE).cast("int").alias("page_no")
-    own = words.select("doc_id", page, i.alias("piece_no"), "str", (F.lit(72.0) + (i % PER_LINE) * 50).alias("x"), y.cast("double").alias("y"), width.alias("width"))
-    pages = words.where(i % (PER_LINE * PER_PAGE) == 0).select("doc_id", page)
-    number = F.col("page_no")
-    margins = [(-1, F.concat(F.lit("Report "), number.cast("string")), 760.0), (1 << 30, F.concat(F.lit("Page "), (number + 1).cast("string")), 10.0), ((1 << 30) + 1, F.lit("  "), 5.0)]
-    for piece_no, text, y in margins:
-        own = own.unionByName(pages.select("doc_id", "page_no", F.lit(piece_no).alias("piece_no"), text.alias("str"), F.lit(72.0).alias("x"), F.lit(y).alias("y"), F.lit(40.0).alias("width")))
-    return own
+
+    def piece(number, text, x, y, width):
+        return F.struct(number.cast("int").alias("piece_no"), text.alias("str"), x.alias("x"), y.cast("double").alias("y"), width.cast("double").alias("width"))
+
+    word = piece(i, F.col("str"), F.lit(72.0) + (i % PER_LINE) * 50, y, width)
+    margins = [(-1, F.concat(F.lit("Report "), page.cast("string")), 760.0), (1 << 30, F.concat(F.lit("Page "), (page + 1).cast("string")), 10.0), ((1 << 30) + 1, F.lit("  "), 5.0)]
+    with_margins = F.array(word, *[piece(F.lit(n), text, F.lit(72.0), F.lit(y), F.lit(40.0)) for n, text, y in margins])
+    all_pieces = F.when(i % (PER_LINE * PER_PAGE) == 0, with_margins).otherwise(F.array(word))
+    return _words(t).select("doc_id", page.alias("page_no"), F.inline(all_pieces))
 
 
 def _page_lines(t) -> DataFrame:
-    return P.joined_rows(P.baseline_rows(_pieces(t)))
+    return P.page_rows(_pieces(t))
 
 
 @query(f"SELECT doc_id, page_no, i AS piece_no, 1 + l % {PER_PAGE} AS row_no FROM ({PIECES_SQL})")
@@ -319,16 +334,17 @@ def piece_font_styles(t, spark):
 
 # ---------------------------------------------------------------- styled lines, from orders: a customer is a document
 
+ONLY_SQL = f"regexp_matches(text, '^({P.PICTOGRAPH}| )+$')"
 STYLED_SQL = """SELECT o_custkey AS doc_id, o_orderkey % 3 AS page_no, o_orderkey AS line_no, CASE o_orderkey % 11 WHEN 0 THEN 90.0 WHEN 1 THEN 80.0 ELSE 72.0 END AS x, 3000000.0 - 12 * o_orderkey AS y,
  CASE o_orderkey % 13 WHEN 0 THEN 24.0 WHEN 1 THEN 15.0 WHEN 2 THEN 12.5 ELSE 10.0 END AS height, o_orderkey % 7 = 0 AS all_mono, o_orderkey % 5 = 0 AND o_orderkey % 7 <> 0 AS bold,
- CASE o_orderkey % 6 WHEN 0 THEN 'Figure 2 ' || o_orderpriority WHEN 1 THEN '12. item' WHEN 2 THEN o_orderstatus || ':' ELSE o_orderpriority END AS text FROM orders"""
+ CASE o_orderkey % 6 WHEN 0 THEN 'Figure 2 ' || o_orderpriority WHEN 1 THEN '12. item' WHEN 2 THEN o_orderstatus || ':' WHEN 3 THEN 'ℹ ' || o_orderpriority WHEN 4 THEN '✓ ' || o_orderpriority ELSE CASE WHEN o_orderkey % 30 = 5 THEN '📖 ℹ' ELSE o_orderpriority END END AS text FROM orders"""
 METRICS_SQL = f"""SELECT doc_id, coalesce(body, 12.0) AS body, coalesce(margin, 72.0) AS margin, mono_share FROM (SELECT doc_id, avg(CAST(all_mono AS DOUBLE)) AS mono_share FROM ({STYLED_SQL}) GROUP BY doc_id)
- LEFT JOIN (SELECT doc_id, arg_min(v, (-n, p, l)) AS body FROM (SELECT doc_id, floor(height * 10 + 0.5) / 10 AS v, count(*) AS n, min((page_no, line_no))[1] AS p, min((page_no, line_no))[2] AS l FROM ({STYLED_SQL}) WHERE NOT all_mono GROUP BY 1, 2) GROUP BY doc_id) USING (doc_id)
- LEFT JOIN (SELECT doc_id, arg_min(v, (-n, p, l)) AS margin FROM (SELECT doc_id, floor(x + 0.5) AS v, count(*) AS n, min((page_no, line_no))[1] AS p, min((page_no, line_no))[2] AS l FROM ({STYLED_SQL}) WHERE NOT all_mono GROUP BY 1, 2) GROUP BY doc_id) USING (doc_id)"""
+ LEFT JOIN (SELECT doc_id, arg_min(v, (-n, p, l)) AS body FROM (SELECT doc_id, floor(height * 10 + 0.5) / 10 AS v, count(*) AS n, min((page_no, line_no))[1] AS p, min((page_no, line_no))[2] AS l FROM ({STYLED_SQL}) WHERE NOT all_mono AND NOT ({ONLY_SQL}) GROUP BY 1, 2) GROUP BY doc_id) USING (doc_id)
+ LEFT JOIN (SELECT doc_id, arg_min(v, (-n, p, l)) AS margin FROM (SELECT doc_id, floor(x + 0.5) AS v, count(*) AS n, min((page_no, line_no))[1] AS p, min((page_no, line_no))[2] AS l FROM ({STYLED_SQL}) WHERE NOT all_mono AND NOT ({ONLY_SQL}) GROUP BY 1, 2) GROUP BY doc_id) USING (doc_id)"""
 LEADING_SQL = f"""SELECT doc_id, median(step) AS "leading" FROM (SELECT doc_id, CASE WHEN fits AND lag(fits) OVER w AND lag(y) OVER w > y THEN lag(y) OVER w - y END AS step
  FROM (SELECT s.*, NOT all_mono AND abs(height - body) < 0.5 AS fits FROM ({STYLED_SQL}) s JOIN ({METRICS_SQL}) USING (doc_id)) WINDOW w AS (PARTITION BY doc_id, page_no ORDER BY line_no)) GROUP BY doc_id"""
 FULL_METRICS_SQL = f'SELECT doc_id, body, margin, coalesce(nullif("leading", 0), body * 1.5) AS "leading", mono_share FROM ({METRICS_SQL}) LEFT JOIN ({LEADING_SQL}) USING (doc_id)'
-KIND_SQL = f"""SELECT *, CASE WHEN NOT all_mono AND height >= 2.2 * body THEN 'h1' WHEN NOT all_mono AND bold AND height >= 1.4 * body THEN 'h2' WHEN NOT all_mono AND bold AND height >= 1.2 * body THEN 'h3'
+KIND_SQL = f"""SELECT *, CASE WHEN regexp_matches(text, '^{P.PICTOGRAPH}') AND x >= margin + 5 THEN 'callout-open' WHEN {ONLY_SQL} THEN 'drop' WHEN NOT all_mono AND height >= 2.2 * body THEN 'h1' WHEN NOT all_mono AND bold AND height >= 1.4 * body THEN 'h2' WHEN NOT all_mono AND bold AND height >= 1.2 * body THEN 'h3'
  WHEN all_mono AND x >= margin + 5 THEN 'code' WHEN bold AND text LIKE '%:' THEN 'meta' WHEN text LIKE 'Figure 2%' THEN 'caption' WHEN x >= margin + 8 AND x < margin + 30 THEN 'list' ELSE 'paragraph' END AS k FROM ({STYLED_SQL}) JOIN ({FULL_METRICS_SQL}) USING (doc_id)"""
 KINDS_REFINED_SQL = f"""SELECT *, CASE WHEN k = 'list' AND NOT regexp_matches(text, '^\\d+[.)]') AND coalesce(abs(lead(x) OVER w - margin) <= 4 AND y - lead(y) OVER w <= 1.2 * "leading", false) THEN 'paragraph' ELSE k END AS kind
  FROM ({KIND_SQL}) WINDOW w AS (PARTITION BY doc_id, page_no ORDER BY line_no)"""
@@ -336,7 +352,7 @@ KINDS_REFINED_SQL = f"""SELECT *, CASE WHEN k = 'list' AND NOT regexp_matches(te
 
 def _styled(t) -> DataFrame:
     n = F.col("o_orderkey")
-    text = F.when(n % 6 == 0, F.concat(F.lit("Figure 2 "), "o_orderpriority")).when(n % 6 == 1, "12. item").when(n % 6 == 2, F.concat("o_orderstatus", F.lit(":"))).otherwise(F.col("o_orderpriority"))
+    text = F.when(n % 6 == 0, F.concat(F.lit("Figure 2 "), "o_orderpriority")).when(n % 6 == 1, "12. item").when(n % 6 == 2, F.concat("o_orderstatus", F.lit(":"))).when(n % 6 == 3, F.concat(F.lit("ℹ "), "o_orderpriority")).when(n % 6 == 4, F.concat(F.lit("✓ "), "o_orderpriority")).when(n % 30 == 5, "📖 ℹ").otherwise(F.col("o_orderpriority"))
     mono, x = n % 7 == 0, F.when(n % 11 == 0, 90.0).when(n % 11 == 1, 80.0).otherwise(72.0)
     height = F.when(n % 13 == 0, 24.0).when(n % 13 == 1, 15.0).when(n % 13 == 2, 12.5).otherwise(10.0)
     run = F.struct(text.alias("text"), ((n % 5 == 0) & ~mono).alias("bold"), F.lit(False).alias("italic"), mono.alias("code"))
@@ -351,7 +367,7 @@ def pdf_doc_metrics(t, spark):
 @query(f"SELECT doc_id, page_no, line_no, kind FROM ({KINDS_REFINED_SQL})")
 def pdf_line_kinds(t, spark):
     lines = _styled(t)
-    return P.classify_lines(lines, P.doc_metrics(lines)).select("doc_id", "page_no", "line_no", "kind")
+    return P.classify_lines(lines).select("doc_id", "page_no", "line_no", "kind")
 
 
 @query(f"SELECT doc_id, round(CASE WHEN max(mono_share) > 0.5 THEN 0.0 ELSE avg(CAST(kind <> 'paragraph' AS DOUBLE)) END, 6) AS ratio FROM ({KINDS_REFINED_SQL}) GROUP BY doc_id")
@@ -387,7 +403,7 @@ def pdf_styled_lines(t, spark):
 @query(None)
 def pdf_blocks(t, spark):
     lines = _styled(t)
-    return P.block_texts(P.build_blocks(lines, _figures(t), P.doc_metrics(lines)))
+    return P.block_texts(P.build_blocks(lines, _figures(t)))
 
 
 BOXES_SQL = "SELECT o_custkey AS doc_id, o_orderkey % 3 AS page_no, o_orderkey AS box_no, 3000000.0 - 12 * o_orderkey - 5 AS y, 20.0 + o_orderkey % 600 AS width, 40.5 + o_orderkey % 700 AS height FROM orders WHERE o_orderkey % 4 = 0"
