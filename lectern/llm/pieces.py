@@ -342,13 +342,38 @@ def _encode_small(docs: DataFrame, shared, text_col: str, decoded: str | None) -
     return done.select(*[done[f"c_{i}"].alias(c) for i, c in enumerate(docs.columns)], "ids", *[done["_decoded"].alias(decoded) for _ in more])
 
 
+CHUNKS = "k long, f long, n int, c int, left int, t string"
+
+
+def cut_texts(batches, chunk: int, longest: int):
+    """The texts (k, f, text) as CHUNKS: chunk c of n from place `left` of t, with a longest piece's surroundings on
+    both sides. One pass over each text, and rows of about SLICE_BYTES of characters at a time."""
+    types = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.string()]
+    rows: list[tuple] = []
+    size = 0
+
+    def table() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), types, strict=True)], ["k", "f", "n", "c", "left", "t"])
+
+    for batch in C.slices(batches):
+        for k, f, text in zip(*(batch.column(x).to_pylist() for x in ("k", "f", "text")), strict=True):
+            marked = MARK + text.replace(" ", MARK)
+            n = -(-len(marked) // chunk)
+            for c in range(n):
+                start = max(0, c * chunk - longest)
+                rows.append((k, f, n, c, c * chunk - start, marked[start : (c + 1) * chunk + longest]))
+                size += len(rows[-1][5])
+                if size >= C.SLICE_BYTES:
+                    yield table()
+                    rows, size = [], 0
+    if rows:
+        yield table()
+
+
 def _encode_large(docs: DataFrame, shared, longest: int, chunk: int, fan: int, id_col: str, text_col: str) -> DataFrame:
     """(k, f, ids) of every different long text."""
     keys = C.keyed(docs, id_col=id_col, text_col=text_col).dropDuplicates(["k", "f"])
-    marked = keys.select("k", "f", F.concat(F.lit(MARK), F.translate("text", " ", MARK)).alias("t")).withColumn("n", F.ceil(F.length("t") / chunk).cast("int"))
-    cut = marked.select("k", "f", "n", "t", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("c"))
-    start = F.greatest(F.lit(0), F.col("c") * chunk - longest)
-    chunks = cut.select("k", "f", "n", "c", (F.col("c") * chunk - start).alias("left"), F.substring("t", start + 1, F.col("c") * chunk - start + chunk + longest).alias("t")).repartition("k", "f", "c")
+    chunks = keys.mapInArrow(lambda batches: cut_texts(batches, chunk, longest), CHUNKS).repartition("k", "f", "c")
 
     def spans(batch):
         for k, f, n, c, left, text in zip(*(x.to_pylist() for x in batch.columns[:6]), strict=True):

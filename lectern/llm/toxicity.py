@@ -6,7 +6,8 @@ than other documents, by a likelihood ratio, none of them the beginning of anoth
 logistic of its total weight and of its weight per hundred words. A hit inside an exception phrase is none.
 
 Learning reads at most `labelled` labelled rows, those with the smallest hash of the id, and so the model,
-which goes to every worker, is bounded by `labelled` and `lexicon`; scoring is one map without a shuffle.
+which goes to every worker, is bounded by `labelled`: a word begins in LEAST_DF toxic rows at least and needs evidence
+of EVIDENCE, which is all that chooses the lexicon; scoring is one map without a shuffle.
 
 Defined results: null, empty and wordless texts have no hits and get the score of no hits; without labels of
 both kinds every score is 0; rows with a null id are scored, not learned from, and not held out; several labels for an id count as toxic if one does; repeated rows score alike;
@@ -28,7 +29,6 @@ from pyspark.sql import types as T
 from lectern.llm import common as C
 
 LABELLED = 40_000
-LEXICON = 2_000
 LEAST_DF = 3
 EVIDENCE = 12.0
 PREFIX = (3, 12)
@@ -66,7 +66,7 @@ def is_training(doc_id):
     return F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(3)) != 1
 
 
-def learn_lexicon(sample: DataFrame, n_toxic: int, n_other: int, *, lexicon: int = LEXICON) -> dict[str, float]:
+def learn_lexicon(sample: DataFrame, n_toxic: int, n_other: int) -> dict[str, float]:
     """Word beginnings and weights. sample: text and toxic, bounded; two counts of document frequencies, joined."""
 
     def count(batches):
@@ -92,8 +92,6 @@ def learn_lexicon(sample: DataFrame, n_toxic: int, n_other: int, *, lexicon: int
         if p not in begun and not any(p[:n] in chosen for n in range(PREFIX[0], len(p) + 1)):
             chosen[p] = math.log((t + 0.5) / (n_toxic + 1)) - math.log((n + 0.5) / (n_other + 1))
             begun.update(p[:n] for n in range(PREFIX[0], len(p) + 1))
-        if len(chosen) == lexicon:
-            break
     return chosen
 
 
@@ -134,7 +132,7 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, turns: int =
     return w
 
 
-def train(docs: DataFrame, labels: DataFrame, *, labelled: int = LABELLED, lexicon: int = LEXICON, exceptions: tuple[str, ...] = EXCEPTIONS, id_col: str = "doc_id", text_col: str = "text"):
+def train(docs: DataFrame, labels: DataFrame, *, labelled: int = LABELLED, exceptions: tuple[str, ...] = EXCEPTIONS, id_col: str = "doc_id", text_col: str = "text"):
     """(lexicon, coefficients), or None without both kinds of label."""
     docs = C.prepared(docs)
     own = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull()).where(is_training(F.col("doc_id")))
@@ -143,7 +141,7 @@ def train(docs: DataFrame, labels: DataFrame, *, labelled: int = LABELLED, lexic
     count = {r.toxic: r["count"] for r in sample.groupBy("toxic").count().collect()}
     if not count.get(1) or not count.get(0):
         return None
-    words = learn_lexicon(sample, count[1], count[0], lexicon=lexicon)
+    words = learn_lexicon(sample, count[1], count[0])
 
     def run(batches):
         matcher = Matcher(words, exceptions)
