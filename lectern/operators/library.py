@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lectern.functions import estimate as E
 
@@ -111,9 +112,10 @@ def model_ids(rows: DataFrame, catalogue: DataFrame) -> DataFrame:
 
 
 def pick_voice(users: DataFrame, catalogue: DataFrame) -> DataFrame:
-    first = catalogue.orderBy("rank").first()["id"]
+    """The voice that a user chose if it is still offered, else the catalogue's first."""
     names = catalogue.select(F.col("id").alias("voice_id"), F.col("id").alias("chosen"))
-    return users.join(F.broadcast(names), "voice_id", "left").select("user_id", F.coalesce("chosen", F.lit(first)).alias("voice_id"))
+    first = catalogue.agg(F.min_by("id", "rank").alias("first"))
+    return users.join(F.broadcast(names), "voice_id", "left").join(F.broadcast(first)).select("user_id", F.coalesce("chosen", "first").alias("voice_id"))
 
 
 def by_document() -> W:
@@ -154,9 +156,23 @@ def images_for_docs(images: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 def doc_blocks(docs: DataFrame) -> DataFrame:
-    """docs with blocks, from `paragraphs` where a row is older than blocks are."""
-    old = F.transform(F.coalesce("paragraphs", F.array().cast("array<string>")), lambda p: F.struct(F.lit("paragraph").alias("kind"), p.alias("text")))
-    return docs.withColumn("blocks", F.coalesce("blocks", old)).drop("paragraphs")
+    """docs with blocks, from `paragraphs` where a row is older than blocks are; either column may be absent.
+
+    A paragraph becomes a block in whatever fields blocks have: its kind, its number, and its text or its one run.
+    """
+    if "paragraphs" not in docs.columns:
+        return docs
+    blocks = docs.schema["blocks"].dataType if "blocks" in docs.columns else T._parse_datatype_string("array<struct<kind:string,text:string>>")
+
+    def block(p, i):
+        known = {"kind": F.lit("paragraph"), "text": p, "block_no": i}
+        if "runs" in blocks.elementType.names:
+            run = {"text": p, "bold": F.lit(False), "italic": F.lit(False), "code": F.lit(False)}
+            known["runs"] = F.array(F.struct(*[c.alias(n) for n, c in run.items()]))
+        return F.struct(*[known.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in blocks.elementType])
+
+    old = F.transform(F.coalesce("paragraphs", F.array().cast("array<string>")), block)
+    return docs.withColumn("blocks", F.coalesce("blocks", old) if "blocks" in docs.columns else old).drop("paragraphs")
 
 
 def voice_counts(catalogue: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
 from lectern.sources.corpus import parse_documents
+from lectern.sources.snapshots import LEASE_HOURS, Snapshots
 
 ROWS = "doc_id long, sentence_index long, updated_at long, event_id long"
 COMPACT = 20
@@ -18,41 +19,38 @@ def _latest(rows: DataFrame) -> DataFrame:
     return rows.groupBy("doc_id").agg(last.alias("r")).select("doc_id", "r.*")
 
 
-def _parts(spark: SparkSession, folder: str) -> DataFrame:
-    return spark.read.schema(f"{ROWS}, kind string, number long").parquet(folder)
-
-
-def read_progress(spark: SparkSession, folder: str) -> DataFrame:
-    """The table that stream_progress() keeps."""
-    return _latest(_parts(spark, folder).drop("kind", "number"))
+def read_progress(spark: SparkSession, folder: str, hours: float = LEASE_HOURS) -> DataFrame:
+    """The table that stream_progress() keeps, as of now: its parts stay for so many hours, whatever the stream does."""
+    snapshots = Snapshots(spark, folder)
+    version = snapshots.current()
+    snapshots.lease(version, hours)
+    parts = snapshots.read(snapshots.parts(version), ROWS)
+    return spark.createDataFrame([], ROWS) if parts is None else _latest(parts)
 
 
 def stream_progress(events: DataFrame, folder: str, checkpoint: str, compact: int = COMPACT) -> DataStreamWriter:
     """Keeps the greatest (updated_at, event_id) of each document, for read_progress().
 
-    A batch writes its own latest rows under its number, so that a replayed batch writes the same again. Every
-    `compact` batches all parts are merged into a base, and the parts older than the base before are removed: a
-    batch costs its own rows and a share of 1 / compact of the table, and readers keep a base for as long.
+    A batch writes its own latest rows as a new part and names it in a new version; a replayed batch adds rows that
+    change nothing. Once `compact` parts are alive, they are merged into one: a batch costs its own rows and a share
+    of 1 / compact of the table.
     """
+    snapshots = Snapshots(events.sparkSession, folder)
 
-    def write(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        rows = batch.select("doc_id", "sentence_index", "updated_at", "event_id")
-        _latest(rows).write.mode("overwrite").parquet(f"{folder}/kind=batch/number={number}")
-        if number and number % compact == 0:
-            older = _parts(spark, folder).where((F.col("number") < number) | ((F.col("kind") == "batch") & (F.col("number") == number)))
-            _latest(older.drop("kind", "number")).write.mode("overwrite").parquet(f"{folder}/kind=base/number={number}")
-            for old in range(max(0, number - 2 * compact), number - compact):
-                _remove(spark, f"{folder}/kind=batch/number={old}")
-                _remove(spark, f"{folder}/kind=base/number={old}")
+    def part(rows: DataFrame) -> dict:
+        path = snapshots.new_path("progress")
+        _latest(rows.select(*[c.split()[0] for c in ROWS.split(", ")])).write.parquet(f"{folder}/{path}")
+        return {"table": "progress", "path": path}
 
-    return events.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+    def write(batch: DataFrame, _: int) -> None:
+        version = snapshots.current()
+        parts = [*snapshots.parts(version), part(batch)]
+        if len(parts) > compact:
+            parts = [part(snapshots.read(parts, ROWS))]
+        snapshots.commit(parts, version)
+        snapshots.clean()
 
-
-def _remove(spark: SparkSession, path: str) -> None:
-    """Deletes a folder through Spark's own file systems, if it is there."""
-    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+    return events.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
 
 
 def stream_sentences(docs: DataFrame) -> DataFrame:
