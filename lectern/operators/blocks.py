@@ -432,12 +432,23 @@ def run_rows(blocks: DataFrame) -> DataFrame:
 
 
 def sentence_run_spans(said: DataFrame, runs: DataFrame) -> DataFrame:
-    """The part of every run that a sentence covers: equal path, overlapping ranges."""
-    s, r = said.alias("s"), runs.alias("r")
-    same = (F.col("s.doc_id") == F.col("r.doc_id")) & (F.col("s.block_no") == F.col("r.block_no")) & F.col("s.child_no").eqNullSafe(F.col("r.child_no"))
-    both = s.join(r, same & (F.col("r.start") < F.col("s.end")) & (F.col("r.end") > F.col("s.start")))
+    """The part of every run that a sentence covers, by a sweep over the edges of each block.
+
+    Runs tile a block and its sentences do not overlap, so that a run and a sentence that share text first meet where
+    the later of them starts: there, the other is the last that has started. Each block is sorted once, and the rows
+    are as many as its runs and sentences together.
+    """
+    from pyspark.sql import Window as W
+
+    run = F.struct("run_no", "start", "end", "text", "bold", "italic", "code")
+    sentence = F.struct("sentence_id", "start", "end")
+    edges = runs.select(*PATH, F.col("start").alias("at"), F.lit(0).alias("side"), run.alias("run"))
+    edges = edges.unionByName(said.select(*PATH, F.col("start").alias("at"), F.lit(1).alias("side"), sentence.alias("sentence")), allowMissingColumns=True)
+    w = W.partitionBy(*PATH).orderBy("at", "side").rowsBetween(W.unboundedPreceding, 0)
+    met = edges.select(*PATH, F.last("run", ignorenulls=True).over(w).alias("r"), F.last("sentence", ignorenulls=True).over(w).alias("s"))
+    both = met.where((F.col("r.start") < F.col("s.end")) & (F.col("r.end") > F.col("s.start")))
     start, end = F.greatest("s.start", "r.start"), F.least("s.end", "r.end")
-    return both.select("s.doc_id", "s.sentence_id", "r.run_no", start.alias("start"), end.alias("end"), F.substring(F.col("r.text"), start - F.col("r.start") + 1, end - start).alias("text"), "r.bold", "r.italic", "r.code")
+    return both.select("doc_id", "s.sentence_id", "r.run_no", start.alias("start"), end.alias("end"), F.substring(F.col("r.text"), start - F.col("r.start") + 1, end - start).alias("text"), "r.bold", "r.italic", "r.code")
 
 
 def spoken_slices(spans: DataFrame) -> DataFrame:

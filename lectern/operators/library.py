@@ -111,11 +111,10 @@ def model_ids(rows: DataFrame, catalogue: DataFrame) -> DataFrame:
     return rows.join(F.broadcast(names), "voice_id", "left")
 
 
-def pick_voice(users: DataFrame, catalogue: DataFrame) -> DataFrame:
-    """The voice that a user chose if it is still offered, else the catalogue's first."""
+def pick_voice(users: DataFrame, catalogue: DataFrame, first: str = VOICE_PREFIX + VOICES[0][0]) -> DataFrame:
+    """The voice that a user chose if it is still offered, else the first."""
     names = catalogue.select(F.col("id").alias("voice_id"), F.col("id").alias("chosen"))
-    first = catalogue.agg(F.min_by("id", "rank").alias("first"))
-    return users.join(F.broadcast(names), "voice_id", "left").join(F.broadcast(first)).select("user_id", F.coalesce("chosen", "first").alias("voice_id"))
+    return users.join(F.broadcast(names), "voice_id", "left").select("user_id", F.coalesce("chosen", F.lit(first)).alias("voice_id"))
 
 
 def by_document() -> W:
@@ -144,10 +143,27 @@ def with_clip_key(requests: DataFrame) -> DataFrame:
     return requests.withColumn("clip_key", key)
 
 
-def clip_manifest(requests: DataFrame) -> DataFrame:
-    """One clip for each voice, rate and text, grouped by their hash, with the number of its uses; the positions of
-    a clip are with_clip_key()'s rows of that key, a table as large as the requests."""
-    return with_clip_key(requests).groupBy("clip_key").agg(F.first("voice_id").alias("voice_id"), F.first("text").alias("text"), F.count("*").alias("uses"))
+def offered_requests(requests: DataFrame, catalogue: DataFrame) -> DataFrame:
+    """requests but for those with a voice that is not offered, which get no clip."""
+    return requests.join(F.broadcast(catalogue.select(F.col("id").alias("voice_id"))), "voice_id", "left_semi")
+
+
+def clip_manifest(requests: DataFrame, catalogue: DataFrame) -> DataFrame:
+    """One clip for each offered voice, rate and text, grouped by their hash, with the number of its uses."""
+    keyed = with_clip_key(offered_requests(requests, catalogue))
+    return keyed.groupBy("clip_key").agg(F.first("voice_id").alias("voice_id"), F.first("rate").alias("rate"), F.first("text").alias("text"), F.count("*").alias("uses"))
+
+
+def clip_positions(requests: DataFrame, catalogue: DataFrame, clips: DataFrame, hot: int = 1000) -> DataFrame:
+    """Every position of an offered voice with its clip's columns (clips: clip_key, uses and more, what was made of them).
+
+    The `hot` most used clips, a bounded number of rows, go to every task; each of the others has less than one part in
+    `hot` of the positions, and is joined by a shuffle. So a sentence that all documents share is no task of its own.
+    """
+    keyed = with_clip_key(offered_requests(requests, catalogue)).select("doc_id", "sentence_id", "clip_key")
+    often = F.broadcast(clips.orderBy(F.desc("uses"), "clip_key").limit(hot))
+    rest = keyed.join(often.select("clip_key"), "clip_key", "left_anti")
+    return keyed.join(often, "clip_key").unionByName(rest.join(clips, "clip_key"))
 
 
 def images_for_docs(images: DataFrame, docs: DataFrame) -> DataFrame:

@@ -404,9 +404,9 @@ def _requests(t) -> DataFrame:
     return _lines(t).select("doc_id", "sentence_id", voice.alias("voice_id"), F.lit(1.0).alias("rate"), "text")
 
 
-@query(f"SELECT sha256(voice_id || '|1.00|' || text) AS clip_key, voice_id, text, count(*) AS uses FROM ({REQUESTS_SQL}) GROUP BY voice_id, text")
+@query(f"SELECT sha256(voice_id || '|1.00|' || text) AS clip_key, voice_id, text, count(*) AS uses FROM ({REQUESTS_SQL}) WHERE voice_id <> 'system:old' GROUP BY voice_id, text")
 def clip_manifest(t, spark):
-    return L.clip_manifest(_requests(t))
+    return L.clip_manifest(_requests(t), L.voices(spark)).drop("rate")
 
 
 @query(f"SELECT doc_id, sentence_id, voice_id FROM ({REQUESTS_SQL}) WHERE voice_id = 'system:old'")
@@ -420,10 +420,11 @@ def lookahead_window(t, spark):
     return L.lookahead(_lines(t)).withColumn("next_ids", F.array_join(F.col("next_ids").cast("array<string>"), ","))
 
 
-@query(f"SELECT doc_id, sentence_id, sha256(voice_id || '|1.00|' || text) AS clip_key FROM ({REQUESTS_SQL})")
+@query(f"""SELECT doc_id, sentence_id, sha256(voice_id || '|1.00|' || text) AS clip_key, count(*) OVER (PARTITION BY voice_id, text) AS uses FROM ({REQUESTS_SQL}) WHERE voice_id <> 'system:old'""")
 def clip_positions(t, spark):
-    """The clip that every position plays."""
-    return L.with_clip_key(_requests(t)).select("doc_id", "sentence_id", "clip_key")
+    """The clip that every position plays, with the uses that the manifest counts."""
+    voices = L.voices(spark)
+    return L.clip_positions(_requests(t), voices, L.clip_manifest(_requests(t), voices).select("clip_key", "uses"))
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

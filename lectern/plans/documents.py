@@ -1,7 +1,7 @@
 """Queries on document structure (blocks, runs, sentences) and on PDF layout, with their SQL.
 
-Notes are a Markdown text projected from every document's columns, so that SQL can say which blocks and sentences
-come out; pieces and lines of pages are placed by the position of words, or taken from orders.
+Notes are a Markdown text projected from every document's columns and all words of its text, so that SQL can say which
+blocks and sentences come out; pieces and lines of pages are placed by the position of words, or taken from orders.
 """
 
 from __future__ import annotations
@@ -20,18 +20,19 @@ from lectern.sources import corpus
 # ---------------------------------------------------------------- notes
 
 NOTES = (
-    "# 4.2. Notes on @S\nRead `doc_id` of @L. It is number @N.\n- first item\n  goes on\n- second\n\n3. third\n\n"
+    "# 4.2. Notes on @S\nRead `doc_id` of @L. It is number @N.\n- first item\n  goes on\n- second @T\n\n3. third\n\n"
     "<aside>\n⚠️\n\n**Mind** the gap.\n\n</aside>\n*Figure 3 — Words of @N.*\n\n"
     "| Key | Value |\n| --- | --- |\n| lang | @L |\n| id | **@N** |\n```sql\nselect @N\n```\n"
 )
 #: (sentence_id, block_no, child_no, kind, text) of what is said.
 SAID = [
     (0, 0, None, "heading", "4.2 Notes on @S"), (1, 1, None, "paragraph", "Read doc id of @L."), (2, 1, None, "paragraph", "It is number @N."),
-    (3, 2, None, "list-item", "first item goes on"), (4, 3, None, "list-item", "second"), (5, 4, None, "list-item", "third"),
+    (3, 2, None, "list-item", "first item goes on"), (4, 3, None, "list-item", "second @T"), (5, 4, None, "list-item", "third"),
     (6, 5, 0, "paragraph", "Mind the gap."), (7, 6, None, "caption", "Figure 3 — Words of @N."), (8, 7, None, "paragraph", "Key: lang."),
     (9, 7, None, "paragraph", "Value: @L."), (10, 8, None, "paragraph", "Key: id."), (11, 8, None, "paragraph", "Value: @N."), (12, 9, None, "code", "sql code block."),
 ]
-_FILLED = "replace(replace(replace(t, '@N', CAST(doc_id AS VARCHAR)), '@L', lang), '@S', source)"
+_WORDS = "array_to_string(regexp_extract_all(text, '[A-Za-z]+'), ' ')"
+_FILLED = f"replace(replace(replace(replace(t, '@N', CAST(doc_id AS VARCHAR)), '@L', lang), '@S', source), ' @T', CASE WHEN {_WORDS} <> '' THEN ' ' || {_WORDS} ELSE '' END)"
 
 
 def _values(rows: list[tuple]) -> str:
@@ -43,7 +44,7 @@ SAID_SQL = f"SELECT doc_id, sentence_id, block_no, coalesce(child_no, -1) AS chi
 
 def _notes(t) -> DataFrame:
     text = F.lit(NOTES)
-    for mark, value in (("@N", F.col("doc_id").cast("string")), ("@L", F.col("lang")), ("@S", F.col("source"))):
+    for mark, value in (("@N", F.col("doc_id").cast("string")), ("@L", F.col("lang")), ("@S", F.col("source")), ("@T", F.coalesce(F.array_join(F.regexp_extract_all("text", F.lit("[A-Za-z]+"), 0), " "), F.lit("")))):
         text = F.replace(text, F.lit(mark), value)
     return t("documents").select("doc_id", text.alias("text"))
 
@@ -78,7 +79,7 @@ def heading_sentences(t, spark):
     return _filled(B.heading_sentences(B.markdown_blocks(_notes(t))))
 
 
-KINDS_SQL = _values([(0, None, "heading", "4.2. Notes on @S"), (1, None, "paragraph", "Read doc_id of @L. It is number @N."), (2, None, "list-item", "first item goes on"), (3, None, "list-item", "second"), (4, None, "list-item", "third"), (5, None, "callout", None), (5, 0, "paragraph", "Mind the gap."), (6, None, "caption", "Figure 3 — Words of @N."), (7, None, "paragraph", "Key: lang. Value: @L."), (8, None, "paragraph", "Key: id. Value: @N."), (9, None, "code", "select @N")])
+KINDS_SQL = _values([(0, None, "heading", "4.2. Notes on @S"), (1, None, "paragraph", "Read doc_id of @L. It is number @N."), (2, None, "list-item", "first item goes on"), (3, None, "list-item", "second @T"), (4, None, "list-item", "third"), (5, None, "callout", None), (5, 0, "paragraph", "Mind the gap."), (6, None, "caption", "Figure 3 — Words of @N."), (7, None, "paragraph", "Key: lang. Value: @L."), (8, None, "paragraph", "Key: id. Value: @N."), (9, None, "code", "select @N")])
 BLOCKS_SQL = f"SELECT doc_id, block_no, coalesce(child_no, -1) AS child_no, kind, {_FILLED} AS text FROM documents, (VALUES {KINDS_SQL}) v(block_no, child_no, kind, t)"
 
 
@@ -117,7 +118,7 @@ def markdown_tables(t, spark):
     return M.table_rows(M.classify_lines(M.markdown_lines(_notes(t))))
 
 
-@query("SELECT doc_id, v.line_no, coalesce(v.n, -1) AS ordered, v.t AS text FROM documents, (VALUES (2, NULL, 'first item goes on'), (4, NULL, 'second'), (6, 3, 'third')) v(line_no, n, t)")
+@query(f"SELECT doc_id, v.line_no, coalesce(v.n, -1) AS ordered, {_FILLED} AS text FROM documents, (VALUES (2, NULL, 'first item goes on'), (4, NULL, 'second @T'), (6, 3, 'third')) v(line_no, n, t)")
 def markdown_list_items(t, spark):
     return _filled(M.list_items(M.classify_lines(M.markdown_lines(_notes(t)))))
 
@@ -144,7 +145,7 @@ def _spans(t) -> DataFrame:
     return B.sentence_run_spans(B.segment_documents(notes), B.run_rows(B.markdown_blocks(notes)))
 
 
-SPANS = _values([(0, 0, "4.2. Notes on @S"), (1, 0, "Read "), (1, 1, "doc_id"), (1, 2, " of @L."), (2, 2, "It is number @N."), (3, 0, "first item goes on"), (4, 0, "second"), (5, 0, "third"), (6, 0, "Mind"), (6, 1, " the gap."), (7, 0, "Figure 3 — Words of @N."), (8, 0, "Key: lang."), (9, 0, "Value: @L."), (10, 0, "Key: id."), (11, 0, "Value: @N.")])
+SPANS = _values([(0, 0, "4.2. Notes on @S"), (1, 0, "Read "), (1, 1, "doc_id"), (1, 2, " of @L."), (2, 2, "It is number @N."), (3, 0, "first item goes on"), (4, 0, "second @T"), (5, 0, "third"), (6, 0, "Mind"), (6, 1, " the gap."), (7, 0, "Figure 3 — Words of @N."), (8, 0, "Key: lang."), (9, 0, "Value: @L."), (10, 0, "Key: id."), (11, 0, "Value: @N.")])
 
 
 @query(f"SELECT doc_id, sentence_id, run_no, {_FILLED} AS text FROM documents, (VALUES {SPANS}) v(sentence_id, run_no, t)")

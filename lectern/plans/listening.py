@@ -80,16 +80,16 @@ def said_positions(t, spark):
     return _progress(t).join(_totals(t), "doc_id").select("doc_id", L.resume_index(at, n).alias("resume"), (at == n).alias("finished"))
 
 
-@query(f"SELECT {KEY_SQL} AS clip_key, voice_id, text, count(*) AS uses FROM ({REQUESTS_SQL}) GROUP BY ALL")
+@query(f"SELECT {KEY_SQL} AS clip_key, voice_id, text, count(*) AS uses FROM ({REQUESTS_SQL}) WHERE voice_id <> 'system:old' GROUP BY ALL")
 def said_clips(t, spark):
-    return L.clip_manifest(_requests(t))
+    return L.clip_manifest(_requests(t), L.voices(spark)).drop("rate")
 
 
 @query(f"SELECT doc_id, sentence_id, {KEY_SQL} AS clip_key FROM ({REQUESTS_SQL}) WHERE voice_id <> 'system:old'")
 def said_clip_positions(t, spark):
     """The clip that every position with an offered voice plays."""
-    offered = L.voices(spark).select(F.col("id").alias("voice_id"))
-    return L.with_clip_key(_requests(t).join(F.broadcast(offered), "voice_id", "left_semi")).select("doc_id", "sentence_id", "clip_key")
+    voices = L.voices(spark)
+    return L.clip_positions(_requests(t), voices, L.clip_manifest(_requests(t), voices).select("clip_key", "uses")).drop("uses")
 
 
 @query(f"SELECT doc_id, sentence_id, coalesce(array_to_string(list(sentence_id) OVER (PARTITION BY doc_id ORDER BY sentence_id ROWS BETWEEN 1 FOLLOWING AND 2 FOLLOWING), ','), '') AS next_ids FROM ({SAID_SQL})")
