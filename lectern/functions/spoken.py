@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from bisect import bisect_left
 
 from lectern.functions.text import ABBREVIATIONS
 
@@ -87,7 +88,8 @@ def breaks(text: str) -> list[int]:
     return [*out, len(text)] if text else out
 
 
-_TRAILING = re.compile(rf"([^\W\d_]+)\.[{WS}]*\Z")
+_TRAILING = re.compile(r"([^\W\d_]+)\.\Z")
+_LONGEST = max(map(len, ABBREVIATIONS))
 
 
 def trimmed(text: str, start: int, end: int) -> tuple[int, int]:
@@ -96,16 +98,23 @@ def trimmed(text: str, start: int, end: int) -> tuple[int, int]:
     return start + left, max(start + left, start + len(part.rstrip(_ENDS)))
 
 
+def _after_abbreviation(text: str, start: int, end: int) -> bool:
+    """Whether the text from start to end ends in an abbreviation, its period and white space."""
+    while end > start and (text[end - 1].isspace() or text[end - 1] == "\ufeff"):
+        end -= 1
+    last = _TRAILING.search(text, max(start, end - _LONGEST - 2), end)
+    return last is not None and last[1].lower() in ABBREVIATIONS
+
+
 def sentence_ranges(text: str, code: list[tuple[int, int]] = ()) -> list[tuple[int, int]]:
-    """(start, end) of the sentences, trimmed: a cut after an abbreviation or inside a code span is none."""
+    """(start, end) of the sentences, trimmed: a cut after an abbreviation or inside a code span is none. The spans of
+    code are in order and apart."""
     out, start = [], 0
-    ends = breaks(text)
-    for end in ends:
+    begins = [a for a, _ in code]
+    for end in breaks(text):
         if end < len(text):
-            last = _TRAILING.search(text, max(start, end - 40), end)
-            if last and last[1].lower() in ABBREVIATIONS:
-                continue
-            if any(a < end < b for a, b in code):
+            before = bisect_left(begins, end) - 1
+            if (before >= 0 and end < code[before][1]) or _after_abbreviation(text, start, end):
                 continue
         a, b = trimmed(text, start, end)
         if b > a:

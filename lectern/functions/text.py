@@ -17,10 +17,19 @@ def _lit_map(values: dict[str, str]) -> Column:
     return F.create_map(*[F.lit(x) for pair in values.items() for x in pair])
 
 
+_NARROW = ("Scan ", "FileScan", "Project", "Filter", "Generate", "Range", "LocalTableScan")
+
+
+def _is_scan(plan) -> bool:
+    """Whether a plan reads a table and does nothing else that another row bears on."""
+    children = plan.children()
+    return plan.nodeName().startswith(_NARROW) and all(_is_scan(children.apply(i)) for i in range(children.size()))
+
+
 def spread(docs: DataFrame) -> DataFrame:
     """docs over as many partitions as there are cores, where a scan of few files has fewer: for work that costs
-    more than moving the text."""
-    if docs.isStreaming or "Exchange" in docs._jdf.queryExecution().sparkPlan().toString():
+    more than moving the text. Anything else than a scan stays as it is."""
+    if docs.isStreaming or not _is_scan(docs._jdf.queryExecution().sparkPlan()):
         return docs
     cores = docs.sparkSession.sparkContext.defaultParallelism
     return docs.repartition(cores) if docs.rdd.getNumPartitions() < cores else docs

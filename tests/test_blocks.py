@@ -148,3 +148,15 @@ def test_normalize_runs_agree(spark):
     rows = spark.createDataFrame([(i, c) for i, c in enumerate(cases)], f"id int, runs array<{B.RUN}>")
     for r in rows.select("id", B.normalize_runs(F.col("runs")).alias("n")).collect():
         assert [tuple(x) for x in r.n] == S.normalize_runs(cases[r.id])
+
+
+@pytest.mark.parametrize("space", [" ", " " * 45, "\n" * 300, " ﻿" * 50])
+def test_abbreviations_before_any_white_space(space):
+    for word, cut in (("Dr.", False), ("approx.", False), ("xapprox.", True), ("Drum.", True), ("12.", True)):
+        text = f"See {word}{space}Smith left."
+        assert len(S.sentence_ranges(text)) == 1 + cut, word
+
+
+def test_code_spans_hold_sentences():
+    text = "Run a. B now. Then c. D. End."
+    assert [text[a:b] for a, b in S.sentence_ranges(text, [(4, 8), (19, 23)])] == ["Run a. B now.", "Then c. D.", "End."]
