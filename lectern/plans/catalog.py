@@ -191,7 +191,7 @@ def lines_to_paragraphs(t, spark):
 
 @query(f"SELECT doc_id, unnest(range(len(ps))) AS para_no, md5(unnest(ps)) AS para FROM (SELECT doc_id, list_filter(ps, lambda p: regexp_matches(p, '[\\pL\\pN]')) AS ps FROM ({PARAGRAPHS_SQL}))")
 def plain_paragraphs(t, spark):
-    return _broken(t).select("doc_id", F.posexplode(X.plain_paragraphs(F.col("text"))).alias("para_no", "para")).withColumn("para", F.md5("para"))
+    return X.spread(_broken(t)).select("doc_id", F.posexplode(X.plain_paragraphs(F.col("text"))).alias("para_no", "para")).withColumn("para", F.md5("para"))
 
 
 def _broken(t) -> DataFrame:
