@@ -3,8 +3,11 @@ links; the densities of a node's children are summed, the container with the lar
 smallest density on its path from the body is the threshold for what else is text.
 
 Nodes that say what they are (menus, page headers, footers, sidebars, notices, adverts, forms, comments, by
-element or by class and id) and what is never shown go before densities are computed, but for those that
-hold the page's article (`free_wrappers`). The text's region is the main or article element around the best
+element or by a class or id of no other words) and what is never shown go before densities are computed, but for
+those that hold the page's article (`free_wrappers`). A class that only has such a word among others
+("related-work", "social-history"), or stands at a paragraph, proves nothing: the densities decide (`judge`). Where
+a page without main and article elements has no other text, the box with most text is the article, whatever its
+class. The text's region is the main or article element around the best
 container (with the articles beside it that are labelled alike), else the lowest node around it that leaves
 no section, heading, paragraph or bare text beside it. Of an article all goes out that is not aside; of
 another region a block goes if it is mostly links and less dense than the threshold; outside, a block is
@@ -48,6 +51,10 @@ ASIDE_WORDS = frozenset(
 )
 # Words that say where or how a box stands.
 PLACES = frozenset("area bar block bottom box container form inner left list main right section slot top unit wrap wrapper".split())
+# Words that with a word of the first list still name what is not the article.
+UNITS = frozenset("site page posts stories links buttons icons content row column primary secondary".split())
+# Words that mean other people's or paid text in any company.
+VOICES = frozenset("ads advert adverts advertisement advertising sponsor sponsored promo promotion comment comments disqus reply replies".split())
 # Those of the words that themes also give to wrappers of the whole page ("with-sidebar", "fixed-header").
 LAYOUT_WORDS = frozenset("nav navbar navigation menu header masthead footer sidebar aside banner widget share sharing social search toolbar".split())
 # Elements that are the page's text or a part of it, and those beside which a container is only a part.
@@ -66,10 +73,10 @@ _LABEL = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+
 
 
 class Node:
-    __slots__ = ("tag", "parent", "children", "parts", "chars", "tags", "links", "link_tags", "aside", "density", "label")
+    __slots__ = ("tag", "parent", "children", "parts", "chars", "tags", "links", "link_tags", "aside", "doubt", "density", "label")
 
-    def __init__(self, tag: str, parent: Node | None, aside: bool = False, label: tuple[str, ...] = ()):
-        self.tag, self.parent, self.aside, self.label = tag, parent, aside, label
+    def __init__(self, tag: str, parent: Node | None, aside: bool = False, label: tuple[str, ...] = (), doubt: bool = False):
+        self.tag, self.parent, self.aside, self.label, self.doubt = tag, parent, aside, label, doubt
         self.children: list[Node] = []
         self.parts: list[Node | str] = []
         if parent is not None:
@@ -77,19 +84,29 @@ class Node:
             parent.parts.append(self)
 
 
-def labels(tag: str, inside_article: bool) -> tuple[str, ...]:
-    """The words in class, id and role of a tag. Inside an article an id counts only if nothing in it names a topic,
-    since ids there are often made from headings."""
+def labels(tag: str, inside_article: bool) -> tuple[tuple[str, ...], bool]:
+    """The words in class, id and role of a tag, and whether one of the names there has no word but those of what is
+    not the article. Inside an article an id counts only if nothing in it names a topic, since ids there are often
+    made from headings."""
     out: list[str] = []
+    named = False
     for found in _LABEL.finditer(tag) if "=" in tag else ():
         words = [w for w in re.split(r"[\s_\-]+", (found[2] or found[3] or found[4] or "").lower()) if w]
         if not inside_article or found[1].lower() != "id" or all(w in ASIDE_WORDS or w in PLACES or w.isdigit() for w in words):
             out += words
-    return tuple(out)
+            for name in (found[2] or found[3] or found[4] or "").lower().split():
+                parts = [w for w in re.split(r"[_\-]+", name) if w]
+                sure = any(w in VOICES for w in parts) or all(w in ASIDE_WORDS or w in PLACES or w in UNITS or w.isdigit() for w in parts)
+                named = named or (sure and any(w in ASIDE_WORDS for w in parts))
+    return tuple(out), named
+
+
+def by_element(name: str, inside_article: bool) -> bool:
+    return name in HIDDEN or name in CHROME or (name == "header" and not inside_article)
 
 
 def is_aside(name: str, label: tuple[str, ...], inside_article: bool) -> bool:
-    if name in HIDDEN or name in CHROME or (name == "header" and not inside_article):
+    if by_element(name, inside_article):
         return True
     if name in ("article", "main", "body", "html") or (inside_article and name in HEADINGS):
         return False
@@ -132,13 +149,15 @@ def parse(page: str) -> Node:
                 at -= 1
             if at > 0 and stack[at].tag in closed:
                 close(at)
-        label = labels(piece, articles > 0)
-        node = Node(name, stack[-1], is_aside(name, label, articles > 0), label)
+        label, named = labels(piece, articles > 0)
+        aside = is_aside(name, label, articles > 0)
+        node = Node(name, stack[-1], aside, label, aside and not by_element(name, articles > 0) and (not named or name in FLOW))
         if name not in VOID and not piece.endswith("/>"):
             stack.append(node)
             opened[name] += 1
             articles += name in ("article", "main")
     free_wrappers(root)
+    judge(root)
     return root
 
 
@@ -210,6 +229,84 @@ def measure(nodes: list[Node]) -> None:
         node.density = chars / tags * math.log(max(1.0, chars / links * tags / max(1, node.link_tags)) + 1e-9 + (chars > 0)) / math.log(base + 1) if chars else 0.0
 
 
+def best_container(nodes: list[Node]) -> tuple[Node, float]:
+    """The container with the largest sum of its children's densities, and the smallest density from there up."""
+    sums = [sum(c.density for c in n.children if not c.aside) for n in nodes]
+    best = nodes[max((i for i, n in enumerate(nodes) if n.tag in CONTAINERS), key=lambda i: (sums[i], -i))]
+    least, up = best.density, best.parent
+    while up is not None:
+        least, up = min(least, up.density), up.parent
+    return best, least
+
+
+def blocks_of_text(nodes: list[Node]) -> list[int]:
+    """The lengths of the texts that stand together in a block element, headings and links left out; nodes come
+    parents first."""
+    lengths: dict[int, int] = {}
+    holder: dict[int, Node | None] = {}
+    for node in nodes:
+        above = holder.get(id(node.parent), node)
+        up = holder[id(node)] = None if above is None or node.tag == "a" or node.tag in HEADINGS else node if node.tag in BLOCK else above
+        if up is not None:
+            lengths[id(up)] = lengths.get(id(up), 0) + sum(len(p.strip()) for p in node.parts if isinstance(p, str))
+    return [n for n in lengths.values() if n]
+
+
+def judge(root: Node) -> None:
+    """Decides on the nodes that only a word of their class or id speaks against. Of those in doubt a node stays if it
+    is not mostly links, at least as dense as the path from the body to the best container, and at least half as long
+    as a block of text on the page is on average; one in an article whose name has other words too needs only not to be
+    mostly links. If then a page without main and article has left less than a quarter of an average block, the named node
+    with the most text is its article."""
+    nodes, todo = [], [(root, False)]
+    doubts: list[tuple[Node, bool]] = []
+    named: list[Node] = []
+    has_article = False
+    while todo:
+        node, inside = todo.pop()
+        if node.aside and by_element(node.tag, inside):
+            continue
+        nodes.append(node)
+        inside = inside or node.tag in TEXTS
+        has_article = has_article or inside
+        if node.aside and node.doubt:
+            doubts.append((node, inside))
+        elif node.aside:
+            named.append(node)
+            continue
+        todo.extend((c, inside) for c in reversed(node.children))
+    if not doubts and not named:
+        return
+    boxes: list[list[Node]] = []
+    for node in named:
+        boxes.append([])
+        todo = [node]
+        while todo:
+            one = todo.pop()
+            boxes[-1].append(one)
+            todo.extend(c for c in reversed(one.children) if not by_element(c.tag, False))
+    boxed = [blocks_of_text(box) for box in boxes]
+    lengths = blocks_of_text([n for n in nodes if not n.aside or n.doubt])
+    half = sum(lengths) / max(1, len(lengths)) / 2
+    if doubts:
+        for node, _ in doubts:
+            node.aside = False
+        shown = in_order(root)
+        measure(shown)
+        _, least = best_container(shown)
+        for node, inside in doubts:
+            linky = node.chars == 0 or 2 * node.links > node.chars
+            free = inside and node.tag not in FLOW
+            node.aside = linky or not free and (node.chars < half or node.density < least)
+    if not named or has_article:
+        return
+    rest, total = blocks_of_text(in_order(root)), [n for one in boxed for n in one] + lengths
+    most = max(range(len(boxes)), key=lambda i: sum(boxed[i]))
+    if boxed[most] and 4 * sum(rest) * len(total) < sum(total):
+        for node in boxes[most]:
+            node.aside = False
+
+
 def has_text(node: Node) -> bool:
     return not node.aside and node.chars > 0 and 2 * node.links <= node.chars
 
@@ -242,13 +339,7 @@ def main_text(page: str | None) -> str:
     root = parse(page)
     nodes = in_order(root)
     measure(nodes)
-    sums = [sum(c.density for c in n.children if not c.aside) for n in nodes]
-    best = nodes[max((i for i, n in enumerate(nodes) if n.tag in CONTAINERS), key=lambda i: (sums[i], -i))]
-    path, up = [best], best.parent
-    while up is not None:
-        path.append(up)
-        up = up.parent
-    threshold = min(n.density for n in path)
+    best, threshold = best_container(nodes)
     wanted = regions(best)
     kept, onward = {id(n) for n in wanted}, set()
     for node in wanted:
@@ -256,7 +347,10 @@ def main_text(page: str | None) -> str:
         while up is not None:
             onward.add(id(up))
             up = up.parent
-    whole = frozenset(("article",)) if any(n.tag == "article" for n in path) else TEXTS
+    up = best
+    while up is not None and up.tag != "article":
+        up = up.parent
+    whole = TEXTS if up is None else frozenset(("article",))
     out: list[str] = []
     todo: list[tuple[Node | str, bool, bool]] = [(root, id(root) in kept, False)]
     while todo:

@@ -30,6 +30,13 @@ FOOT = "<footer>Copyright</footer>"
         "generated ids, loose quotes, formulas": (f"<article><h2 id=social-effects>Hd</h2><p title=it's>{LONG[0]} <math>x</math></p><section id=search-algorithms><p>Kept.</section></article>", f"Hd {LONG[0]} x Kept."),
         "search form": (f"<body><form><input name=q><label>Find</label></form><div><p>{LONG[0]}<p>{LONG[1]}</div>", f"{LONG[0]} {LONG[1]}"),
         "several articles": (f"<div><article class=post><p>{LONG[0]}</article><article class=post><p>Brief.</article></div>{FOOT}", f"{LONG[0]} Brief."),
+        "word in a name around the only paragraph": (f"<body>{NAV}<h1>T</h1><div class=related-work><p>{LONG[0]}</div>{FOOT}", f"T {LONG[0]}"),
+        "word in a name within a post": (f"<body>{NAV}<div class=post><p>{LONG[0]}<div class=social-history><p>{LONG[1]}</div><p>{LONG[2]}</div>{FOOT}", f"{LONG[0]} {LONG[1]} {LONG[2]}"),
+        "list of a recipe": (f"<body>{NAV}<main><p>{LONG[0]}<ul class=menu-items><li>Two eggs<li>Flour</ul><p>{LONG[1]}</main>{FOOT}", f"{LONG[0]} Two eggs Flour {LONG[1]}"),
+        "paragraph with a word": (f"<body>{NAV}<div><p>{LONG[0]}<p class=login>{LONG[1]}</div>{FOOT}", f"{LONG[0]} {LONG[1]}"),
+        "short paragraph with a word": (f"<body>{NAV}<div><p>{LONG[0]}<p class=login>Please log in.<p>{LONG[1]}</div>{FOOT}", f"{LONG[0]} {LONG[1]}"),
+        "comments longer than the post": (f"<body>{NAV}<div class=post><p>{LONG[0]}</div><div class=user-comments><p>{LONG[1]}<p>{LONG[2]}</div><div class=site-footer>All rights of this site are reserved.</div>{FOOT}", LONG[0]),
+        "related links within an article": (f"<article><p>{LONG[0]}<ul class=related-reading><li><a href=/a>One more</a><li><a href=/b>Another</a></ul><p>{LONG[1]}</article>", f"{LONG[0]} {LONG[1]}"),
         "main around article": (f"<main><h1>T</h1><article><p>{LONG[0]}</article></main>{FOOT}", f"T {LONG[0]}"),
     }.values(),
 )
@@ -37,7 +44,69 @@ def test_pages(page, text):
     assert html_text.main_text(page) == text
 
 
-@pytest.mark.parametrize("page", ['<a "' * 500_000, '<a x="' * 300_000, "<svg " * 300_000, "<!x" * 300_000, "<div>" * 20_000 + "</section>" * 20_000], ids=["tags", "values", "svg", "declarations", "depth"])
+@pytest.mark.parametrize("word", sorted(html_text.ASIDE_WORDS))
+def test_an_article_of_any_class_name_is_kept(word):
+    assert html_text.main_text(f"<body>{NAV}<h1>T</h1><div class='{word}'><p>{LONG[0]}<p>{LONG[1]}</div>{FOOT}") == f"T {LONG[0]} {LONG[1]}"
+
+
+def test_density_against_a_plain_count():
+    """Characters, tags, links and densities of every node against counts over its markup by itself."""
+    import math
+    import random
+
+    rng = random.Random(5)
+
+    def grow(depth):
+        if depth == 0 or rng.random() < 0.2:
+            return "x" * rng.randint(0, 30)
+        tag = rng.choice(["div", "p", "a", "span", "ul", "section"]) if depth < 5 else "div"
+        return ("tag", tag, [grow(depth - 1) for _ in range(rng.randint(0, 4))])
+
+    def build(part, parent):
+        if isinstance(part, str):
+            if part:
+                parent.parts.append(part)
+            return
+        node = html_text.Node(part[1], parent)
+        for one in part[2]:
+            build(one, node)
+
+    def under(node):
+        return [c for c in node.children] + [d for c in node.children for d in under(c)]
+
+    def chars(node):
+        return sum(len(p) for n in [node, *under(node)] for p in n.parts if isinstance(p, str))
+
+    def links(node):
+        return chars(node) if node.tag == "a" else sum(links(c) for c in node.children)
+
+    for _ in range(60):
+        root = html_text.Node("body", None)
+        build(grow(5), root)
+        nodes = html_text.in_order(root)
+        html_text.measure(nodes)
+        of_body = links(root) / max(1, chars(root))
+        for node in nodes:
+            c, t, lc = chars(node), len(under(node)), links(node)
+            lt = sum(n.tag == "a" for n in [node, *under(node)])
+            assert (node.chars, node.tags, node.links, node.link_tags) == (c, t, lc, lt)
+            if c:
+                outer = math.log(math.log(c / max(1, c - lc) * lc + of_body * c + math.e) + 1)
+                inner = math.log(max(1, c / max(1, lc) * max(1, t) / max(1, lt)) + 1 + 1e-9)
+                assert node.density == pytest.approx(c / max(1, t) * inner / outer)
+            else:
+                assert node.density == 0
+        sums = {id(n): sum(c.density for c in n.children) for n in nodes}
+        best, least = html_text.best_container(nodes)
+        assert sums[id(best)] == max(sums[id(n)] for n in nodes if n.tag in html_text.CONTAINERS)
+        up, path = best, []
+        while up is not None:
+            path.append(up.density)
+            up = up.parent
+        assert least == min(path)
+
+
+@pytest.mark.parametrize("page", ['<a "' * 500_000, '<a x="' * 300_000, "<svg " * 300_000, "<!x" * 300_000, "<div>" * 20_000 + "</section>" * 20_000, "<div class=related-x>a" * 20_000, "<div class=comments>a" * 20_000], ids=["tags", "values", "svg", "declarations", "depth", "doubts", "names"])
 def test_long_broken_pages_take_linear_time(page):
     import time
 
