@@ -178,12 +178,41 @@ def strip_inline_markdown(t, spark):
 # ---------------------------------------------------------------- plain documents
 
 
-@query(None)
+_CLOSE = "[\"''()]*"
+_ABBREVIATED = f"(^|[^\\pL])({'|'.join(X.ABBREVIATIONS)})(\\. *)\x1f"
+#: Pattern, replacement: a mark after every terminator, then those out again that end no sentence.
+_CUTS = [
+    (f"([.!?]+{_CLOSE} *)", "\\1\x1f"), ("\\.\x1f(\\pN)", ".\\1"), *[("(\\p{Lu}|\\p{Ll})\\.\x1f(\\p{Lu})", "\\1.\\2")] * 2,
+    (f"(\\.{_CLOSE} *)\x1f([^\\pL\x1f.!?]*\\p{{Ll}})", "\\1\\2"), ("\x1f([-,:;.!?])", "\\1"), *[(_ABBREVIATED, "\\1\\2\\3")] * 2,
+]
+
+
+def _cut_sql(text: str) -> str:
+    """Text cut into sentences with the space behind them, for what occurs in the driver's prose."""
+    for pattern, new in _CUTS:
+        text = f"regexp_replace({text}, '{pattern}', '{new}', '{'gi' if pattern == _ABBREVIATED else 'g'}')"
+    return f"string_split({text}, '\x1f')"
+
+
+def _ranges_sql(paragraphs: str) -> str:
+    """(doc_id, block_no, i, start, end, text) of the non-blank pieces of paragraphs (doc_id, block_no, p)."""
+    pieces = f"SELECT doc_id, block_no, unnest(range(len(cut))) AS i, unnest(cut) AS piece FROM (SELECT doc_id, block_no, {_cut_sql('p')} AS cut FROM ({paragraphs}))"
+    placed = f"SELECT *, CAST(coalesce(sum(length(piece)) OVER (PARTITION BY doc_id, block_no ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start FROM ({pieces})"
+    return f"SELECT doc_id, block_no, i, start, start + length(rtrim(piece)) AS \"end\", rtrim(piece) AS text FROM ({placed}) WHERE trim(piece) <> ''"
+
+
+PROSE_SQL = "SELECT doc_id, list_filter([trim(regexp_replace(p, '\\s+', ' ', 'g')) FOR p IN string_split_regex(text, '\\n\\s*\\n')], lambda p: regexp_matches(p, '[\\pL\\pN]')) AS ps FROM documents"
+#: Sentences of the whole texts, from their plain paragraphs.
+READ_SQL = f"""SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY block_no, i) - 1 AS sentence_id, block_no, -1 AS child_no, start, "end", text
+ FROM ({_ranges_sql(f"SELECT doc_id, unnest(range(len(ps))) AS block_no, unnest(ps) AS p FROM ({PROSE_SQL})")}) WHERE regexp_matches(text, '[\\pL\\pN]')"""
+
+
+@query(f'SELECT doc_id, sentence_id, block_no, start, "end", text FROM ({READ_SQL})')
 def segment_paragraphs(t, spark):
     return B.segment_paragraphs(t("documents")).drop("child_no")
 
 
-@query(None)
+@query(f"""SELECT doc_id, start, "end" FROM ({_ranges_sql("SELECT doc_id, 0 AS block_no, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS p FROM documents")})""")
 def sentence_ranges(t, spark):
     return B.sentence_splits(t("documents").withColumn("text", X.normalize_whitespace(F.col("text"))))
 
