@@ -77,12 +77,33 @@ def flat_files(docs: DataFrame, ranks: dict[bytes, int], *, block: int = BLOCK,
     return narrow.mapInArrow(run, "file int, block int, tokens binary, first long, ids array<long>")
 
 
+def _opened(uri: str):
+    """A file of any size to read ranges of, by the path that Spark lists."""
+    from pyarrow import fs
+
+    scheme, colon, rest = uri.partition(":")
+    if not colon or scheme == "file":
+        return fs.LocalFileSystem().open_input_file("/" + (rest if colon else uri).lstrip("/"))
+    system, path = fs.FileSystem.from_uri(uri)
+    return system.open_input_file(path)
+
+
 def read_token_files(spark, path: str, *, block: int = BLOCK) -> DataFrame:
-    """Blocks (file, block, tokens) of raw little-endian 16-bit token files under a path, each under 2 GB."""
-    files = spark.read.format("binaryFile").load(path).select(F.col("path").alias("file"), "content")
-    count = F.greatest(F.lit(0), F.ceil(F.octet_length("content") / (2 * block)).cast("int") - 1)
-    numbered = files.select("file", "content", F.explode(F.sequence(F.lit(0), count)).alias("block"))
-    return numbered.select("file", "block", F.substring("content", F.col("block") * 2 * block + 1, F.lit(2 * block)).alias("tokens"))
+    """Blocks (file, block, tokens) of raw little-endian 16-bit token files of any size under a path. Spark lists the
+    files without their content and shuffles ranges of them; tasks read those by offset. An odd last byte is no token."""
+    files = spark.read.format("binaryFile").load(path).select(F.col("path").alias("file"), F.floor(F.col("length") / 2).alias("n"))
+    ranges = files.where("n > 0").select("file", "n", F.explode(F.sequence(F.lit(0), F.floor((F.col("n") - 1) / block).cast("int"))).alias("block"))
+
+    def run(batches):
+        held, source = None, None
+        for batch in batches:
+            for file, n, number in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                if file != held:
+                    held, source = file, _opened(file)
+                tokens = source.read_at(2 * min(block, n - number * block), 2 * block * number)
+                yield pa.RecordBatch.from_arrays([pa.array([file]), pa.array([number], pa.int32()), pa.array([tokens], pa.binary())], ["file", "block", "tokens"])
+
+    return ranges.repartition("file", F.floor(F.col("block") / 64)).mapInArrow(run, "file string, block int, tokens binary")
 
 
 def scan(blocks: DataFrame, *, end: int = END) -> DataFrame:
