@@ -2,9 +2,10 @@
 stream through it, longest matching lengths are tracked, and spans over the length or coverage limits go.
 
 The items are cut into blocks of about `block_words` words, which bounds what is sent to the workers; each
-block's automaton is one map over the documents, without any shuffle. Between two blocks the documents with
-their hits so far are checkpointed, so that a worker holds one automaton however many items there are. A vectorised look at
-word pairs finds the stretches whose every pair occurs in some item, and only those stretches step through
+block's automaton is one map over the documents, without any shuffle, so that a worker holds one automaton however
+many items there are. Where there are several blocks, each pass writes what it hit alone, once for each text, named by
+128 bits of its hashes; the documents themselves are not written between passes, and one join brings their hits back.
+A vectorised look at word pairs finds the stretches whose every pair occurs in some item, and only those stretches step through
 the automaton, on the words themselves: between them the matching length is at most one word, so nothing is
 lost, and a hash never decides.
 
@@ -15,6 +16,8 @@ through; without items every document is clean.
 
 from __future__ import annotations
 
+from itertools import chain
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -175,18 +178,60 @@ def hits(docs: DataFrame, items: DataFrame, *, window: int = WINDOW, block_words
 
 def _hits(docs: DataFrame, items: DataFrame, finish, schema, window: int, block_words: int, text_col: str, item_id_col: str, item_text_col: str) -> DataFrame:
     """hits(), passed on to finish() in the pass over the last block of items if there is one to do it."""
-    place = docs.columns.index(text_col)
-    found, scan = docs.withColumns({"_hit": F.lit(None).cast("binary"), "_items": F.lit(None).cast("array<string>")}), None
-    for automaton in item_blocks(items, window, block_words, item_id_col, item_text_col):
-        if scan is not None:
-            found = C.settle(found.mapInArrow(scan, found.schema))
-        scan = scanner(docs.sparkSession.sparkContext.broadcast((automaton, automaton.hashes())), place)
+    place, scan = docs.columns.index(text_col), None
+    automata = item_blocks(items, window, block_words, item_id_col, item_text_col)
+    first, second = next(automata, None), next(automata, None)
+    if second is not None:
+        found = _hits_of_many(docs, chain((first, second), automata), text_col)
+    else:
+        found = _unhit(docs)
+        if first is not None:
+            scan = scanner(docs.sparkSession.sparkContext.broadcast((first, first.hashes())), place)
     if finish is None:
         return found if scan is None else found.mapInArrow(scan, found.schema)
     last = scan or iter
     return found.mapInArrow(lambda batches: finish(last(batches)), schema)
 
 
+SALTS = 16
+
+
+def _unhit(docs: DataFrame) -> DataFrame:
+    return docs.withColumns({"_hit": F.lit(None).cast("binary"), "_items": F.lit(None).cast("array<string>")})
+
+
+def _hits_of_many(docs: DataFrame, automata, text_col: str) -> DataFrame:
+    """docs with _hit and _items of several automata: a pass over the texts for each, which writes the hit ones.
+
+    Equal texts are one row of what is joined back; rows are salted by their partition, as one text may be a third of
+    all rows, and so may null.
+    """
+    text, context = docs[text_col], docs.sparkSession.sparkContext
+    steps, names = C.Steps(docs.sparkSession), [C.fresh(docs, x) for x in ("_h1", "_h2", "_salt")]
+    keys = dict(zip(names, (F.xxhash64(text), F.xxhash64(F.lit(1), text), F.pmod(F.spark_partition_id(), F.lit(SALTS))), strict=True))
+    narrow = _unhit(docs.select(text.alias("_t"), *[keys[n].alias(n) for n in names[:2]]))
+    passes = []
+    for automaton in automata:
+        shared = context.broadcast((automaton, automaton.hashes()))
+        hit = narrow.mapInArrow(scanner(shared, 0), narrow.schema).where("_hit IS NOT NULL").drop("_t")
+        passes.append(steps.store(hit.dropDuplicates(names[:2])))
+        shared.destroy()
+    every = passes[0]
+    for one in passes[1:]:
+        every = every.unionByName(one)
+    listed = every.groupBy(*names[:2]).agg(F.collect_list("_hit").alias("_hit"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("_items")))).alias("_items"))
+
+    def merge(batches):
+        for batch in batches:
+            bits = [np.bitwise_or.reduce([np.frombuffer(x, np.uint8) for x in blobs]).tobytes() for blobs in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(bits, pa.binary()), batch.column(3)], batch.schema.names)
+
+    marks = steps.store(listed.mapInArrow(merge, every.schema))
+    steps.done(marks)
+    salted = marks.withColumn(names[2], F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return docs.withColumns(keys).join(salted, names, "left").select(*[F.col(c) for c in docs.columns], "_hit", "_items")
+
+
 def scanner(shared, place: int):
     def run(batches):
         automaton, hashes = shared.value
