@@ -6,7 +6,7 @@ import os
 import duckdb
 import pytest
 
-from lectern.plans import catalog, documents, listening  # noqa: F401
+from lectern.plans import catalog, documents, listening, streams  # noqa: F401
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 
