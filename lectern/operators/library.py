@@ -148,9 +148,10 @@ def offered_requests(requests: DataFrame, catalogue: DataFrame) -> DataFrame:
     return requests.join(F.broadcast(catalogue.select(F.col("id").alias("voice_id"))), "voice_id", "left_semi")
 
 
-def clip_manifest(requests: DataFrame, catalogue: DataFrame) -> DataFrame:
-    """One clip for each offered voice, rate and text, grouped by their hash, with the number of its uses."""
-    keyed = with_clip_key(offered_requests(requests, catalogue))
+def clip_manifest(requests: DataFrame, catalogue: DataFrame | None = None) -> DataFrame:
+    """One clip for each voice, rate and text, grouped by their hash, with the number of its uses; with a catalogue, of
+    offered voices only."""
+    keyed = with_clip_key(requests if catalogue is None else offered_requests(requests, catalogue))
     return keyed.groupBy("clip_key").agg(F.first("voice_id").alias("voice_id"), F.first("rate").alias("rate"), F.first("text").alias("text"), F.count("*").alias("uses"))
 
 
