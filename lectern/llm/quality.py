@@ -2,14 +2,15 @@
 documents, with a threshold calibrated from labelled rows.
 
 One pass computes the statistics with vectorised byte counts; they are a hundred bytes a document and are
-settled, so that the text is read once. The forest is grown from small subsamples of at most `labelled`
-labelled rows (those with the smallest hash of the id; rows that repeat an id count up to twice that bound),
-the threshold is the one with the best mean of the
-two classes' accuracies over the same rows, and both are a few hundred kilobytes whatever the corpus.
+settled, so that the text is read once. The trees grow level by level over all labelled rows that pass the base
+rules: a job counts the rows of every node and finds the ranges of their features, and the driver draws the splits,
+so that it holds TREES times 2 ** DEPTH nodes whatever the corpus. Nodes at DEPTH stay leaves; their rows count with the
+expected rest of their paths. The threshold is the one with the best mean of the two classes' accuracies over the same
+rows, found among all their scores by running sums within bins of scores. Neither depends on how rows are partitioned.
 
 Defined results: null, empty and wordless texts have zero statistics and fail the base rules; a row without
-label is judged like any other; without labels of both kinds only the base rules decide; several labels of
-an id count as good if one does; repeated rows are judged alike; extra columns are ignored.
+label is judged like any other; without good and bad labelled rows that pass the base rules only these decide, as where no
+threshold is better than none; several labels of an id count as good if one does; repeated rows are judged alike; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -17,12 +18,13 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lectern.llm import common as C
 
-LABELLED = 20_000
-TREES, SUBSAMPLE, SEED = 200, 256, 7
+TREES, DEPTH, SEED = 200, 8, 7
+BINS = 65_536
 REPEAT_WORDS = 8
 LEAST_WORDS, MOST_REPEATED = 20, 30
 
@@ -118,73 +120,147 @@ def expected_path(n: np.ndarray) -> np.ndarray:
 
 
 class Forest:
-    """Isolation trees as flat arrays; leaves hold the expected path from the root."""
-
-    def __init__(self, x: np.ndarray, trees: int = TREES, subsample: int = SUBSAMPLE, seed: int = SEED):
-        random = np.random.default_rng(seed)
-        self.size = min(subsample, len(x))
-        self.depth = int(np.ceil(np.log2(max(2, self.size))))
-        self.trees = [self._grow(x[random.choice(len(x), self.size, replace=False)], random) for _ in range(trees)]
-
-    def _grow(self, x: np.ndarray, random) -> tuple[np.ndarray, ...]:
-        nodes: list[list[float]] = []
-
-        def grow(rows: np.ndarray, depth: int) -> int:
-            me = len(nodes)
-            nodes.append([-1, 0.0, me, me, depth + float(expected_path(len(rows)))])
-            low, high = rows.min(axis=0), rows.max(axis=0)
-            split = np.flatnonzero(high > low)
-            if depth < self.depth and len(rows) > 1 and len(split):
-                f = random.choice(split)
-                cut = random.uniform(low[f], high[f])
-                right = rows[:, f] > cut
-                nodes[me][:2] = f, cut
-                nodes[me][2] = grow(rows[~right], depth + 1)
-                nodes[me][3] = grow(rows[right], depth + 1)
-            return me
-
-        grow(x, 0)
-        columns = np.array(nodes).T
-        return columns[0].astype(np.int64), columns[1], columns[2].astype(np.int64), columns[3].astype(np.int64), columns[4]
+    """Isolation trees as arrays of nodes by tree; the children of node i are 2 i + 1 and 2 i + 2. Leaves hold the
+    expected path from the root."""
+
+    def __init__(self, trees: int = TREES, depth: int = DEPTH):
+        self.depth, self.size = depth, 0
+        self.feature = np.full((trees, 2 ** (depth + 1) - 1), -1, np.int8)
+        self.cut = np.zeros(self.feature.shape)
+        self.path = np.zeros(self.feature.shape)
+
+    def nodes(self, x: np.ndarray, tree: int, level: int) -> np.ndarray:
+        """The node of every row, a leaf above level or one at it."""
+        feature, cut, rows = self.feature[tree], self.cut[tree], np.arange(len(x))
+        at = np.zeros(len(x), np.int64)
+        for _ in range(level):
+            f = feature[at]
+            at = np.where(f < 0, at, 2 * at + 1 + (x[rows, np.maximum(f, 0)] > cut[at]))
+        return at
+
+    def split(self, level: int, tree: np.ndarray, node: np.ndarray, n: np.ndarray, low: np.ndarray, high: np.ndarray, random) -> bool:
+        """Draws the splits of a level's nodes from their rows' number and ranges of features; whether there are any."""
+        if level == 0:
+            self.size = int(n[0]) if len(n) else 0
+        self.path[tree, node] = level + expected_path(n)
+        draws = random.random((2, len(self.feature), 2**level))[:, tree, node - (2**level - 1)]
+        wide = high > low
+        choices = wide.sum(axis=1)
+        some = (n > 1) & (choices > 0) & (level < self.depth)
+        f = (np.cumsum(wide, axis=1) > np.floor(draws[0] * choices)[:, None]).argmax(axis=1)[some]
+        a, b = low[some, f], high[some, f]
+        self.feature[tree[some], node[some]] = f
+        self.cut[tree[some], node[some]] = a + draws[1][some] * (b - a)
+        return bool(some.any())
 
     def score(self, x: np.ndarray) -> np.ndarray:
         """The anomaly score, 0 to 1: 2 to the power of minus the relative mean path length."""
         total = np.zeros(len(x))
-        rows = np.arange(len(x))
-        for feature, cut, left, right, path in self.trees:
-            at = np.zeros(len(x), np.int64)
-            for _ in range(self.depth):
-                f = feature[at]
-                at = np.where(f < 0, at, np.where(x[rows, np.maximum(f, 0)] > cut[at], right[at], left[at]))
-            total += path[at]
-        return 2.0 ** (-total / (len(self.trees) * max(1e-9, float(expected_path(self.size)))))
-
-
-def calibrate(scores: np.ndarray, good: np.ndarray) -> float:
-    """The score from which on rows are rejected, with the best mean of both classes' accuracies."""
-    order = np.argsort(scores)
-    s, g = scores[order], good[order].astype(float)
-    kept_good = np.concatenate([[0], np.cumsum(g)]) / max(1.0, g.sum())
-    cut_bad = 1 - np.concatenate([[0], np.cumsum(1 - g)]) / max(1.0, (1 - g).sum())
-    value = kept_good + cut_bad
-    value[1:-1][s[1:] == s[:-1]] = -1
-    best = int(np.argmax(value))
-    if best == len(s):
+        for tree in range(len(self.feature)):
+            total += self.path[tree, self.nodes(x, tree, self.depth)]
+        return 2.0 ** (-total / (len(self.feature) * max(1e-9, float(expected_path(self.size)))))
+
+
+def node_ranges(rows: DataFrame, forest: Forest, level: int) -> pa.Table:
+    """tree, node, n, low and high of the features for every node at a level, over all rows."""
+    shared = rows.sparkSession.sparkContext.broadcast(forest)
+    names = [f"{end}_{f}" for end in ("low", "high") for f in FEATURES]
+
+    def run(batches):
+        forest = shared.value
+        trees, first, width = len(forest.feature), 2**level - 1, 2**level
+        n = np.zeros((trees, width), np.int64)
+        low, high = np.full((len(FEATURES), trees, width), np.inf), np.full((len(FEATURES), trees, width), -np.inf)
+        for batch in batches:
+            x = features({s: batch.column(s).to_numpy() for s in STATISTICS})
+            columns = np.ascontiguousarray(x.T)
+            for tree in range(trees):
+                at = forest.nodes(x, tree, level) - first
+                order = np.argsort(at.astype(np.int16 if level < 15 else np.int64), kind="stable")[np.count_nonzero(at < 0) :]
+                counts = np.bincount(at[order], minlength=width)
+                some = np.flatnonzero(counts)
+                if len(some):
+                    n[tree] += counts
+                    starts, own = (np.cumsum(counts) - counts)[some], columns[:, order]
+                    low[:, tree, some] = np.minimum(low[:, tree, some], np.minimum.reduceat(own, starts, axis=1))
+                    high[:, tree, some] = np.maximum(high[:, tree, some], np.maximum.reduceat(own, starts, axis=1))
+        tree, node = np.nonzero(n)
+        ends = [pa.array(v) for v in (*low[:, tree, node], *high[:, tree, node])]
+        yield pa.RecordBatch.from_arrays([pa.array(tree.astype(np.int32)), pa.array((node + first).astype(np.int32)), pa.array(n[tree, node]), *ends], ["tree", "node", "n", *names])
+
+    found = rows.select(*STATISTICS).mapInArrow(run, "tree int, node int, n long, " + ", ".join(f"{c} double" for c in names))
+    merged = found.groupBy("tree", "node").agg(F.sum("n").alias("n"), *[(F.min if c.startswith("low") else F.max)(c).alias(c) for c in names])
+    table = merged.toArrow()
+    shared.destroy()
+    return table
+
+
+def grow(rows: DataFrame, trees: int = TREES, depth: int = DEPTH, seed: int = SEED) -> Forest:
+    """Isolation trees over all rows."""
+    forest, random = Forest(trees, depth), np.random.default_rng(seed)
+    for level in range(depth + 1):
+        seen = node_ranges(rows, forest, level)
+        tree, node, n = (seen.column(c).to_numpy() for c in ("tree", "node", "n"))
+        low, high = (np.column_stack([seen.column(f"{end}_{f}").to_numpy() for f in FEATURES]) for end in ("low", "high"))
+        if not forest.split(level, tree, node, n, low, high, random):
+            break
+    return forest
+
+
+def scored(rows: DataFrame, forest: Forest) -> DataFrame:
+    """anomaly and good of every labelled row."""
+    shared = rows.sparkSession.sparkContext.broadcast(forest)
+
+    def run(batches):
+        for batch in batches:
+            anomaly = shared.value.score(features({s: batch.column(s).to_numpy() for s in STATISTICS}))
+            yield pa.RecordBatch.from_arrays([pa.array(anomaly), batch.column("good")], ["anomaly", "good"])
+
+    return rows.select(*STATISTICS, "good").mapInArrow(run, "anomaly double, good boolean")
+
+
+def distinct_scores(scores: DataFrame) -> DataFrame:
+    """Every score with its numbers of good and bad rows."""
+    return scores.groupBy("anomaly").agg(F.count_if("good").alias("good"), F.count_if(~F.col("good")).alias("bad"))
+
+
+def calibrate(cells: DataFrame) -> float:
+    """The score from which on rows are rejected, with the best mean of both classes' accuracies, of the lowest if
+    several are best; infinite if none is better than to keep all. cells: distinct_scores().
+
+    The sums below a score are those of the lower bins, of which there are BINS, and a running sum within its own.
+    """
+    cells = cells.withColumn("bin", F.floor(F.col("anomaly") * BINS))
+    lower = W.orderBy("bin").rowsBetween(W.unboundedPreceding, -1)
+    own = W.partitionBy("bin").orderBy("anomaly").rowsBetween(W.unboundedPreceding, -1)
+    sizes = cells.groupBy("bin").agg(F.sum("good").alias("g"), F.sum("bad").alias("b"))
+    below = sizes.select("bin", *[F.coalesce(F.sum(c).over(lower), F.lit(0)).alias(f"{c}_lower") for c in "gb"])
+    good, bad = (F.col(f"{c[0]}_lower") + F.coalesce(F.sum(c).over(own), F.lit(0)) for c in ("good", "bad"))
+    n_good, n_bad = cells.agg(F.sum("good"), F.sum("bad")).first()
+    if not n_good or not n_bad:
+        return float("inf")
+    gain = good.cast("decimal(18,0)") * F.lit(n_bad).cast("decimal(18,0)") - bad.cast("decimal(18,0)") * F.lit(n_good).cast("decimal(18,0)")
+    best = cells.join(F.broadcast(below), "bin").select("anomaly", gain.alias("gain")).orderBy(F.desc("gain"), "anomaly").first()
+    if best.gain <= 0:
         return float("inf")
-    return float(s[best] if best == 0 else (s[best - 1] + s[best]) / 2)
+    before = cells.where(F.col("anomaly") < best.anomaly).agg(F.max("anomaly")).first()[0]
+    middle = (before + best.anomaly) / 2
+    return middle if middle > before else best.anomaly
 
 
-def train(stats: DataFrame, labels: DataFrame, *, labelled: int = LABELLED, trees: int = TREES, subsample: int = SUBSAMPLE):
-    """(forest, threshold) from labelled rows, or None without both kinds."""
-    own = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull()).groupBy(F.col("doc_id").alias("id")).agg(F.max("quality").alias("quality"))
-    chosen = own.orderBy(F.xxhash64("id"), "id").limit(labelled)
+def train(stats: DataFrame, labels: DataFrame, *, trees: int = TREES, depth: int = DEPTH):
+    """(forest, threshold) from all labelled rows that pass the base rules, or None without both kinds."""
+    own = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull()).groupBy(F.col("doc_id").alias("id")).agg((F.max("quality") == 1).alias("good"))
     passing = stats.where((F.col("n_words") >= LEAST_WORDS) & (100 * F.col("n_repeat_words") <= MOST_REPEATED * F.col("n_words")))
-    rows = passing.join(F.broadcast(chosen), F.col("doc_id") == F.col("id")).select("doc_id", *STATISTICS, "quality").orderBy(F.xxhash64("doc_id"), "doc_id", *STATISTICS).limit(2 * labelled).toPandas()
-    if rows["quality"].nunique() < 2:
-        return None
-    x = features(rows)
-    forest = Forest(x, trees, subsample)
-    return forest, calibrate(forest.score(x), rows["quality"].to_numpy() == 1)
+    steps = C.Steps(stats.sparkSession)
+    try:
+        rows = steps.store(passing.join(own, F.col("doc_id") == F.col("id")).select(*STATISTICS, "good"))
+        if rows.select("good").distinct().count() < 2:
+            return None
+        forest = grow(rows, trees, depth)
+        return forest, calibrate(steps.store(distinct_scores(scored(rows, forest))))
+    finally:
+        steps.done()
 
 
 def judge(stats: DataFrame, model) -> DataFrame:
