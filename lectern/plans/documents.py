@@ -421,8 +421,7 @@ def _styled_pieces(t) -> DataFrame:
 @query(f"""SELECT doc_id, page_no, 1 + (l % {PER_PAGE}) AS row_no, arg_min(height, (-n, first)) AS height FROM (SELECT doc_id, page_no, l, CASE WHEN i % 9 = 0 THEN 14.0 ELSE 10.0 END AS height, sum(len(str)) AS n, min(i) AS first
  FROM (SELECT *, max(CAST(i % 5 <> 0 AS INT)) OVER (PARTITION BY doc_id, l) = 1 AS prose FROM ({PIECES_SQL})) WHERE i % 5 <> 0 OR NOT prose GROUP BY ALL) GROUP BY doc_id, page_no, l""")
 def pdf_line_heights(t, spark):
-    own = P.baseline_rows(_styled_pieces(t)).where(f"piece_no BETWEEN 0 AND {(1 << 30) - 1}")
-    return P.line_heights(own)
+    return P.line_heights(_styled_pieces(t)).where(f"piece_no BETWEEN 0 AND {(1 << 30) - 1}").drop("piece_no")
 
 
 @query(None)

@@ -77,6 +77,20 @@ def test_plain_rows_as_one_by_one(monkeypatch, seed, n, step, batch, chunk, larg
     assert got == want and len(got) > 20
 
 
+@pytest.mark.parametrize("seed, n, step, batch, chunk, large", CASES)
+def test_heights_as_one_by_one(monkeypatch, seed, n, step, batch, chunk, large):
+    monkeypatch.setattr(G, "CHUNK", chunk)
+    monkeypatch.setattr(G, "LARGE", large)
+    pieces = some_pieces(seed, n, step)
+    got = [(*p, h) for rows in G.read_rows(iter(packs_of(pieces, batch)), styled=True) for *p, h in zip(*(c.to_pylist() for c in rows.places()), P._main_heights(rows, P._of_prose(rows)[1]).tolist(), strict=True)]
+    want = []
+    for d, p, k, row in rows_of(pieces, False):
+        counted = [q for q in row if not q[11]] or row
+        sums = {h: sum(len(q[7]) for q in counted if q[8] == h) for h in dict.fromkeys(q[8] for q in counted)}
+        want.append((d, p, k, max(sums, key=sums.get)))
+    assert got == want
+
+
 def test_a_page_in_parts(monkeypatch):
     """A page of any size goes out as it comes: what is held is less than a tenth of it."""
     monkeypatch.setattr(G, "CHUNK", 500)
@@ -97,8 +111,8 @@ def test_pieces_are_shuffled_in_packs(spark):
     pieces = spark.range(30_000).selectExpr("id div 300 AS doc_id", "1 AS page_no", "CAST(id % 300 AS INT) AS piece_no", "'word' AS str", "72.0 + 40 * (id % 10) AS x", "700.0 - 14 * (id % 300 div 10) AS y", "38.0 AS width", "10.0 AS height", "false AS bold", "false AS italic", "false AS mono").coalesce(1)
     assert 100 <= G.packed(pieces).count() <= 110
     lines = P.styled_lines(pieces)
-    assert lines.count() == 3000
-    for table in (lines, P.page_rows(pieces)):
+    assert lines.count() == 3000 and P.line_heights(pieces).agg({"height": "max"}).first()[0] == 10.0
+    for table in (lines, P.line_heights(pieces), P.page_rows(pieces)):
         assert table._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
 
 
