@@ -303,19 +303,35 @@ def segment_blocks(blocks: DataFrame) -> DataFrame:
     return _in_order(blocks).mapInArrow(run, SENTENCES)
 
 
-def gathered_documents(blocks: DataFrame) -> DataFrame:
-    """(doc_id, words, sentences, blocks) from rows of blocks: those of a document, in order, with what they say."""
+GATHERED = f"doc_id long, words long, sentences long, blocks array<{BLOCK}>"
+
+
+def gathered_rows(documents: Iterator[tuple[int | None, list[dict]]]) -> Iterator[pa.RecordBatch]:
+    """GATHERED from (doc_id, rows of blocks), some thousand blocks at a time."""
+    types, out, size = (pa.int64(), pa.int64(), pa.int64(), pa.list_(_BLOCK_TYPE)), [], 0
+
+    def table():
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], ["doc_id", "words", "sentences", "blocks"])
 
-    def document(doc_id, rows):
+    for doc_id, rows in documents:
         said = [s[-1] for r in rows if _is_said(r["kind"]) for s in _said(_leaf_of(r))]
-        return doc_id, sum(len(_WORD.findall(s)) for s in said), len(said), [{k: v for k, v in r.items() if k != "doc_id"} for r in rows]
+        # What is said has single spaces only.
+        out.append((doc_id, sum(s.count(" ") + 1 for s in said), len(said), [{k: v for k, v in r.items() if k != "doc_id"} for r in rows]))
+        size += len(rows)
+        if size >= ROWS_OUT // 10:
+            yield table()
+            out, size = [], 0
+    if out:
+        yield table()
+
+
+def gathered_documents(blocks: DataFrame) -> DataFrame:
+    """(doc_id, words, sentences, blocks) from rows of blocks: those of a document, in order, with what they say."""
 
     def run(batches):
-        for doc_id, rows in groupby((r for b in batches for r in b.to_pylist()), key=itemgetter("doc_id")):
-            columns = zip(*[document(doc_id, list(rows))], strict=True)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, [pa.int64(), pa.int64(), pa.int64(), pa.list_(_BLOCK_TYPE)], strict=True)], ["doc_id", "words", "sentences", "blocks"])
+        return gathered_rows((doc_id, list(rows)) for doc_id, rows in groupby((r for b in batches for r in b.to_pylist()), key=itemgetter("doc_id")))
 
-    return _in_order(blocks).mapInArrow(run, f"doc_id long, words long, sentences long, blocks array<{BLOCK}>")
+    return _in_order(blocks).mapInArrow(run, GATHERED)
 
 
 _SENTENCE_NAMES = [c.split()[0] for c in SENTENCES.split(", ")]

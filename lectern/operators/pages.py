@@ -108,7 +108,12 @@ def _packs(batch: pa.RecordBatch) -> pa.RecordBatch:
 
 
 def packed(pieces: DataFrame) -> DataFrame:
-    """Pieces with text as packs (doc_id, page_no, top, pack), dealt out by page and sorted from its top."""
+    """packs(), dealt out by page and sorted from its top."""
+    return packs(pieces).repartition(*PAGE).sortWithinPartitions(*PAGE, F.desc("top"))
+
+
+def packs(pieces: DataFrame) -> DataFrame:
+    """Pieces with text as packs (doc_id, page_no, top, pack) of the pages in a batch."""
 
     def run(batches):
         for batch in batches:
@@ -123,7 +128,7 @@ def packed(pieces: DataFrame) -> DataFrame:
     flags = sum((F.coalesce(F.col(n).cast("int"), F.lit(0)) * bit for n, bit in _STYLES.items() if n in there), F.lit(0))
     numbers = [F.col(n).cast("double").alias(n) for n in _NUMBERS if n in there]
     own = pieces.select(F.col("doc_id").cast("long"), F.col("page_no").cast("int"), F.col("piece_no").cast("long"), "str", *numbers, flags.cast("byte").alias("flags"))
-    return own.mapInArrow(run, "doc_id long, page_no int, top double, pack binary").repartition(*PAGE).sortWithinPartitions(*PAGE, F.desc("top"))
+    return own.mapInArrow(run, "doc_id long, page_no int, top double, pack binary")
 
 
 def _unpacked(pack: bytes, styled: bool) -> tuple:
@@ -201,8 +206,7 @@ def _begins(page: np.ndarray, y: np.ndarray) -> np.ndarray:
 class _Held:
     """Packs of some pages, of which the last may go on: its rows begin at number."""
 
-    def __init__(self, clean: bool, styled: bool):
-        self.clean, self.styled = clean, styled
+    def __init__(self):
         self.pages, self.columns, self.at, self.size, self.number, self.least = [], [], [], 0, 0, CHUNK
 
     def add(self, page: tuple, columns: tuple) -> None:
@@ -212,39 +216,50 @@ class _Held:
         self.at.append(len(self.pages) - 1)
         self.size += len(columns[0])
 
-    def rows(self, reach: float | None = None) -> Rows | None:
-        """All rows, or only those to which no piece from `reach` downwards can come; the pieces of the others stay."""
+    def rows(self, reach: float | None, clean: tuple[bool, ...]) -> list[Rows | None]:
+        """For each of clean, all rows, or only those to which no piece from `reach` downwards can come; the pieces of
+        the others stay. Where control characters are text to one and not to another, the page is waited for."""
         if not self.columns:
-            return None
-        y, x, width, height, piece_no, lengths, flags = (None if c[0] is None else np.concatenate(c) for c in list(zip(*self.columns, strict=True))[:-1])
+            return [None] * len(clean)
+        columns = [None if c[0] is None else np.concatenate(c) for c in list(zip(*self.columns, strict=True))[:-1]]
+        lengths = columns.pop(5)
         page = np.repeat(self.at, [len(c[0]) for c in self.columns])
         raw = _strings(b"".join(c[-1] for c in self.columns), np.append(0, np.cumsum(lengths, dtype=np.int64)))
-        text = raw
-        if self.clean and (_data(raw) < 0x20).any():
-            text = pc.replace_substring_regex(raw, _CONTROL, "")
-            kept = has_text(text)
-            y, x, width, height, piece_no, flags, page = (None if c is None else c[kept] for c in (y, x, width, height, piece_no, flags, page))
-            raw, text = raw.filter(pa.array(kept)), text.filter(pa.array(kept))
+        control = any(clean) and bool((_data(raw) < 0x20).any())
+        if control and reach is not None and not all(clean):
+            self.least = 2 * self.size
+            return [None] * len(clean)
+        pages, number = self.pages, self.number
+        self.__init__()
+        whole = self._made(pages, number, [*columns, page], raw, raw, reach) if not (control and all(clean)) else None
+        if not control:
+            return [whole] * len(clean)
+        text = pc.replace_substring_regex(raw, _CONTROL, "")
+        kept = has_text(text)
+        mask = pa.array(kept)
+        cleaned = self._made(pages, number, [None if c is None else c[kept] for c in (*columns, page)], raw.filter(mask), text.filter(mask), reach)
+        return [cleaned if c else whole for c in clean]
+
+    def _made(self, pages: list, first_number: int, columns: list, raw: pa.LargeStringArray, text: pa.LargeStringArray, reach: float | None) -> Rows | None:
+        y, x, width, height, piece_no, flags, page = columns
         order = np.lexsort((np.where(np.isnan(y), -np.inf, -y), page))
         begins = _begins(page[order], y[order])
         row = np.cumsum(begins) - 1
         order = order[np.lexsort((piece_no[order], x[order], row))]
         first = np.flatnonzero(begins)
         of = page[order][first]
-        number = np.arange(len(first)) - np.searchsorted(of, of) + np.where(of == 0, self.number, 0)
-        pages, n = self.pages, len(first)
-        last = len(pages) - 1
+        number = np.arange(len(first)) - np.searchsorted(of, of) + np.where(of == 0, first_number, 0)
+        n, last = len(first), len(pages) - 1
         if reach is not None:
             tops = np.fmax.reduceat(y[order], first) if n else y[:0]
             n = int(np.count_nonzero((of < last) | (tops - reach > SAME_LINE)))
         end = first[n] if n < len(first) else len(order)
         going, rest = order[:end], order[end:]
-        number_on = int(number[n - 1]) + 1 if n and of[n - 1] == last else self.number if last == 0 else 0
-        self.__init__(self.clean, self.styled)
         if reach is not None:
             left = raw.take(pa.array(rest))
             self.add(pages[-1], (y[rest], x[rest], width[rest], None if height is None else height[rest], piece_no[rest], np.diff(_offsets(left)), flags[rest], _data(left).tobytes()))
-            self.number, self.least = number_on, max(CHUNK, 2 * len(rest))
+            self.number = int(number[n - 1]) + 1 if n and of[n - 1] == last else first_number if last == 0 else 0
+            self.least = max(CHUNK, 2 * len(rest))
         if not n:
             return None
         raw_going = raw.take(pa.array(going))
@@ -252,15 +267,18 @@ class _Held:
         return Rows(y[going], x[going], width[going], None if height is None else height[going], piece_no[going], flags[going], raw_going, same, first[:n], of[:n], number[:n], pages)
 
 
-def read_rows(batches: Iterator[pa.RecordBatch], *, styled: bool = False, clean: bool = False) -> Iterator[Rows]:
-    """The rows of sorted packs. styled: they have heights and styles; clean: control characters do not count as text."""
-    held = _Held(clean, styled)
+def read_ways(batches: Iterator[pa.RecordBatch], clean: tuple[bool, ...], *, styled: bool = False) -> Iterator[list[Rows | None]]:
+    """The rows of sorted packs, for each of clean: control characters do not count as text. styled: packs have heights
+    and styles."""
+    held = _Held()
     for batch in batches:
         for doc, page, top, pack in zip(*(batch.column(n).to_pylist() for n in (*PAGE, "top", "pack")), strict=True):
             if held.size >= held.least:
                 going_on = held.pages[-1] == (doc, page)
-                if (rows := held.rows(top if going_on else None)) is not None:
-                    yield rows
+                yield held.rows(top if going_on else None, clean)
             held.add((doc, page), _unpacked(pack, styled))
-    if (rows := held.rows()) is not None:
-        yield rows
+    yield held.rows(None, clean)
+
+
+def read_rows(batches: Iterator[pa.RecordBatch], *, styled: bool = False, clean: bool = False) -> Iterator[Rows]:
+    return (rows for rows, in read_ways(batches, (clean,), styled=styled) if rows is not None)

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from lectern.functions import text as X
 from lectern.operators import blocks as B
-from lectern.operators import pdf as P
+from lectern.operators import routing as R
 
 # Names in the XML of Word documents.
 _WORD = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
@@ -105,7 +105,7 @@ def named(docs: DataFrame) -> DataFrame:
 
 def pdf_documents(pieces: DataFrame, figures: DataFrame | None = None) -> DataFrame:
     """(doc_id, words, sentences, blocks) of pieces, routed by structure; blocks come in order."""
-    return B.gathered_documents(P.route(pieces, figures))
+    return R.gathered(pieces, figures)
 
 
 def parse_corpus(docs: DataFrame, pieces: DataFrame | None = None, figures: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
